@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, exact_dedup, packing, quality, resharding, token_counts
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -21,13 +21,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.resolve(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op5_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op7_speculative_bpe)}
+    every = (
+        op1_token_counts,
+        op2_best_fit_packing,
+        op3_exact_dedup,
+        op4_suffix_array_quality,
+        op5_min_cost_flow_resharding,
+        op7_speculative_bpe,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": exact_dedup.ORACLE}
