@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, resharding, token_counts
+from . import bpe, exact_dedup, near_dedup, packing, quality, resharding, token_counts
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.resolve(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_suffix_array_quality,
         op5_min_cost_flow_resharding,
         op7_speculative_bpe,
+        op9_circulant_minhash,
     )
     return {f.__name__: f for f in every}
 
