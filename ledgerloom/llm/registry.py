@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, resharding, token_counts
+from . import bpe, exact_dedup, near_dedup, packing, pii, quality, resharding, token_counts
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op5_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_exact_dedup,
         op4_suffix_array_quality,
         op5_min_cost_flow_resharding,
+        op6_boosted_pii,
         op7_speculative_bpe,
         op9_circulant_minhash,
     )
