@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, pii, quality, resharding, token_counts
+from . import bpe, exact_dedup, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.resolve(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_min_cost_flow_resharding,
         op6_boosted_pii,
         op7_speculative_bpe,
+        op8_counterfactual_toxicity,
         op9_circulant_minhash,
     )
     return {f.__name__: f for f in every}
