@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
+from . import bpe, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.resolve(table(spark, sf_dir, "documents"))
 
 
+def op10_inferred_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_speculative_bpe,
         op8_counterfactual_toxicity,
         op9_circulant_minhash,
+        op10_inferred_wrappers,
     )
     return {f.__name__: f for f in every}
 
