@@ -35,7 +35,7 @@ LEAST_DOCUMENTS = 3
 LEAST_SIGNAL = 20.0
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
-RIDGE, COUNTERFACTUAL = 1.0, 50.0
+RIDGE, COUNTERFACTUAL = 0.2, 50.0
 
 #: Identity terms by group (fixed values); terms of a group are swapped for each other.
 IDENTITIES = (
