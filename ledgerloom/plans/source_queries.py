@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions import rollout as R
 from ..functions import signatures as G
 from ..functions.scratch import scratch
 from ..operators import turns as T
@@ -284,3 +285,32 @@ def t1_incremental_scan(s: SparkSession, d: str) -> DataFrame:
 def t9_recompute_on_batch(s: SparkSession, d: str) -> DataFrame:
     t = turns(s, d)
     return J.recompute_touched(t, t.where("turn_order = 5"), T.session_aggregates).select("session_id", "turn_count", "hidden_tokens")
+
+
+ITEMS = ["message", *R.SINGLE, "ghost_snapshot", "unknown"]
+_KINDS = ["input_text", *(v[0] for v in R.SINGLE.values())]
+_ROLES = ["user", *(v[1] for v in R.SINGLE.values())]
+_TOOLS = ["", *(v[2] or ("shell" if v[0] == "tool_call" else "") for v in R.SINGLE.values())]
+_SIZES = ["y", *("y" if v[3] else "n" for v in R.SINGLE.values())]
+
+
+@query(
+    EV
+    + f"""SELECT log_index, {_case(_KINDS, 'k')} AS kind, {_case(_ROLES, 'k')} AS role, nullif({_case(_TOOLS, 'k')}, '') AS tool_name, CASE WHEN {_case(_SIZES, 'k')} = 'y' THEN CAST(strlen(payload) AS BIGINT) ELSE 0 END AS byte_len
+  FROM (SELECT *, log_index % {len(ITEMS)} AS k FROM ev) WHERE k < {len(_KINDS)}"""
+)
+def d8_rollout_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Also d9, values as text: payload strings that are JSON themselves stay strings."""
+    kind = _pick(ITEMS, "log_index")
+    fields = sorted({v[3] for v in R.SINGLE.values() if v[3]})
+    part = F.array(F.struct(F.lit("input_text").alias("type"), F.col("payload").alias("text")), F.struct(F.lit("other").alias("type"), F.lit("x").alias("text")))
+    raw = F.to_json(F.struct(kind.alias("type"), F.lit("user").alias("role"), F.lit("shell").alias("name"), part.alias("content"), *(F.col("payload").alias(f) for f in fields)))
+    return R.rollout_blocks(audit_events(s, d).select("log_index", raw.alias("payload"))).select("log_index", "kind", "role", "tool_name", "byte_len")
+
+
+@query(TU + "SELECT turn_uuid, CAST(0 AS INTEGER) AS block_index, kind, CASE WHEN kind <> 'reasoning' THEN content_hash END AS content_hash, byte_len, concat('agent', CASE WHEN turn_order % 2 = 0 THEN ' 1.0' ELSE '' END) AS tag FROM tu WHERE turn_order % 3 = 0")
+def d12_turn_content_rows(s: SparkSession, d: str) -> DataFrame:
+    """Also d11, the source tag."""
+    t = turns(s, d).withColumns({"capture": T.capture(F.when(F.col("turn_order") % 3 == 0, "full")), "blocks": F.array(F.struct("kind", "content_hash", "byte_len"))})
+    tags = t.select("turn_uuid", R.source_tag(F.lit("agent"), F.when(F.col("turn_order") % 2 == 0, "1.0")).alias("tag"))
+    return R.turn_content_rows(t).join(tags, "turn_uuid")
