@@ -19,7 +19,8 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_audit_events(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
-    ts_ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 1000")
+    wall = F.col("ts").cast("timestamp_ntz")
+    ts_ms = F.unix_date(F.to_date(wall)).cast("long") * DAY_MS + F.hour(wall).cast("long") * HOUR_MS + F.minute(wall) * 60_000 + F.floor(F.extract(F.lit("SECOND"), wall) * 1000)
     kind = F.expr(
         """CASE event_type WHEN 'signup' THEN 'user_prompt' WHEN 'click' THEN 'command_execution'
            WHEN 'view' THEN IF(event_id % 3 = 0, 'file_read_pre', 'file_read') WHEN 'purchase' THEN 'file_write'
@@ -30,7 +31,7 @@ def as_audit_events(events: DataFrame) -> DataFrame:
            WHEN event_type IN ('view', 'purchase') THEN concat('hook/file:/srv/u', user_id, '/f', event_id % 7, '.txt') ELSE 'hook/user:prompt' END"""
     )
     return (
-        events.withColumn("ts_ms", ts_ms)
+        events.withColumn("ts_ms", ts_ms.cast("long"))
         .withColumn("client_ms", F.when(eid % 10 == 0, F.col("ts_ms") - 300_000))
         .select(
             eid.alias("log_index"),

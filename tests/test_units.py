@@ -156,3 +156,15 @@ def test_bad_base64_is_null(spark):
     assert one(spark, signatures.decode_base64(F.lit("!!!"))) is None
     assert bytes(one(spark, signatures.decode_base64(F.lit(" YWJjZGU ")))) == b"abcde"
     assert one(spark, signatures.ascii_runs(F.lit(b"\x01abcd\x02ab\x03abcd\x04wxyz!"))) == ["abcd", "wxyz!"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_event_times_do_not_depend_on_the_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ'2024-07-01 12:34:56.789999' AS ts, 2L AS user_id, 'view' AS event_type, 1.5D AS value, '{}' AS props")
+        got = views.as_audit_events(rows).first()
+        assert got.ts_ms == 1_719_837_296_789 and got.session_id == "2-2024-07-01"
+        assert one(spark, events.parse_mixed_time(F.lit("2024-07-01T12:34:56Z"))) == 1_719_837_296_000 == one(spark, events.parse_mixed_time(F.lit("2024-07-01 12:34:56")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
