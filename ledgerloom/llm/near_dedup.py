@@ -41,6 +41,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Members of a block; a group of the full comparison holds two blocks at most.
 BLOCK_MEMBERS = 1024
+#: Members of a share, where a bucket's members are joined to one row of the bucket.
+SHARE_MEMBERS = 128
 #: Shares into which a class's members are dealt for the way back to documents.
 SHARES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -242,9 +244,12 @@ def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = components(_verified(pairs.where(100 * small >= LINK_PERCENT * large)))
 
     labelled = buckets.join(first, "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    shares = F.ceil(F.col("members") / SHARE_MEMBERS).cast("int")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("members").alias("members")).where("low < high")
+    # A large bucket's members are dealt out for this join: each share meets a copy of the bucket's row.
+    wanted = mixed.select("band", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    dealt = labelled.join(mixed, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = labelled.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), shares).cast("int")).join(wanted, ["band", "share"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     grouped = dealt.select("band", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("band", "id", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     second = components(grouped.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long"))
     # Components of the second round are made of those of the first.
