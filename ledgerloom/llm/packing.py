@@ -13,6 +13,7 @@ names cannot arise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,6 +34,13 @@ LANE_DOCUMENTS = 8_000
 LANE_STRIDE = 1 << 36
 END_ID = 0
 
+#: Chunks of these letters alone are the same after normalisation but for case, so they can be cut into words beforehand.
+_PLAIN = re.compile("[!-~\xa1\xab\xbb\xbf\xc0-\xff]+")
+#: The tokenizer's own words, for lower-case chunks of such letters.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+#: What ends the last token of a word in the vocabulary (fixed value).
+WORD_END = "</w>"
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -45,8 +53,27 @@ def _encoder(path: str) -> ChunkCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    names = tokenizer.get_vocab()
+    ends = np.zeros(max(names.values()) + 1, bool)
+    ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        """Plain words in one text; each ends with the first token that ends a word."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, upto = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    known = ChunkCache(encode_words)
+
     def many(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        # Words recur more often than chunks with their case and punctuation; other chunks are encoded as they are.
+        plain = [bool(_PLAIN.fullmatch(c)) and "<|" not in c for c in chunks]
+        others = tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False)
+        coded = iter(known.encode([_WORDS.findall(c.lower()) for c, p in zip(chunks, plain, strict=True) if p]))
+        rest = (np.array(e.ids, dtype="<u4").tobytes() for e in others)
+        return [next(coded) if p else next(rest) for p in plain]
 
     return ChunkCache(many)
 
