@@ -19,6 +19,8 @@ SHAPES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", "[REDACTED:jwt]"),
 )
 _NAME = r"[A-Za-z0-9_]*(?:key|token|secret|password|passwd|credential|auth)[A-Za-z0-9_]*"
+#: Lower-case pieces of which every match of any pattern holds one (fixed values).
+HINTS = ("key", "token", "secret", "passw", "credential", "auth", "://", "bearer", "basic", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "akia", "aiza", "xox", "eyj")
 _SURE = "(?i)password|passwd|credential|secret|apikey"
 _JSON = rf'(?i)"({_NAME})"\s*:\s*"([^"]+)"'
 _PLAIN = rf"(?i)({_NAME})\s*[:=]\s*[\"']?([^\s\"']+)[\"']?"
@@ -46,9 +48,16 @@ def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
     """The text without secrets: listed values (longest first), known shapes, sensitive assignments."""
     for value in sorted({s for s in secrets if len(s.encode()) >= LEAST_LITERAL}, key=lambda s: (-len(s), s)):
         text = F.replace(text, F.lit(value), F.lit("[REDACTED:env]"))
+    clean = text
     for _, pattern, marker in SHAPES:
-        text = F.regexp_replace(text, pattern, marker)
-    return _assignments(_assignments(text, _JSON, True), _PLAIN, False)
+        clean = F.regexp_replace(clean, pattern, marker)
+    clean = _assignments(_assignments(clean, _JSON, True), _PLAIN, False)
+    # Every pattern needs one of these; looking for them is far cheaper than trying the patterns at every word.
+    small = F.lower(text)
+    hinted = F.contains(small, F.lit(HINTS[0]))
+    for hint in HINTS[1:]:
+        hinted = hinted | F.contains(small, F.lit(hint))
+    return F.when(hinted, clean).otherwise(text)
 
 
 def redact_column(df: DataFrame, column: str, secrets: tuple[str, ...] = ()) -> DataFrame:
