@@ -18,8 +18,9 @@ So no candidate is left out, and neither a bucket nor a group of copies meets in
 Defined results: texts without words (null, empty, blank) have no shingles and link with nothing;
 fewer than SHINGLE_WORDS words are one shingle; rows with a null doc_id carry their class's
 component, or null where the class has no id; rows that repeat a doc_id with the same text share
-its component; other columns are ignored by ``resolve`` and pass through ``drop_near_copies``;
-an empty table gives no rows.
+its component, and with different texts each row follows its own text; other columns are ignored by
+``resolve`` and pass through ``drop_near_copies``, which drops rows by doc_id and text; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,8 +120,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _set_hash(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null without shingles) and bands, one row a document."""
+    """doc_id, text_hash, n_shingles, set_hash (null without shingles) and bands, one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -130,25 +135,29 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_hash"),
                     pa.array(map(len, sets), pa.int64()),
-                    pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_set_hash(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and shingles (64-bit hashes) of the wanted ids."""
+    """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, set_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch))], pa.binary())], names=["id", "shingles"])
+            sets = shingle_sets(texts_of(batch))
+            # A doc_id may have other texts too.
+            own = [len(s) > 0 and _set_hash(s) == h for s, h in zip(sets, batch.column("set_hash").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("id").filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, fine in zip(sets, own) if fine], pa.binary())], names=["id", "shingles"])
 
-    held = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    return held.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
+    return held.select("id", "set_hash", "text").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -228,14 +237,14 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, component of those classes (id, bands) that have a link, from the texts of docs."""
+def link(docs: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
+    """id, component of those classes (id, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash) tells where a class's text is."""
     filed = classes.select("id", F.explode("bands").alias("band"))
     shape = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("content"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"))
     # Bands that hold the same classes count once.
     kept = shape.where("members > 1").groupBy("members", "pivot", "content", "total").agg(F.min("band").alias("band"))
     buckets = cut(filed.join(kept.select("band", "pivot", "members"), "band"))
-    sets = cut(_sets_of(docs, buckets.select("id").distinct()))
+    sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi")))
 
     star = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     members = star.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
@@ -257,23 +266,39 @@ def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return merged.union(second.join(first.select("id"), "id", "left_anti"))
 
 
-def resolve(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept; one row a document."""
+def _decided(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept; one row a document."""
     marked = cut(features(docs).withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))))
     worded = marked.where("set_hash IS NOT NULL")
     leaves = worded.groupBy("set_hash", "share").agg(F.min("doc_id").alias("least"))
-    classes = leaves.groupBy("set_hash").agg(F.min("least").alias("id"))
-    signed = worded.select("doc_id", "set_hash", "bands").join(classes, (worded["doc_id"] == classes["id"]) & (worded["set_hash"] == classes["set_hash"]), "left_semi")
-    linked = link(docs, signed.groupBy("doc_id", "set_hash").agg(F.first("bands").alias("bands")).select(F.col("doc_id").alias("id"), "bands"))
-    known = classes.join(linked, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    below = leaves.select("set_hash", "share").join(known, "set_hash")
+    classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("doc_id")))
+    # Classes of one doc_id (rows that repeat it with other texts) are told apart by their sets.
+    repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
+    unique = repeated.isEmpty()
+    if unique:
+        classes = classes.withColumn("id", F.col("doc_id"))
+    else:
+        classes = cut(classes.join(repeated, "doc_id", "left").select("set_hash", "doc_id", F.when(F.col("again"), F.xxhash64("set_hash")).otherwise(F.col("doc_id")).alias("id")))
+    signed = worded.select("doc_id", "set_hash", "bands").join(classes, ["doc_id", "set_hash"])
+    linked = link(docs, signed.groupBy("id").agg(F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash"))
+    known = classes.join(linked, "id", "left").select("set_hash", "doc_id", F.coalesce("component", "id").alias("component_id"))
+    if not unique:
+        least = known.groupBy("component_id").agg(F.min("doc_id").alias("least_id")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        known = known.withColumn("share", F.pmod(F.xxhash64("set_hash"), F.lit(SHARES)).cast("int")).join(least, ["component_id", "share"], "left").select("set_hash", F.col("least_id").alias("component_id"))
+    below = leaves.select("set_hash", "share").join(known.select("set_hash", "component_id"), "set_hash")
     out = marked.join(below, ["set_hash", "share"], "left").withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def resolve(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept; one row a document."""
+    return _decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns: of each group of linked documents the one with the smallest id."""
-    gone = resolve(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    held = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").withColumn("_text", F.xxhash64("text"))
+    gone = _decided(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    texts = docs.withColumn("_text", F.xxhash64("text"))
+    held = texts.join(gone.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(gone["_gone"]) & (texts["_text"] == gone["_gone_text"]), "left_anti")
     once = Window.partitionBy("doc_id", "_text").orderBy("_text")
     return held.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)

@@ -414,6 +414,17 @@ def test_near_dedup(docs, empty):
     assert kept.where("doc_id = 103").count() == 1
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows without an id, and different texts of one id: only those that are copies go."""
+    a, b, c, d = (words(60, 200 + k) for k in range(4))
+    near = " ".join(a.split()[:-3])
+    rows = [(1, a), (None, a.upper()), (None, b), (None, "short"), (5, c), (5, near), (7, d), (7, a.upper()), (8, d + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs).collect())
+    assert kept == Counter([(1, a), (None, b), (None, "short"), (5, c), (7, d)])
+    assert Counter((r.doc_id, r.component_id) for r in near_dedup.resolve(docs).collect()) == Counter([(1, 1), (None, 1), (None, None), (None, None), (5, 5), (5, 1), (7, 7), (7, 1), (8, 7)])
+
+
 def test_near_dedup_of_drifting_copies(spark, monkeypatch):
     """Chains in which few members are near the bucket's smallest, over blocks of a few members."""
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 4)
