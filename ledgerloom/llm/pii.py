@@ -4,8 +4,10 @@ Method: high-recall generators propose spans that may overlap: the four base kin
 after an assignment, key-like tokens, national account and identity numbers, local telephone
 numbers and failing base matches. Boosted trees score each candidate from its format and its
 context. For each kind the threshold is calibrated on a held-out part of the training
-candidates: the least score from which on PRECISION of them are right. Base spans always stay; added spans
-are taken by score where they overlap nothing taken before.
+candidates: the least score from which on PRECISION of them are right. Base spans always stay; of added
+spans all that are selected count, those that overlap as one span of the best one's kind.
+
+A value after an assignment reaches to its closing quote on the line, or else to white space or a quote.
 
 Training needs no labels from outside: candidates of a sample of documents, about TRAIN_DOCUMENTS
 of them by a hash of doc_id, are marked by strict validators (check digits, known prefixes, a
@@ -44,7 +46,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ASSIGNED = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{6,128})")
+_ASSIGNS = re.compile("[=:]")
+_ASSIGNED = re.compile(r"[=:][ \t]{0,3}(?:\"((?:[^\"\\\r\n]|\\.){6,}+)\"|'((?:[^'\\\r\n]|\\.){6,}+)'|[\"']?([^\s\"']{6,}))")
 _SECRET_NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]{0,3}$")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+")
 _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
@@ -115,14 +118,26 @@ def _iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def assignments(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start and end of the values after = or :, and whether a telling name stands before. Of either sort, named or not, none begins inside another."""
+    free = [0, 0]
+    for sign in _ASSIGNS.finditer(text):
+        at = sign.start()
+        if at < min(free):
+            continue
+        named = bool(_SECRET_NAME.search(text, max(0, at - 24), at))
+        if at >= free[named] and (m := _ASSIGNED.match(text, at)):
+            yield *m.span(m.lastindex), named
+            free[named] = m.end()
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and what strict validators say (1 or 0), of every candidate. Spans may overlap."""
     out = [(kind if fine else "other", start, end, int(fine)) for kind, start, end, fine in base_matches(text) if fine or end - start >= 7]
     if "=" in text or ":" in text:
-        for m in _ASSIGNED.finditer(text):
-            named = bool(_SECRET_NAME.search(text, max(0, m.start() - 24), m.start()))
-            if named or _DIGIT.search(m.group(1)):
-                out.append(("secret", m.start(1), m.end(1), int(named and len(m.group(1)) >= 8)))
+        for start, end, named in assignments(text):
+            if named or _DIGIT.search(text, start, end):
+                out.append(("secret", start, end, int(named and end - start >= 8)))
     if _DIGIT.search(text):
         done = 0
         for m in _DIGIT.finditer(text):
@@ -175,6 +190,21 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+def united(spans: list[tuple[int, int, float, str]]) -> Iterator[tuple[int, str, int]]:
+    """Spans (start, end, score, kind) that overlap become one, of the kind with the best score."""
+    held: list = []
+    for start, end, score, kind in sorted(spans):
+        if held and start < held[1]:
+            best = max((held[2], held[3]), (score, kind))
+            held = [held[0], max(held[1], end), *best]
+        else:
+            if held:
+                yield held[0], held[3], held[1]
+            held = [start, end, score, kind]
+    if held:
+        yield held[0], held[3], held[1]
+
+
 class Detector:
     """A fitted model: trees and a threshold a kind."""
 
@@ -202,8 +232,9 @@ class Detector:
         more = [(kind, start, end) for kind, start, end, _ in found if kind in self.least]
         if more:
             score = self.trees.predict(np.array([features(text, *c) for c in more]))
-            for _, start, end, kind in sorted((-s, start, end, kind) for s, (kind, start, end) in zip(score.tolist(), more) if s >= self.least[kind]):
-                if all(end <= a or b <= start for a, _, b in out):
+            base = [(start, end) for start, _, end in out]
+            for start, kind, end in united([(start, end, s, kind) for s, (kind, start, end) in zip(score.tolist(), more) if s >= self.least[kind]]):
+                if not any(a <= start and end <= b for a, b in base):
                     out.append((start, kind, end))
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
@@ -245,7 +276,7 @@ def find(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
 
 
 def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
-    """The text with each span replaced by its kind; base spans that overlap are replaced as one, under the first's kind."""
+    """The text with each span replaced by its kind; spans that overlap are replaced as one, under the first's kind."""
     out, at = [], 0
     for start, kind, end in spans:
         if start >= at:

@@ -309,6 +309,30 @@ def test_added_spans_come_from_the_trees(spark):
     assert all(("secret" in got[k]) == (k % 3 == 0) for k in got)
 
 
+def test_assigned_values_are_whole():
+    """Values without an upper bound, with punctuation, quoted ones with spaces; selected spans that overlap are united."""
+    long = "eyJ" + "aB3_" * 100 + "." + "x-9" * 60
+    for text, want in [
+        (f"token={long} and more", long),
+        ("password=Tr0ub4dor&3 next", "Tr0ub4dor&3"),
+        ('"api_key": "top secret, value 1!" tail', "top secret, value 1!"),
+        ('secret: "with \\" inside 1" tail', 'with \\" inside 1'),
+        ("https://x.org/a1b2?u=1&password=hunter2hunter2 end", "hunter2hunter2"),
+    ]:
+        assert want in [text[a:b] for kind, a, b, fine in pii.candidates(text) if kind == "secret" and fine]
+    assert len(list(pii.assignments("pwd=" * 50_000))) == 1 and len(list(pii.assignments("a1:" * 50_000))) == 1
+    assert list(pii.united([(5, 9, 0.9, "key"), (0, 6, 0.8, "secret"), (9, 12, 0.7, "tel")])) == [(0, "key", 9), (9, "tel", 12)]
+
+    class Sure:
+        def predict(self, x):
+            return np.ones(len(x))
+
+    detector = pii.Detector(np.zeros((0, 1)), [], np.zeros(0))
+    detector.trees, detector.least = Sure(), {"secret": 0.5, "key": 0.5}
+    text = f"mail a@b.org token={long} and more"
+    assert pii.redacted(text, detector.spans(text)) in ("mail [EMAIL] token=[SECRET] and more", "mail [EMAIL] token=[KEY] and more")
+
+
 def test_boosted_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 4))
