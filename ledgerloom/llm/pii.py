@@ -9,13 +9,17 @@ spans all that are selected count, those that overlap as one span of the best on
 
 A value after an assignment reaches to its closing quote on the line, or else to white space or a quote.
 
-Training needs no labels from outside: candidates of a sample of documents, about TRAIN_DOCUMENTS
-of them by a hash of doc_id, are marked by strict validators (check digits, known prefixes, a
-telling name before the value). The sample serves the fit alone; every text is searched whole.
+Training needs no labels from outside: candidates of all documents are marked by strict validators
+(check digits, known prefixes, a telling name before the value), and of each kind those with the
+smallest hashes of candidate and context train, about an equal part of TRAIN_CANDIDATES. So a kind
+that is rare among the documents is calibrated on all that there is; one of fewer than
+LEAST_EXAMPLES candidates, or without a reliable score, has the threshold UNCALIBRATED. Spans that a
+validator confirms are always taken, so that no valid one depends on the sample; the trees decide on
+all others. The sample serves the fit alone; every text is searched whole.
 
 Defined results: null and empty texts have no spans; null ids pass through; repeated rows get a
-row each; without training candidates (an empty table) only base spans are found; ``redact_documents``
-keeps all columns and a null text stays null.
+row each; without trees (fewer than LEAST_EXAMPLES training candidates, or all marked alike) base
+spans and confirmed ones are found; ``redact_documents`` keeps all columns and a null text stays null.
 """
 
 from __future__ import annotations
@@ -37,9 +41,10 @@ from .common import slices, texts_of
 #: Kinds in the order of ties; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "key", "iban", "ssn", "tel", "other")
 BASE = KINDS[:4]
-TRAIN_DOCUMENTS = 3000
 TRAIN_CANDIDATES = 20_000
 PRECISION = 0.99
+LEAST_EXAMPLES = 20
+UNCALIBRATED = 0.999
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -210,47 +215,74 @@ class Detector:
 
     def __init__(self, x: np.ndarray, kinds: list[str], y: np.ndarray):
         self.trees, self.least = None, {}
-        if len(y) < 20 or len(set(y.tolist())) < 2:
+        if len(y) < LEAST_EXAMPLES or len(set(y.tolist())) < 2:
             return
         held = np.arange(len(y)) % 4 == 3
         self.trees = BoostedTrees().fit(x[~held], y[~held])
         score = self.trees.predict(x[held])
-        kinds = np.array(kinds)[held]
+        kinds = np.array(kinds)
         for kind in KINDS[4:-1]:
-            own = kinds == kind
+            own = kinds[held] == kind
             order = np.argsort(-score[own])
             s, right = score[own][order], y[held][own][order].cumsum()
             good = np.flatnonzero(right >= PRECISION * np.arange(1, len(s) + 1))
-            # Halfway to the next score, but 0.5 at least; a kind without a reliable score in the held-out part must be all but certain.
-            below = float(s[good[-1] + 1]) if len(good) and good[-1] + 1 < len(s) else 0.0
-            self.least[kind] = max(0.5, (float(s[good[-1]]) + below) / 2) if len(good) else 0.999
+            # Halfway to the next score, but 0.5 at least.
+            if len(good) and (kinds == kind).sum() >= LEAST_EXAMPLES:
+                below = float(s[good[-1] + 1]) if good[-1] + 1 < len(s) else 0.0
+                self.least[kind] = max(0.5, (float(s[good[-1]]) + below) / 2)
 
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """start, kind and end of all spans: base spans, and the added ones that are selected."""
         found = candidates(text)
         out = [(start, kind, end) for kind, start, end, fine in found if kind in BASE and fine]
-        more = [(kind, start, end) for kind, start, end, _ in found if kind in self.least]
+        more = [c for c in found if c[0] not in BASE and c[0] != "other"]
         if more:
-            score = self.trees.predict(np.array([features(text, *c) for c in more]))
+            score = self.trees.predict(np.array([features(text, *c[:3]) for c in more])) if self.trees else np.zeros(len(more))
+            # What a validator confirms is taken whatever the sample says, and names the span that it is united into.
+            score = [1.0 if fine else s for s, (*_, fine) in zip(score.tolist(), more)]
+            taken = [(start, end, s, kind) for s, (kind, start, end, _) in zip(score, more) if s >= self.least.get(kind, UNCALIBRATED)]
             base = [(start, end) for start, _, end in out]
-            for start, kind, end in united([(start, end, s, kind) for s, (kind, start, end) in zip(score.tolist(), more) if s >= self.least[kind]]):
+            for start, kind, end in united(taken):
                 if not any(a <= start and end <= b for a, b in base):
                     out.append((start, kind, end))
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def _place(text: str, kind: str, start: int, end: int) -> int:
+    """A hash of a candidate with its context, 63 bits."""
+    seen = f"{kind}\0{text[max(0, start - 40) : start]}\0{text[start:end]}\0{text[end : end + 20]}"
+    return int.from_bytes(hashlib.blake2b(seen.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+
+
 def fit(docs: DataFrame) -> Detector:
-    """A detector from a bounded sample of the documents' candidates."""
-    every = max(1, docs.count() // TRAIN_DOCUMENTS)
+    """A detector from the candidates of all documents: of each kind, a bounded number by hash."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = {(_place(text, *c[:3]), c[0]) for text in texts_of(batch) for c in candidates(text)}
+            yield pa.record_batch([pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.int64())], names=["kind", "place"])
+
+    texts = docs.select("text")
+    counts = texts.mapInArrow(places, "kind string, place long").groupBy("kind").agg(F.approx_count_distinct("place").alias("n")).collect()
+    below = {r.kind: min(1 << 63, (TRAIN_CANDIDATES // len(KINDS) << 63) // max(1, r.n)) for r in counts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set()
         for batch in slices(batches):
-            rows = [(kind, features(text, kind, start, end), fine) for text in texts_of(batch) for kind, start, end, fine in candidates(text)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int32())], names=["kind", "x", "y"])
+            rows = []
+            for text in texts_of(batch):
+                for kind, start, end, fine in candidates(text):
+                    place = _place(text, kind, start, end)
+                    if place < below.get(kind, 0) and place not in known:
+                        known.add(place)
+                        rows.append((kind, place, features(text, kind, start, end), fine))
+            yield pa.record_batch(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())],
+                names=["kind", "place", "x", "y"],
+            )
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    rows = sample.mapInArrow(run, "kind string, x array<double>, y int").limit(TRAIN_CANDIDATES).collect()
-    rows.sort(key=lambda r: (r.kind, r.x))
+    rows = texts.mapInArrow(run, "kind string, place long, x array<double>, y int").dropDuplicates(["kind", "place"]).collect()
+    rows.sort(key=lambda r: (r.kind, r.x, r.place))
     return Detector(np.array([r.x for r in rows]), [r.kind for r in rows], np.array([r.y for r in rows]))
 
 

@@ -309,6 +309,19 @@ def test_added_spans_come_from_the_trees(spark):
     assert all(("secret" in got[k]) == (k % 3 == 0) for k in got)
 
 
+def test_rare_kinds_are_found_at_any_size(spark):
+    """Valid spans of a kind with one example, alone and among many documents of other kinds."""
+    r = random.Random(6)
+    hex_ = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rare = [(1, "pay to DE89370400440532013000 please"), (2, "SSN: 078-05-1120 on file")]
+    many = [(k, f"words {'password=' + hex_(18) if k % 2 else 'ratio=' + hex_(7)} and more {k}") for k in range(10, 4000)]
+    for rows in (rare, rare + many):
+        got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 3").collect()}
+        assert "iban:7:29" in got[1] and "ssn:5:16" in got[2], got
+    held = [f"password={hex_(18)}" for _ in range(30)]
+    assert {pii.Detector(np.zeros((0, 1)), [], np.zeros(0)).spans(t)[0][1] for t in held} <= {"secret", "key"}
+
+
 def test_assigned_values_are_whole():
     """Values without an upper bound, with punctuation, quoted ones with spaces; selected spans that overlap are united."""
     long = "eyJ" + "aB3_" * 100 + "." + "x-9" * 60
