@@ -506,6 +506,18 @@ def test_html(spark):
     assert "article" in wrappers["h1.example"].content and "div story" in wrappers["h0.example"].content
 
 
+def test_away_names_keep_the_article():
+    """Names on the page or around the article, and on what belongs to it, do not take its text away."""
+    text = lambda page: html_wrappers.main_text(page, ())
+    for name in ("single with-sidebar", "no-sidebar", "nav-open", "comments-open", "sidebar"):
+        assert text(f"<body class='{name}'><p>one</p><div class=site-header>top</div></body>") == "one"
+    for name in ("main has-sidebar", "sidebar", "content-with-comments"):
+        assert text(f"<div class='{name}'><article><header class=entry-header><h1>head</h1></header><section id=social-policy>two</section><div class=related>no</div></article></div>") == "head\ntwo"
+    assert text("<main><p>story</p></main><section id=comments><article>reply that is longer</article></section>") == "story"
+    assert text("<div class=sidebar><p>all there is</p></div>") == "all there is"
+    assert text("<p>x</p><div class=cookie-notice>a</div><div id='left_sidebar'>b</div><div class='y post-comments-2'>c</div>") == "x"
+
+
 def test_wrapper_generalises():
     one = html_wrappers.stream_of("<body><div class=a><p>x</p></div><div class=b><h2>H</h2></div></body>")
     two = html_wrappers.stream_of("<body><div class=a><p>y</p><p>z</p></div></body>")
