@@ -518,6 +518,14 @@ def test_away_names_keep_the_article():
     assert text("<p>x</p><div class=cookie-notice>a</div><div id='left_sidebar'>b</div><div class='y post-comments-2'>c</div>") == "x"
 
 
+def test_sibling_blocks_of_an_article_stay(spark):
+    page = "<body><nav>menu {k}</nav><div id=content><section class=intro><p>{a}</p></section><section class=body><p>{b}</p></section></div><footer>f {k}</footer></body>"
+    texts = [(words(9, 300 + k), words(25, 400 + k)) for k in range(8)]
+    pages = spark.createDataFrame([(k, "http://s.example/x", page.format(k=k, a=a, b=b)) for k, (a, b) in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_wrappers.extract(pages).collect()} == {k: f"{a}\n{b}" for k, (a, b) in enumerate(texts)}
+    assert html_wrappers.infer_wrappers(pages).first().content == '["body", "div content"]'
+
+
 def test_wrapper_generalises():
     one = html_wrappers.stream_of("<body><div class=a><p>x</p></div><div class=b><h2>H</h2></div></body>")
     two = html_wrappers.stream_of("<body><div class=a><p>y</p><p>z</p></div></body>")
