@@ -93,10 +93,14 @@ def _map(values: dict[tuple[int, ...], int], *names: str) -> Column:
     return F.coalesce(F.element_at(entries, F.concat_ws(":", *names)), F.lit(0).cast("long"))
 
 
+def _measures() -> tuple[Column, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+
+
 def assign(docs: DataFrame, old_shard: Column | None = None, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot; shard sizes near equal, fewest bytes moved."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (hash_shard(n_old) if old_shard is None else old_shard).alias("old_shard"))
+    rows = docs.select("doc_id", *_measures(), (hash_shard(n_old) if old_shard is None else old_shard).alias("old_shard"))
     shares = max(1, -(-docs.count() // (BUCKET_ROWS * n_old)))
     # Classes from the largest sizes down; sub deals the rows of a class out, copies of one text too.
     rows = cut(rows.withColumns({"cls": (-F.floor(F.log2("size") * CLASSES)).cast("int"), "sub": F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.lit(shares)).cast("int")}))
@@ -129,13 +133,29 @@ def digest(docs: DataFrame) -> DataFrame:
     return assign(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, old_shard: Column | None = None) -> list[int]:
     """Write the shards whose rows change, each in slot order, to path/shard=N; returns their numbers. Other shards keep their files.
 
-    docs and assigned are joined by doc_id, which must be unique here.
+    Null and repeated doc_ids are allowed: rows and places are joined by doc_id, size and checksum,
+    and equal ones by number. old_shard is what ``assign`` was given. docs must not be read from path.
     """
-    moved = assigned.where("shard <> old_shard")
+    moved = assigned.where("NOT shard <=> old_shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
-    rows = docs.join(assigned.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    measures = dict(zip(("_size", "_crc", "_old"), (*_measures(), F.lit(0) if old_shard is None else old_shard)))
+    own = ["doc_id", *measures]
+    rows = docs.withColumns(measures).withColumn("_nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    places = assigned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_own_size"), F.col("text_crc32").alias("_own_crc"), (F.lit(0) if old_shard is None else F.col("old_shard")).alias("_own_old"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    places = places.withColumn("_own_nth", F.row_number().over(Window.partitionBy("_id", "_own_size", "_own_crc", "_own_old").orderBy("_shard", "_slot"))).where(F.col("_shard").isin(touched))
+    same = rows["doc_id"].eqNullSafe(places["_id"])
+    for a, b in (("_size", "_own_size"), ("_crc", "_own_crc"), ("_old", "_own_old"), ("_nth", "_own_nth")):
+        same = same & (rows[a] == places[b])
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = rows.join(places, same).select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    out.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    # A shard that all rows have left has nothing to overwrite its files with.
+    held = {r[0] for r in assigned.select("shard").distinct().collect()}
+    spark = docs.sparkSession
+    for shard in set(touched) - held:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return touched

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import bpe, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
@@ -266,6 +267,26 @@ def test_rewrite_affected(spark, tmp_path):
     assert 4 in touched and {r.doc_id for r in back.collect()} == {r.doc_id for r in assigned.where(assigned.shard.isin(touched)).collect()}
 
 
+def test_rewrite_keeps_every_row_and_other_shards(spark, tmp_path):
+    """Null and repeated ids, equal rows, a folder that exists, a shard that all rows leave."""
+    rows = [(k, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(40)] + [(7, "text 7"), (7, "text 7"), (8, "other"), (None, "none 3"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "out")
+    for n_old, n_new in ((4, 6), (6, 4)):
+        old = F.coalesce(resharding.hash_shard(n_old), F.lit(0))
+        docs.withColumns({"shard": old, "slot": F.lit(-1).cast("long")}).write.mode("overwrite").partitionBy("shard").parquet(path)
+        assigned = resharding.assign(docs, n_old=n_old, n_new=n_new).cache()
+        touched = resharding.rewrite_affected(docs, assigned, path)
+        back = spark.read.parquet(path).collect()
+        assert Counter((r.doc_id, r.text) for r in back) == Counter(rows) and all((r.slot >= 0) == (r.shard in touched) for r in back)
+        assert Counter((r.doc_id, r.shard, r.slot) for r in back if r.slot >= 0) == Counter((r.doc_id, r.shard, r.slot) for r in assigned.collect() if r.shard in touched)
+    folder = str(tmp_path / "one")
+    docs.withColumns({"shard": F.when(F.col("doc_id").isNull(), 3).otherwise(0), "slot": F.lit(-1)}).write.partitionBy("shard").parquet(folder)
+    own = F.when(F.col("doc_id").isNull(), 3).otherwise(0)
+    resharding.rewrite_affected(docs, resharding.assign(docs, own, 4, 3), folder, own)
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(folder).collect()) == Counter(rows)
+
+
 # --- 6
 
 def base_spans(text):
