@@ -44,14 +44,18 @@ def _assignments(text: Column, pattern: str, as_json: bool) -> Column:
     return F.replace(F.replace(settled, F.lit("\x05\x06"), F.lit("\x01")), F.lit("\x05\x05"), F.lit("\x05"))
 
 
+def known_shapes(text: Column) -> Column:
+    """The text without secrets of a known shape, every shape in order."""
+    for _, pattern, marker in SHAPES:
+        text = F.regexp_replace(text, pattern, marker)
+    return text
+
+
 def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
     """The text without secrets: listed values (longest first), known shapes, sensitive assignments."""
     for value in sorted({s for s in secrets if len(s.encode()) >= LEAST_LITERAL}, key=lambda s: (-len(s), s)):
         text = F.replace(text, F.lit(value), F.lit("[REDACTED:env]"))
-    clean = text
-    for _, pattern, marker in SHAPES:
-        clean = F.regexp_replace(clean, pattern, marker)
-    clean = _assignments(_assignments(clean, _JSON, True), _PLAIN, False)
+    clean = _assignments(_assignments(known_shapes(text), _JSON, True), _PLAIN, False)
     # Every pattern needs one of these; looking for them is far cheaper than trying the patterns at every word.
     small = F.lower(text)
     hinted = F.contains(small, F.lit(HINTS[0]))

@@ -49,11 +49,14 @@ SHAPED = _shapes_sql("concat(left(text, 200), ' ; ', " + _sql(SAMPLES) + ")")
 
 @query("SELECT doc_id, " + SHAPED + " AS text FROM documents")
 def r_known_shapes(s: SparkSession, d: str) -> DataFrame:
-    """r2 to r6: every shape of secret in order."""
-    text = F.concat(F.left("text", F.lit(200)), F.lit(" ; " + SAMPLES))
-    for _, pattern, marker in G.SHAPES:
-        text = F.regexp_replace(text, pattern, marker)
-    return _bodies(s, d).select("doc_id", text.alias("text"))
+    """r2 to r6 on samples of every shape after each document's start; r_known_shapes_whole has the whole texts."""
+    return _bodies(s, d).select("doc_id", G.known_shapes(F.concat(F.left("text", F.lit(200)), F.lit(" ; " + SAMPLES))).alias("text"))
+
+
+@query("SELECT doc_id, " + _shapes_sql("text") + " AS text FROM documents")
+def r_known_shapes_whole(s: SparkSession, d: str) -> DataFrame:
+    """r2 to r6: every shape of secret in order, over whole texts."""
+    return _bodies(s, d).select("doc_id", G.known_shapes(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, ' the ', '')) AS n, replace(replace(text, 'password=', '[REDACTED:env]'), 'token = ', '[REDACTED:env]') AS text FROM documents")

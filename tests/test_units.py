@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize, signatures
 from ledgerloom.operators import events, governance, integrity, turns
-from ledgerloom.plans import views
+from ledgerloom.plans import governance_queries, registry, views
 from ledgerloom.sources import transcripts
 
 
@@ -40,6 +41,18 @@ def test_redaction(spark, text, want):
     assert one(spark, governance.redacted(F.lit(text))) == want
 
 
+def test_known_shapes_over_whole_texts(spark, tmp_path):
+    """Secrets of every shape after the first 200 characters, and texts without any."""
+    head = "plain words " * 40
+    rows = [(1, head + "; " + governance_queries.SAMPLES + " ; end"), (2, head), (3, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in registry.queries()["r_known_shapes_whole"](spark, str(tmp_path)).collect()}
+    want = rows[0][1]
+    for _, pattern, marker in governance.SHAPES:
+        want = re.sub(pattern, marker.replace("$1", r"\1"), want)
+    assert got == {1: want, 2: head, 3: None, None: ""} and want.count("[REDACTED:") == 8
+
+
 def test_literal_secrets_longest_first(spark):
     assert one(spark, governance.redacted(F.lit("abcdefgh12 abcdefgh"), ("abcdefgh", "abcdefgh12", "short"))) == "[REDACTED:env] [REDACTED:env]"
 
