@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,8 @@ def variant_by_priority(runs: Column, patterns: Sequence[str]) -> Column:
         return F.get(F.filter(F.transform(runs, lambda run: F.regexp_extract(run, pattern, 0)), lambda x: x != ""), F.lit(0))
 
     return F.coalesce(*map(first, patterns))
+
+
+def turn_variant(blocks: DataFrame, *turn: str, order: str = "block_index", variant: str = "variant") -> DataFrame:
+    """One row a turn: the first block with a variant names it; null where none has one."""
+    return blocks.groupBy(*turn).agg(F.min_by(variant, F.when(F.col(variant).isNotNull(), F.col(order))).alias("variant"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -202,13 +202,46 @@ def n12_image_blocks(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(left(text, 200), '[\\x20-\\x7e]{0,}tion') AND regexp_extract(left(text, 200), '[a-z]*tion', 0) <> '' THEN regexp_extract(left(text, 200), '[a-z]*tion', 0) ELSE nullif(regexp_extract(left(text, 200), '[a-z]*ent', 0), '') END AS variant FROM documents WHERE lang = 'en' AND strlen(left(text, 200)) = length(left(text, 200)) AND NOT contains(left(text, 200), chr(10))")
 def g_signatures(s: SparkSession, d: str) -> DataFrame:
-    """g1 tolerant base64, g2 printable runs, g3 the first pattern that matches, g4."""
+    """g1 tolerant base64, g2 printable runs, g3 the first pattern that matches, on the first 200 characters of one-line ASCII texts; g_signatures_whole has all texts."""
     head = F.left("text", F.lit(200))
     docs = table(s, d, "documents").where((F.col("lang") == "en") & (F.octet_length(head) == F.length(head)) & ~F.contains(head, F.lit("\n")))
     unpadded = F.regexp_replace(F.base64(head.cast("binary")), "[=\r\n]", "")
     return docs.select("doc_id", G.variant_by_priority(G.ascii_runs(G.decode_base64(unpadded)), ["[a-z]*tion", "[a-z]*ent"]).alias("variant"))
 
 
+@query("SELECT doc_id, length(base64(encode(text))) AS b64_len, length(base64(encode(text))) * 3 // 4 AS approx_bytes FROM documents")
+def n12_image_blocks_whole(s: SparkSession, d: str) -> DataFrame:
+    """n12 over whole texts."""
+    block = lambda kind, data: F.struct(F.lit(kind).alias("type"), F.lit("image/png").alias("media_type"), data.alias("data"))
+    blocks = F.array(block("text", F.lit("x")), block("image", F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")))
+    return table(s, d, "documents").select("doc_id", F.explode(N.image_blocks(blocks)).alias("i")).select("doc_id", "i.b64_len", "i.approx_bytes")
+
+
+def _variant(text: Column) -> Column:
+    """g1 to g3 of a text as a signature without padding."""
+    unpadded = F.regexp_replace(F.base64(text.cast("binary")), "[=\r\n]", "")
+    return G.variant_by_priority(G.ascii_runs(G.decode_base64(unpadded)), ["[a-z]*tion", "[a-z]*ent"])
+
+
+def _variant_sql(text: str) -> str:
+    """Bytes of characters beyond ASCII are not printable, so runs of characters are runs of bytes."""
+    first = lambda p: f"list_filter(list_transform(regexp_extract_all({text}, '[\\x20-\\x7e]{{4,}}'), lambda x: regexp_extract(x, '{p}', 0)), lambda x: x <> '')[1]"
+    return f"coalesce({first('[a-z]*tion')}, {first('[a-z]*ent')})"
+
+
+@query(f"SELECT doc_id, {_variant_sql('text')} AS variant FROM documents")
+def g_signatures_whole(s: SparkSession, d: str) -> DataFrame:
+    """g1 to g3 over all rows and whole texts."""
+    return table(s, d, "documents").select("doc_id", _variant(F.col("text")).alias("variant"))
+
+
+@query(f"SELECT conv_id, arg_min(variant, turn) FILTER (variant IS NOT NULL) AS variant FROM (SELECT conv_id, turn, {_variant_sql('text')} AS variant FROM conversations) GROUP BY conv_id")
+def g4_turn_variant(s: SparkSession, d: str) -> DataFrame:
+    """g4: the first block with a variant names the turn; here a conversation's messages are the blocks."""
+    blocks = table(s, d, "conversations").select("conv_id", "turn", _variant(F.col("text")).alias("variant"))
+    return G.turn_variant(blocks, "conv_id", order="turn")
+
+
 # --- streams
 
 EVENT_SCHEMA = "log_index long, id string, event_type string, action_type string, actor_id string, session_id string, event_ms long, settled_energy long, event_time timestamp"

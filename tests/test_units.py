@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 
@@ -53,6 +54,28 @@ def test_known_shapes_over_whole_texts(spark, tmp_path):
     assert got == {1: want, 2: head, 3: None, None: ""} and want.count("[REDACTED:") == 8
 
 
+def test_signatures_over_all_rows_and_whole_texts(spark, tmp_path):
+    texts = ["x" * 300 + " station", "é agent ü\nnation", "日本語", "", None, "intent\n" * 60, "tio n ent"]
+    schema = "doc_id long, text string, lang string"
+    spark.createDataFrame([(k, t, "de") for k, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def variant(text):
+        runs = re.findall(r"[\x20-\x7e]{4,}", text.encode().decode("latin-1"))
+        return next((m[0] for p in ("[a-z]*tion", "[a-z]*ent") for r in runs if (m := re.search(p, r))), None)
+
+    q = registry.queries()
+    got = {r.doc_id: r.variant for r in q["g_signatures_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else variant(t) for k, t in enumerate(texts)} and got[0] == "station" and got[1] == "nation"
+    sizes = {r.doc_id: (r.b64_len, r.approx_bytes) for r in q["n12_image_blocks_whole"](spark, str(tmp_path)).where("doc_id <> 4").collect()}
+    lengths = {k: len(base64.b64encode(t.encode())) for k, t in enumerate(texts) if t is not None}
+    assert sizes == {k: (n, n * 3 // 4) for k, n in lengths.items()}
+
+
+def test_the_first_block_with_a_variant_names_the_turn(spark):
+    blocks = spark.createDataFrame([("a", 2, "late"), ("a", 0, None), ("a", 1, "first"), ("b", 0, None)], "turn string, block_index int, variant string")
+    assert {r.turn: r.variant for r in signatures.turn_variant(blocks, "turn").collect()} == {"a": "first", "b": None}
+
+
 def test_literal_secrets_longest_first(spark):
     assert one(spark, governance.redacted(F.lit("abcdefgh12 abcdefgh"), ("abcdefgh", "abcdefgh12", "short"))) == "[REDACTED:env] [REDACTED:env]"
 
