@@ -7,7 +7,9 @@ import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Unicode White_Space, as the tokenizers' regular expressions read ``\s`` (fixed values).
@@ -18,6 +20,8 @@ _SOLID = re.compile(f"[^{WHITE}]+")
 
 #: Rows of an Arrow batch that Python holds as objects at a time.
 SLICE_ROWS = 256
+#: Bytes of texts that a task works on at a time, where rows alone do not bound them.
+SLICE_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def sized_slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts have about ``size`` bytes in all, but one row at least."""
+    for batch in batches:
+        upto = pc.cumulative_sum(pc.binary_length(batch.column(name)).fill_null(0).cast(pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The text column; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -65,26 +80,35 @@ def solid_chunks(text: str) -> list[str]:
 class ChunkCache:
     """Chunk -> encoded bytes, for chunks that are encoded alone.
 
-    Holds ``limit`` chunks and those of the current slice at most: when it has grown beyond the
-    limit, only what the current slice uses stays. Chunks longer than ``longest`` never stay.
+    Two generations of at most ``limit`` bytes each beside those of the current slice: what is used
+    again moves to the younger one, and when that is full it becomes the older, whose chunks that
+    were not used meanwhile go. So frequent chunks stay. Chunks longer than ``longest`` never stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 500_000, longest: int = 64):
-        self.encode_many, self.limit, self.longest, self.known = encode_many, limit, longest, {}
+    #: About what a chunk takes beside its letters and ids.
+    OVERHEAD = 160
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 48 << 20, longest: int = 64):
+        self.encode_many, self.limit, self.longest = encode_many, limit, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def encode(self, chunked: list[list[str]]) -> list[bytes]:
         """For each list of chunks, their encodings joined."""
-        used = set().union(*chunked)
-        fresh = list(used.difference(self.known))
-        known = self.known
-        known.update(zip(fresh, self.encode_many(fresh), strict=True))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
-        if len(known) > self.limit:
-            self.known = {c: known[c] for c in used if len(c) <= self.longest}
-        else:
-            for c in fresh:
-                if len(c) > self.longest:
-                    del known[c]
+        young, old = self.young, self.old
+        missing = set().union(*chunked).difference(young)
+        again = {c: old[c] for c in missing if c in old}
+        fresh = list(missing.difference(again))
+        young.update(again)
+        young.update(zip(fresh, self.encode_many(fresh), strict=True))
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in chunked]
+        for c in fresh:
+            if len(c) > self.longest:
+                del young[c]
+        self.bytes += sum(self.OVERHEAD + len(c) + len(young[c]) for c in missing if c in young)
+        if self.bytes > self.limit:
+            self.old, self.young, self.bytes = young, {}, 0
         return out
 
 

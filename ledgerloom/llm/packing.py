@@ -1,9 +1,15 @@
 """Best-fit packing of token pieces into fixed-length sequences.
 
-Method: bounded-space online best-fit. A lane (a hash share of the documents, of bounded size)
-is packed by one task, longest pieces first. It keeps at most ``open_bins`` bins open, indexed by a bitset over free
-space: the tightest bin that still takes a piece is the lowest set bit at or above the piece's
-length. When a new bin is needed and all are open, the fullest one closes first.
+Method: bounded-space online best-fit. A lane (a hash share of the pieces, of bounded size) is
+packed by one task, in the order of doc_id and piece, whatever their lengths. It keeps at most
+OPEN_BINS bins open, indexed by a bitset over free space: the tightest bin that still takes a piece
+is the lowest set bit at or above the piece's length. When a new bin is needed and all are open,
+the fullest one closes first.
+
+Tokens: the words of many texts are encoded together. The tokenizer drops white space, cuts words
+by its own pattern and marks each word's last token, so a text's distinct runs without white space
+are cut into words once, distinct words are encoded in one text, and the ids are gathered back
+with arrays. Nothing is kept from one slice of texts to the next.
 
 Defined results: a null text counts as empty; an empty text is one piece holding the end id
 alone; a null doc_id is packed like any other; repeated rows are packed once each; an empty
@@ -22,57 +28,116 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, quiet_tokenizers, slices, solid_chunks, texts_of
+from .common import quiet_tokenizers, sized_slices, solid_chunks
 
 SEQUENCE_TOKENS = 2048
-#: Enough for every bin of a lane of the size below; then decreasing order comes within a bin or two of the bound.
-OPEN_BINS = 8192
+OPEN_BINS = 64
 #: Mean documents a lane. Lanes grow in number, not in size, with the table.
-LANE_DOCUMENTS = 8_000
+LANE_DOCUMENTS = 16_384
 #: Lanes number their sequences apart from each other.
 LANE_STRIDE = 1 << 36
 END_ID = 0
 
+#: Runs that normalisation leaves as they are but for case, and whose words are cut as below; no special token is spelled with them.
+_PLAIN = "^[!-;=-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00ff]*$"
+#: The tokenizer's word pattern over lower-case runs of such letters.
+_WORD = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+)"
+#: What ends the last token of a word in the vocabulary (fixed value).
+WORD_END = "</w>"
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
-@cache
-def _encoder(path: str) -> ChunkCache:
-    quiet_tokenizers()
-    from tokenizers import Tokenizer
+class Ragged:
+    """Lists of ids, one after the other: ids, and where each list begins and ends."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        self.ids, self.bounds = ids, bounds
+
+    def gather(self, chosen: np.ndarray, ends: np.ndarray) -> Ragged:
+        """New lists made of chosen ones: list k joins chosen[ends[k]:ends[k + 1]]."""
+        sizes = np.diff(self.bounds)[chosen]
+        upto = np.append(0, np.cumsum(sizes))
+        at = np.repeat(self.bounds[:-1][chosen] - upto[:-1], sizes) + np.arange(upto[-1])
+        return Ragged(self.ids[at], upto[ends])
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+class WordEndEncoder:
+    """Whole texts to ids, for a tokenizer that drops white space, cuts words as _WORD does, and marks word ends."""
 
-    def many(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def __init__(self, path: str):
+        quiet_tokenizers()
+        from tokenizers import Tokenizer
 
-    return ChunkCache(many)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+
+    def encode(self, texts: pa.StringArray) -> Ragged:
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # white space to Arrow, not to the tokenizer
+            chunks = pa.array([solid_chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            chunks = pc.utf8_split_whitespace(texts)
+        ends = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.flatten().dictionary_encode()
+        return self._chunks(coded.dictionary).gather(coded.indices.to_numpy(), ends - ends[0])
+
+    def _chunks(self, chunks: pa.StringArray) -> Ragged:
+        """Plain runs through their words, the others one by one; in the order given."""
+        plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(chunks.filter(pa.array(plain))), _WORD, "\\1 "), " "), " ")
+        words = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        one = self._words(words.dictionary.to_pylist()).gather(words.indices.to_numpy(), ends - ends[0])
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(chunks.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        sizes = np.empty(len(chunks), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(one.bounds), [len(r) for r in rest]
+        owner = np.repeat(plain, sizes)
+        ids = np.empty(len(owner), "<u4")
+        ids[owner] = one.ids
+        ids[~owner] = np.concatenate([np.array(r, "<u4") for r in rest]) if rest else ()
+        return Ragged(ids, np.append(0, np.cumsum(sizes)))
+
+    def _words(self, words: list[str]) -> Ragged:
+        """Each word ends with the first token that ends a word; the empty one has none."""
+        held = np.array([w != "" for w in words], bool)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        sizes = np.zeros(len(words), np.int64)
+        sizes[held] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return Ragged(ids, np.append(0, np.cumsum(sizes)))
+
+
+@cache
+def _encoder(path: str) -> WordEndEncoder:
+    return WordEndEncoder(path)
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
 
-    The tokenizer must drop white space and never merge across it (the word-end kind does), so
-    that each run without white space is encoded alone. A document is its ids, then ``end_id``;
-    only documents longer than a sequence are cut.
+    A document is its ids, then ``end_id``; only documents longer than a sequence are cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            ids, piece, start, length, raw = [], [], [], [], []
-            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), encoder.encode([solid_chunks(t) for t in texts_of(batch)]), strict=True):
-                coded += end
-                for k, at in enumerate(range(0, len(coded), 4 * sequence_tokens)):
-                    part = coded[at : at + 4 * sequence_tokens]
-                    ids.append(doc_id)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    raw.append(part)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+        encoder = _encoder(tokenizer_path)
+        for batch in sized_slices(batches):
+            coded = encoder.encode(batch.column("text"))
+            lengths = np.diff(coded.bounds) + 1
+            ids = np.full(lengths.sum(), end_id, "<u4")
+            last = np.zeros(len(ids), bool)
+            last[np.cumsum(lengths) - 1] = True
+            ids[~last] = coded.ids
+            pieces = -(-lengths // sequence_tokens)
+            row = np.repeat(np.arange(len(lengths)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(lengths[row] - piece * sequence_tokens, sequence_tokens)
+            ends = np.append(0, 4 * np.cumsum(length)).astype(np.int32)
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * sequence_tokens, pa.int64()), pa.array(length, pa.int64()), raw], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
 
@@ -112,11 +177,12 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
 def pack(pieces: DataFrame, n_documents: int, sequence_tokens: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
     """pieces (doc_id, piece, length and any more) with sequence_id and offset.
 
-    Lanes are hash shares of documents, about LANE_DOCUMENTS each; a lane's rows hold no texts
-    unless the caller carries them. A piece longer than a sequence is an error of the caller.
+    Lanes are hash shares of the pieces of about LANE_DOCUMENTS documents each; a lane's rows hold
+    no texts unless the caller carries them. A piece longer than a sequence is an error of the caller.
     """
     lanes = max(1, -(-n_documents // LANE_DOCUMENTS))
-    order = [("length", "descending"), *((c, "ascending") for c in pieces.columns if c in ("doc_id", "piece", "ids_crc32"))]
+    own = [c for c in pieces.columns if c in ("doc_id", "piece", "ids_crc32")]
+    order = [(c, "ascending") for c in own]
 
     def run(lane: pa.Table) -> pa.Table:
         number = lane.column("_lane")[0].as_py()
@@ -126,7 +192,7 @@ def pack(pieces: DataFrame, n_documents: int, sequence_tokens: int = SEQUENCE_TO
         return lane.append_column("sequence_id", pa.array(np.array(bins, "i8") + number * LANE_STRIDE)).append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    laned = pieces.withColumn("_lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
+    laned = pieces.withColumn("_lane", F.pmod(F.xxhash64("length", *own), F.lit(lanes)))
     return laned.groupBy("_lane").applyInArrow(run, f"{schema}, sequence_id long, offset long")
 
 

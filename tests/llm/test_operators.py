@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
+from ledgerloom.llm import bpe, common, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, token_counts, toxicity
 from ledgerloom.llm.boosting import BoostedTrees
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -150,6 +151,75 @@ def test_fullest_bin_closes_first():
     assert bins == [0, 1, 2, 1, 2] and offsets == [0, 0, 0, 5, 7]
 
 
+def plain_best_fit(lengths, capacity, open_bins):
+    """The rule as it reads, over a list of open bins."""
+    free, held, bins = [], [], []
+    for n in lengths:
+        fitting = [b for b in held if free[b] >= n]
+        if fitting:
+            least = min(free[b] for b in fitting)
+            b = [b for b in fitting if free[b] == least][-1]
+        else:
+            if len(held) == open_bins:
+                least = min(free[b] for b in held)
+                held.remove([b for b in held if free[b] == least][-1])
+            b = len(free)
+            free.append(capacity)
+            held.append(b)
+        bins.append(b)
+        free[b] -= n
+        held.remove(b)
+        if free[b]:
+            held.append(b)
+    return bins
+
+
+@pytest.mark.parametrize("open_bins", [1, 3, packing.OPEN_BINS])
+def test_best_fit_equals_the_rule(open_bins):
+    r = random.Random(open_bins)
+    for capacity, n in ((20, 400), (packing.SEQUENCE_TOKENS, 3000)):
+        lengths = [r.randint(1, capacity) if r.random() < 0.3 else r.randint(capacity // 2, capacity) for _ in range(n)]
+        bins, offsets = packing.best_fit(lengths, capacity, open_bins)
+        assert bins == plain_best_fit(lengths, capacity, open_bins)
+        held = Counter()
+        for b, o, n_tokens in zip(bins, offsets, lengths):
+            assert o == held[b]
+            held[b] += n_tokens
+        assert max(held.values()) <= capacity
+
+
+def test_bins_close_at_the_settings_of_the_query():
+    """Pieces of over half a sequence fill all open bins; the next one closes the fullest, which then takes no more."""
+    lengths = [1100 + k for k in range(packing.OPEN_BINS)] + [1025] + [948 - packing.OPEN_BINS + 1]
+    bins, _ = packing.best_fit(lengths, packing.SEQUENCE_TOKENS, packing.OPEN_BINS)
+    assert bins[packing.OPEN_BINS] == packing.OPEN_BINS and bins[-1] == packing.OPEN_BINS - 2
+
+
+def test_word_end_encoder_equals_the_library():
+    library, encoder, r = Tokenizer.from_file(WORD), packing.WordEndEncoder(WORD), random.Random(9)
+    pieces = ["the", "ing", " th", "don't", "'S", "'lL", "   ", "\n", "é", "日", "<|endoftext|>", "x1", "'s", "\x1c", "ÀÉ×÷ß", "İ", "K", "ÿ", "\xa0", "<", "|>", "1234", "\u0301", "½²ªºµ"]
+    texts = ["".join(r.choice([r.choice(pieces), chr(r.randint(32, 0x24F)), r.choice("abcdefgh'")]) for _ in range(r.randint(0, 50))) for _ in range(4000)]
+    for own in (texts, [t for t in texts if "\x1c" not in t], [], ["", " "]):
+        got = encoder.encode(pa.array(own, pa.string()))
+        assert [got.ids[a:b].tolist() for a, b in zip(got.bounds, got.bounds[1:])] == [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+
+
+def test_sized_slices():
+    batch = pa.record_batch([pa.array(["x" * 10, None, "", "y" * 50, "z", "z"])], names=["text"])
+    for size in (1, 11, 52, 1000):
+        cut = list(common.sized_slices([batch], size))
+        assert [t for b in cut for t in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+        assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column("text").to_pylist()) <= size for b in cut)
+
+
+def test_chunk_cache_keeps_what_recurs():
+    asked = []
+    cache = common.ChunkCache(lambda chunks: asked.extend(chunks) or [c.encode() for c in chunks], limit=20 * 170)
+    for k in range(100):
+        assert cache.encode([["often", f"new{k}", "often", "x" * 100]]) == [f"oftennew{k}often".encode() + b"x" * 100]
+    assert asked.count("often") == 1 and asked.count("x" * 100) == 100 and len(cache.young) + len(cache.old) < 50
+
+
 # --- 3
 
 def test_exact_dedup(docs, empty):
