@@ -6,14 +6,18 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Trees of a fixed depth over quantile bins; everything is an array, so the fitted model travels as a small closure."""
+    """Trees of a fixed depth over binned features; everything is an array, so the fitted model travels as a small closure.
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16, least_weight: float = 1.0):
-        self.trees, self.depth, self.rate, self.bins, self.least_weight = trees, depth, rate, bins, least_weight
+    A feature of at most ``bins`` distinct values has an edge between any two neighbouring ones, so
+    that a rare indicator is seen; of others, half of the edges are quantiles of the rows and half
+    quantiles of the distinct values. A leaf has ``least_rows`` rows at least.
+    """
+
+    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16, least_weight: float = 0.05, least_rows: int = 8):
+        self.trees, self.depth, self.rate, self.bins, self.least_weight, self.least_rows = trees, depth, rate, bins, least_weight, least_rows
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        quantiles = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(column, quantiles)) for column in x.T]
+        self.edges = [self._edges(column) for column in x.T]
         binned = self._bin(x)
         mean = np.clip(y.mean(), 0.01, 0.99)
         self.base = float(np.log(mean / (1 - mean)))
@@ -25,6 +29,13 @@ class BoostedTrees:
             score += self._leaf_values(tree, binned)
         return self
 
+    def _edges(self, column: np.ndarray) -> np.ndarray:
+        values = np.unique(column)
+        if len(values) <= self.bins:
+            return (values[1:] + values[:-1]) / 2
+        half = self.bins // 2
+        return np.unique(np.append(np.quantile(column, np.linspace(0, 1, half + 2)[1:-1]), np.quantile(values, np.linspace(0, 1, self.bins - half + 1)[1:-1])))
+
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, column, "right") for e, column in zip(self.edges, x.T)], axis=1)
 
@@ -41,9 +52,10 @@ class BoostedTrees:
                 shape = (1 << level, self.bins)
                 g = np.bincount(cell, gradient, shape[0] * shape[1]).reshape(shape).cumsum(axis=1)
                 h = np.bincount(cell, weight, shape[0] * shape[1]).reshape(shape).cumsum(axis=1)
-                gt, ht = g[:, -1:], h[:, -1:]
+                n = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape).cumsum(axis=1)
+                gt, ht, nt = g[:, -1:], h[:, -1:], n[:, -1:]
                 gain = g**2 / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt**2 / (ht + 1)
-                gain[(h < self.least_weight) | (ht - h < self.least_weight)] = 0
+                gain[(h < self.least_weight) | (ht - h < self.least_weight) | (n < self.least_rows) | (nt - n < self.least_rows)] = 0
                 at = gain.argmax(axis=1)
                 top = gain[np.arange(len(at)), at]
                 better = np.flatnonzero(top > best)

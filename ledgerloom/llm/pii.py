@@ -1,21 +1,24 @@
 """Personal data by candidate generation and gradient boosting.
 
 Method: high-recall generators propose spans that may overlap: the four base kinds, and values
-after an assignment, key-like tokens, national account and identity numbers, local telephone
-numbers and failing base matches. Boosted trees score each candidate from its format and its
-context. For each kind the threshold is calibrated on a held-out part of the training
-candidates: the least score from which on PRECISION of them are right. Base spans always stay; of added
-spans all that are selected count, those that overlap as one span of the best one's kind.
+after an assignment, key-like tokens, national account and identity numbers and local telephone
+numbers. Boosted trees score each candidate of an added kind from its format and its context. For
+each of these kinds the threshold is calibrated on a held-out part of the training candidates: the
+least score from which on PRECISION of them are right. Base spans always stay; of added spans all
+that are selected count, those that overlap as one span of the best one's kind.
 
 A value after an assignment reaches to its closing quote on the line, or else to white space or a quote.
 
-Training needs no labels from outside: candidates of all documents are marked by strict validators
-(check digits, known prefixes, a telling name before the value), and of each kind those with the
-smallest hashes of candidate and context train, about an equal part of TRAIN_CANDIDATES. So a kind
-that is rare among the documents is calibrated on all that there is; one of fewer than
-LEAST_EXAMPLES candidates, or without a reliable score, has the threshold UNCALIBRATED. Spans that a
-validator confirms are always taken, so that no valid one depends on the sample; the trees decide on
-all others. The sample serves the fit alone; every text is searched whole.
+Training needs no labels from outside. Candidates of all documents are right where a strict validator
+(check digits, known prefix, a telling name before the value) says so, and count as wrong elsewhere; of
+each kind those with the smallest hashes of candidate and context train, about an equal part of
+TRAIN_CANDIDATES. To these come planted ones: values of each kind made by a rule, PLANTED a kind, in
+the context of other candidates, so that most stand without what the validators read. Trees thus learn
+which formats are personal in which surroundings; where wrong candidates look like planted ones, the
+held-out part shows it and the threshold rises. A kind of fewer than LEAST_EXAMPLES candidates, or
+without a reliable score, has the threshold UNCALIBRATED. Spans that a validator confirms are always
+taken, so that no valid one depends on the sample; the trees decide on all others. The sample serves
+the fit alone; every text is searched whole.
 
 Defined results: null and empty texts have no spans; null ids pass through; repeated rows get a
 row each; without trees (fewer than LEAST_EXAMPLES training candidates, or all marked alike) base
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,10 +43,12 @@ from .boosting import BoostedTrees
 from .common import slices, texts_of
 
 #: Kinds in the order of ties; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "secret", "key", "iban", "ssn", "tel", "other")
-BASE = KINDS[:4]
-TRAIN_CANDIDATES = 20_000
-PRECISION = 0.99
+KINDS = ("email", "ip", "card", "phone", "secret", "key", "iban", "ssn", "tel")
+BASE, ADDED = KINDS[:4], KINDS[4:]
+TRAIN_CANDIDATES = 10_000
+#: Planted training candidates of each added kind.
+PLANTED = 400
+PRECISION = 0.97
 LEAST_EXAMPLES = 20
 UNCALIBRATED = 0.999
 
@@ -138,7 +144,7 @@ def assignments(text: str) -> Iterator[tuple[int, int, bool]]:
 
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and what strict validators say (1 or 0), of every candidate. Spans may overlap."""
-    out = [(kind if fine else "other", start, end, int(fine)) for kind, start, end, fine in base_matches(text) if fine or end - start >= 7]
+    out = [(kind, start, end, 1) for kind, start, end, fine in base_matches(text) if fine]
     if "=" in text or ":" in text:
         for start, end, named in assignments(text):
             if named or _DIGIT.search(text, start, end):
@@ -163,6 +169,13 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def added_candidates(text: str) -> list[tuple[str, int, int, int]]:
+    """Those of an added kind that lie in no base span."""
+    found = candidates(text)
+    base = [c for c in found if c[0] in BASE]
+    return [c for c in found if c[0] in ADDED and not any(a <= c[1] and c[2] <= b for _, a, b, _ in base)]
+
+
 def entropy(text: str) -> float:
     """Bits a character."""
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
@@ -173,7 +186,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     own, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
     n, digits = end - start, sum(map(str.isdigit, own))
     return [
-        *(float(kind == k) for k in KINDS),
+        *(float(kind == k) for k in ADDED),
         n,
         digits,
         digits / n,
@@ -210,6 +223,35 @@ def united(spans: list[tuple[int, int, float, str]]) -> Iterator[tuple[int, str,
         yield held[0], held[3], held[1]
 
 
+def _planted_value(kind: str, r: random.Random) -> str:
+    """A made-up value of an added kind."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda of, n: "".join(r.choices(of, k=n))
+    if kind == "secret":
+        return r.choice((lambda: some(letters + digits, r.randint(10, 28)), lambda: some("0123456789abcdef", r.randint(16, 64)), lambda: some(letters + digits + "!#$%&*+-_", r.randint(10, 20))))() + r.choice(digits)
+    if kind == "key":
+        return r.choice((lambda: some("0123456789abcdef", r.choice((32, 40, 64))), lambda: some(letters + digits + "-_", r.randint(32, 64)) + "1a", lambda: r.choice(("ghp_", "sk-", "pk_")) + some(letters + digits, 36)))()
+    if kind == "iban":
+        country, rest = some(letters[26:], 2), some(digits, r.randint(12, 26))
+        return f"{country}{98 - int(rest + ''.join(str(int(c, 36)) for c in country) + '00') % 97:02d}{rest}"
+    if kind == "ssn":
+        return f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+    return r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(r.randint(200, 999), r.randint(200, 999), f"{r.randint(0, 9999):04d}")
+
+
+def planted(contexts: list[tuple[str, str, str]], n: int) -> list[tuple[str, list[float]]]:
+    """Kind and features of n made-up values of each added kind, each in the place of another candidate (kind, text before, text after)."""
+    r, out = random.Random(n), []
+    for kind in ADDED:
+        # A secret is a value that is assigned; the other kinds stand anywhere.
+        own = [c for c in contexts if (c[0] == "secret") == (kind == "secret")] or [("", "x=" if kind == "secret" else "", "")]
+        for _ in range(n):
+            _, before, after = r.choice(own)
+            value = _planted_value(kind, r)
+            out.append((kind, features(before + value + after, kind, len(before), len(before) + len(value))))
+    return out
+
+
 class Detector:
     """A fitted model: trees and a threshold a kind."""
 
@@ -221,7 +263,7 @@ class Detector:
         self.trees = BoostedTrees().fit(x[~held], y[~held])
         score = self.trees.predict(x[held])
         kinds = np.array(kinds)
-        for kind in KINDS[4:-1]:
+        for kind in ADDED:
             own = kinds[held] == kind
             order = np.argsort(-score[own])
             s, right = score[own][order], y[held][own][order].cumsum()
@@ -234,8 +276,8 @@ class Detector:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """start, kind and end of all spans: base spans, and the added ones that are selected."""
         found = candidates(text)
-        out = [(start, kind, end) for kind, start, end, fine in found if kind in BASE and fine]
-        more = [c for c in found if c[0] not in BASE and c[0] != "other"]
+        out = [(start, kind, end) for kind, start, end, _ in found if kind in BASE]
+        more = [c for c in found if c[0] in ADDED]
         if more:
             score = self.trees.predict(np.array([features(text, *c[:3]) for c in more])) if self.trees else np.zeros(len(more))
             # What a validator confirms is taken whatever the sample says, and names the span that it is united into.
@@ -259,31 +301,32 @@ def fit(docs: DataFrame) -> Detector:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = {(_place(text, *c[:3]), c[0]) for text in texts_of(batch) for c in candidates(text)}
+            rows = {(_place(text, *c[:3]), c[0]) for text in texts_of(batch) for c in added_candidates(text)}
             yield pa.record_batch([pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.int64())], names=["kind", "place"])
 
     texts = docs.select("text")
     counts = texts.mapInArrow(places, "kind string, place long").groupBy("kind").agg(F.approx_count_distinct("place").alias("n")).collect()
-    below = {r.kind: min(1 << 63, (TRAIN_CANDIDATES // len(KINDS) << 63) // max(1, r.n)) for r in counts}
+    below = {r.kind: min(1 << 63, (TRAIN_CANDIDATES // len(ADDED) << 63) // max(1, r.n)) for r in counts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for batch in slices(batches):
             rows = []
             for text in texts_of(batch):
-                for kind, start, end, fine in candidates(text):
+                for kind, start, end, fine in added_candidates(text):
                     place = _place(text, kind, start, end)
                     if place < below.get(kind, 0) and place not in known:
                         known.add(place)
-                        rows.append((kind, place, features(text, kind, start, end), fine))
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())],
-                names=["kind", "place", "x", "y"],
-            )
-
-    rows = texts.mapInArrow(run, "kind string, place long, x array<double>, y int").dropDuplicates(["kind", "place"]).collect()
-    rows.sort(key=lambda r: (r.kind, r.x, r.place))
-    return Detector(np.array([r.x for r in rows]), [r.kind for r in rows], np.array([r.y for r in rows]))
+                        rows.append((kind, place, features(text, kind, start, end), fine, text[max(0, start - 40) : start], text[end : end + 20]))
+            types = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["kind", "place", "x", "y", "before", "after"])
+
+    rows = texts.mapInArrow(run, "kind string, place long, x array<double>, y int, before string, after string").dropDuplicates(["kind", "place"]).collect()
+    if len(rows) < LEAST_EXAMPLES:
+        return Detector(np.zeros((0, 1)), [], np.zeros(0))
+    rows.sort(key=lambda r: (r.kind, r.place))
+    more = planted([(r.kind, r.before, r.after) for r in rows], PLANTED)
+    return Detector(np.array([*(r.x for r in rows), *(x for _, x in more)]), [*(r.kind for r in rows), *(kind for kind, _ in more)], np.array([*(r.y for r in rows), *[1] * len(more)]))
 
 
 def _named(spans: list[tuple[int, str, int]]) -> str:

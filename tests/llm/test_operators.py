@@ -400,6 +400,32 @@ def test_added_spans_come_from_the_trees(spark):
     assert all(("secret" in got[k]) == (k % 3 == 0) for k in got)
 
 
+def test_added_spans_on_planted_data(spark):
+    """Precision and recall of spans that no validator confirms: values under names that tell nothing, local telephone numbers without a hint."""
+    r = random.Random(2)
+    some = lambda of, n: "".join(r.choices(of, k=n))
+    text, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
+    rows, truth = [], {}
+    for k in range(3000):
+        if k % 200 == 0:
+            value = some(text, r.randint(14, 24)) + "7"
+            own, truth[k] = "zugang=" + value, value
+        elif k % 200 == 100:
+            value = f"({r.randint(200, 999)}) {r.randint(200, 999)}-{some(digits, 4)}"
+            own, truth[k] = "dann " + value, value
+        else:
+            own = [f"password={some(text, 18)}", f"ratio=0.{some(digits, 5)}", f"page: {some(digits, 6)}", f"at 12:{some(digits, 2)}:{some(digits, 2)}Z", f"item {some(digits, 3)}abcdefghijk", f"n=1{some(digits, 7)}"][k % 6]
+        rows.append((k, f"{words(6, k)} {own} {words(6, k + 1)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    detector = pii.fit(docs)
+    found = {k: [t[a:b] for a, kind, b in detector.spans(t) if kind in pii.ADDED] for k, t in rows}
+    hit = sum(any(v in own for own in found[k]) for k, v in truth.items())
+    extra = sum(len(own) for k, own in found.items() if k not in truth and k % 6)
+    assert hit >= 0.8 * len(truth) and extra <= 0.05 * hit, (hit, len(truth), extra)
+    none = pii.Detector(np.zeros((0, 1)), [], np.zeros(0))
+    assert sum(bool(none.spans(rows[k][1])) for k in truth) == 0  # the trees found them, not the validators
+
+
 def test_rare_kinds_are_found_at_any_size(spark):
     """Valid spans of a kind with one example, alone and among many documents of other kinds."""
     r = random.Random(6)
@@ -437,6 +463,16 @@ def test_assigned_values_are_whole():
     assert pii.redacted(text, detector.spans(text)) in ("mail [EMAIL] token=[SECRET] and more", "mail [EMAIL] token=[KEY] and more")
 
 
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.1])
+def test_boosted_trees_see_a_rare_indicator(share):
+    r = np.random.default_rng(1)
+    x = np.stack([r.random(3000) < share, r.random(3000), np.where(r.random(3000) < 0.95, 0, r.integers(1, 40, 3000))], axis=1).astype(float)
+    model = BoostedTrees().fit(x, x[:, 0])
+    assert model.predict(x)[x[:, 0] == 1].min() > 0.8 and model.predict(x)[x[:, 0] == 0].max() < 0.2
+    model = BoostedTrees().fit(x, (x[:, 2] > 0).astype(float))
+    assert model.predict(x)[x[:, 2] > 0].mean() > 0.8
+
+
 def test_boosted_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 4))
