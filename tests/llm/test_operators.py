@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -653,9 +654,132 @@ def test_sibling_blocks_of_an_article_stay(spark):
     assert html_wrappers.infer_wrappers(pages).first().content == '["body", "div content"]'
 
 
+def items_of(page):
+    return html_wrappers.stream_of(html_wrappers.lines(page))
+
+
+def expression(items):
+    """A wrapper as a regular expression over a page's tokens."""
+    out = ""
+    for x in items:
+        if x[0] == "t":
+            out += "(?:#)+"
+        else:
+            inner = expression(x[-4])
+            out += "(?:" + (f"<{re.escape(x[1])}>{inner}</>" if x[0] == "e" else inner) + ")" + ("*" if x[-3] and x[-2] else "+" if x[-3] else "?" if x[-2] else "")
+    return out
+
+
+def tokens(page):
+    """A page's tokens, read from its blocks without any folding."""
+    out, path = "", ()
+    for line, _ in html_wrappers.lines(page):
+        same = sum(1 for _ in itertools.takewhile(lambda p: p[0] is p[1], zip(path, line)))
+        out += "</>" * (len(path) - same) + "".join(f"<{html_wrappers.label_of(e)}>" for e in line[same:]) + "#"
+        path = line
+    return out + "</>" * len(path)
+
+
+def random_page(r, depth=0):
+    out = ""
+    for _ in range(r.randint(1, 4)):
+        tag = r.choice(["div class=a", "div class=b", "p", "h2", "ul", "section"])
+        name = tag.split()[0]
+        text = r.choice(["x", "y", f"t{r.randint(0, 9)}"])
+        inner = f"<li>{text}</li>" * r.randint(1, 3) if name == "ul" else text if name in ("p", "h2") or depth > 1 else random_page(r, depth + 1)
+        out += f"<{tag}>{inner}</{name}>"
+    return out
+
+
+def test_wrapper_fits_every_page_that_it_was_inferred_from():
+    r = random.Random(12)
+    for _ in range(60):
+        pages = [random_page(r) for _ in range(r.randint(2, 6))]
+        wrapper = items_of(pages[0])
+        for page in pages[1:]:
+            wrapper = html_wrappers.align(wrapper, items_of(page))
+        for page in pages:
+            assert re.fullmatch(expression(wrapper), tokens(page)), (pages, wrapper)
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    r = random.Random(13)
+
+    def longest(a, b):
+        return 0 if not a or not b else 1 + longest(a[1:], b[1:]) if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for _ in range(200):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 7))) for _ in range(2))
+        places = html_wrappers.common(list(a), list(b))
+        assert len(places) == longest(a, b) and all(a[i] == b[j] for i, j in places) and places == sorted(places)
+
+
+def test_constant_slots_equal_brute_force():
+    """A slot is constant where all pages have the same text (pages of one shape, so that places say which slot it is)."""
+    r = random.Random(14)
+    shape = "<body><div class=a>{}</div><ul><li>{}</li><li>{}</li></ul><section><p>{}</p><p>{}</p></section><div class=z>{}</div></body>"
+    for _ in range(30):
+        fixed = [r.random() < 0.5 for _ in range(6)]
+        pages = [shape.format(*(f"c{k}" if f else f"v{k}-{n}" for k, f in enumerate(fixed))) for n in range(4)]
+        wrapper = items_of(pages[0])
+        for page in pages[1:]:
+            wrapper = html_wrappers.align(wrapper, items_of(page))
+        slots = [[0], [1, 2], [3, 4], [5]]  # the list's lines and the section's are one repeated slot each
+        want = {k for slot in slots for k in slot if all(fixed[i] for i in slot)}
+        assert html_wrappers.constants(wrapper, items_of(pages[2]), set()) == want
+
+
 def test_wrapper_generalises():
-    one = html_wrappers.stream_of("<body><div class=a><p>x</p></div><div class=b><h2>H</h2></div></body>")
-    two = html_wrappers.stream_of("<body><div class=a><p>y</p><p>z</p></div></body>")
-    wrapper = html_wrappers.align(one, two)
-    flat = str(wrapper)
-    assert "rep" in flat and "opt" in flat
+    one = items_of("<body><div class=a><p>x</p></div><div class=b><h2>H</h2></div></body>")
+    two = items_of("<body><div class=a><p>y</p><p>z</p></div></body>")
+    assert expression(html_wrappers.align(one, two)) == "(?:<body>(?:<div\\ a>(?:<p>(?:#)+</>)+</>)(?:<div\\ b>(?:<h2>(?:#)+</>)</>)?</>)"
+    passages = items_of("<h2>a</h2><p>b</p><p>c</p><h2>d</h2><p>e</p><h2>f</h2><p>g</p>")
+    assert len(passages) == 1 and passages[0][0] == "g" and passages[0][2] == 1
+
+
+BOILERPLATE = """<body><div class=k1>Example portal for all</div><div class=k2><ul><li>Start</li><li>Sport</li><li>Travel</li></ul></div>
+<div class=k3><div class=k4><p>{a}</p><p>Method</p><p>{b}</p></div><div class=k5><p>Order our letter now</p></div><div class=k6><p>{c}</p></div></div><div class=k7>All rights kept</div></body>"""
+
+
+def test_the_wrapper_decides_what_boilerplate_is(spark):
+    """No class, tag or role tells: only the host's other pages do. Constant lines within the article stay."""
+    texts = [tuple(words(12, 500 + 3 * k + j) for j in range(3)) for k in range(12)]
+    pages = [(k, "http://plain.example/x", BOILERPLATE.format(**dict(zip("abc", t)))) for k, t in enumerate(texts)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(rows).collect()}
+    assert got == {k: f"{a}\nMethod\n{b}\n{c}" for k, (a, b, c) in enumerate(texts)}
+    assert html_wrappers.main_text(pages[0][2], ()).startswith("Example portal for all\nStart\nSport")
+    # Beside an article, too: the same template in flat divs, each page alone tells nothing.
+    alone = {r.page_id: r.text for r in html_wrappers.extract(rows.limit(1)).collect()}
+    assert "All rights kept" in next(iter(alone.values()))
+
+
+def test_wrappers_joined_by_host_give_the_same(spark, monkeypatch):
+    pages = [(k, f"http://h{k % 2}.example/x", BOILERPLATE.format(a=words(9, k), b=words(9, 50 + k), c=words(9, 90 + k))) for k in range(20)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_wrappers.extract(rows).collect()}
+    monkeypatch.setattr(html_wrappers, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(html_wrappers, "GROUP_STREAMS", 2)
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == want
+
+
+def test_wrapper_size_is_bounded():
+    def size(items):
+        return sum(1 if x[0] == "t" else 1 + size(x[-4]) for x in items)
+
+    r = random.Random(15)
+    wrapper = items_of("<div>" * 3000 + "deep")
+    for _ in range(150):
+        wrapper = html_wrappers.align(wrapper, html_wrappers.bounded(items_of("".join(f"<div class=c{r.randint(0, 5000)}><p>{r.random()}</p><h2>x</h2></div>" for _ in range(r.randint(1, 200))))))
+    assert size(wrapper) <= html_wrappers.ITEMS and len(wrapper) <= html_wrappers.CHILDREN
+
+
+def test_malformed_attributes_leave_no_markup():
+    text = lambda page: html_wrappers.main_text(page, ())
+    assert text('<div><p title="a>hello</p><p class="x">two</p></div>') == "hello\ntwo"
+    assert text("<p title='it's ok'>hello</p>") == "hello"
+    assert text("<p title=\"a > b\" data-x='c>d'>hello <b data-y=\"<i>\">x</b></p>") == "hello x"
+    assert text("<p a=b=c d=\"e\"f>one</p><p ''>two</p><p =\">three</p>") == "one\ntwo\nthree"
+    for name in ("related-work", "share-price", "social-policy", "navigation-history", "menu-engineering"):
+        assert text(f"<article class='{name}'><div class='{name}'><p>stays</p></div></article>") == "stays"
+    assert text("<p " + "a='" * 20_000 + ">x") in ("", "x")
