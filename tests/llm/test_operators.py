@@ -250,6 +250,31 @@ def test_exact_dedup_over_many_levels(spark, monkeypatch):
     assert sum(r.kept for r in got) == 201 and {r.keep_id for r in got if r.doc_id % 3 == 0} == {297}
 
 
+def test_runs_are_sorted_and_merge_by_neighbours(spark, docs):
+    """Every round is an exchange by piece, a sort and an aggregate over sorted neighbours; no Python."""
+    rows = exact_dedup.with_digests(docs.select("doc_id", "text")).selectExpr("*", "pmod(_check, 4) AS _run", "abs(_check) AS _head", "struct(true AS rank, doc_id, 1L AS _row) AS _best", "1L AS group_size")
+    plan = exact_dedup.merged(exact_dedup.in_round(rows, 1), "largest")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 1 and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning(_piece") == 1 == plan.count("Exchange hash")
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_without_ids_and_repeated_rows(spark, monkeypatch):
+    """A third of the rows have no id, and many are equal in id and text: one of each group stays, whatever its run."""
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 8)
+    rows = [(None, f"t{k % 7}") for k in range(200)] + [(k % 50, "Hot text") for k in range(300)] + [(k, f"own {k}") for k in range(100)] + [(None, "T3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep, best in (("largest", max), ("smallest", min)):
+        want = {}
+        for i, t in rows:
+            ids = [i for j, u in rows if lowered(u) == lowered(t) for i in [j] if i is not None]
+            want[lowered(t)] = best(ids) if ids else None
+        got = exact_dedup.resolve(docs, keep).collect()
+        assert len(got) == len(rows) and {r.text_sha256: r.keep_id for r in got} == {sha(t): i for t, i in want.items()}
+        assert Counter(r.text_sha256 for r in got if r.kept) == Counter(map(sha, want)) and all(r.doc_id == r.keep_id for r in got if r.kept)
+        kept = exact_dedup.drop_copies(docs, keep).collect()
+        assert Counter((r.doc_id, lowered(r.text)) for r in kept) == Counter((i, t) for t, i in want.items())
+
+
 # --- 4
 
 def repetition(text):
