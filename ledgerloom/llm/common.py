@@ -56,10 +56,10 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def sized_slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES, name: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about ``size`` bytes in all, but one row at least."""
+def sized_slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES, *names: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose columns ``names`` (text) have at most ``size`` bytes in all, but one row at least."""
     for batch in batches:
-        upto = pc.cumulative_sum(pc.binary_length(batch.column(name)).fill_null(0).cast(pa.int64())).to_numpy()
+        upto = np.cumsum(sum(pc.binary_length(batch.column(n)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names or ("text",)))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))

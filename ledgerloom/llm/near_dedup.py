@@ -6,14 +6,19 @@ Method:
 2. A class is signed with COORDINATES minima from two permutations, one of them circularly
    shifted by one place a coordinate, and filed under one key a band. At the least similarity that
    counts (0.75) a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6.
-3. In each bucket all members are verified against its smallest one, on full sets. The links
-   found join classes into components.
-4. Buckets that still hold several components are compared in full: they are cut into blocks of
-   bounded size, each pair of blocks is one group, and a group yields at most one link for each
-   component it holds, never its pairs. Counts of common shingles are exact (a product of 0/1
-   matrices over the shingles that occur twice).
-
-So no candidate is left out, and neither a bucket nor a group of copies meets in one task.
+3. In each bucket all members whose sizes allow a link are verified against its smallest one, on
+   full sets. The links found join classes into components.
+4. Buckets that still hold several components are compared in full: members of the component that
+   most of them belong to against all others, and the others among each other. Both are cut into
+   blocks of bounded rows and bytes, each pair of blocks is one group, and a group yields at most one
+   link for each component it holds, never its pairs. Counts of common shingles are exact (a product
+   of 0/1 matrices over the shingles that occur twice). A large group of near copies and few
+   strangers thus costs its members times the blocks of strangers; only a bucket of many components
+   of like size is quadratic in its blocks.
+
+So no candidate is left out, and neither a bucket nor a group of copies meets in one task: members
+join their pivot's set by shares, and keys with a thousandth of all rows, of which there are at most
+a thousand or so, are joined from a broadcast of HOT_KEYS rows.
 
 Defined results: texts without words (null, empty, blank) have no shingles and link with nothing;
 fewer than SHINGLE_WORDS words are one shingle; rows with a null doc_id carry their class's
@@ -30,20 +35,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of
+from .common import cut, sized_slices, texts_of
 
 SHINGLE_WORDS = 5
 #: Links: LINK_PERCENT of the union's size at least is common.
 LINK_PERCENT = 75
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Members of a block; a group of the full comparison holds two blocks at most.
-BLOCK_MEMBERS = 1024
+#: Members and shingles of a block, about; a group of the full comparison holds two blocks at most.
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 1 << 20
 #: Members of a share, where a bucket's members are joined to one row of the bucket.
 SHARE_MEMBERS = 128
+#: A join's key of more rows than this, and than the HOT_KEYS-th part of all, is hot; so there are at most HOT_KEYS.
+HOT_ROWS = 16_384
+HOT_KEYS = 1024
+#: Bytes of texts or sets that a task works on at a time.
+STEP_BYTES = 1 << 20
 #: Shares into which a class's members are dealt for the way back to documents.
 SHARES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +139,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_hash (null without shingles) and bands, one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES):
             sets = shingle_sets(texts_of(batch))
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signatures(full)).tolist() if full else [])
@@ -150,7 +161,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, set_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES):
             sets = shingle_sets(texts_of(batch))
             # A doc_id may have other texts too.
             own = [len(s) > 0 and _set_hash(s) == h for s, h in zip(sets, batch.column("set_hash").to_pylist(), strict=True)]
@@ -164,7 +175,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b, one, other) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES, "one", "other"):
             fine = []
             for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
                 x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
@@ -177,6 +188,21 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+def joined(rows: DataFrame, keyed: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """rows with the row that keyed has for each key. members: how many rows have the key; total: of how many in all.
+
+    Hot keys' rows are joined from a broadcast of at most HOT_KEYS rows, the others by shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= limit:
+        return rows.join(keyed, key)
+    hot = cut(keyed.where(F.col(members) > limit))
+    if hot.isEmpty():
+        return rows.join(keyed, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(members) <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) for every id of the edges (a, b): alternating large and small stars until nothing changes."""
     edges = cut(edges.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).where("big <> small").distinct())
@@ -187,11 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("big").alias("id"), F.col("small").alias("component")).union(edges.select("small", "small")).distinct()
         before = state
         both = edges.select(F.col("big").alias("u"), F.col("small").alias("v")).union(edges.select("small", "big"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
-        root = large.groupBy("big").agg(F.min("small").alias("root"))
-        joined = large.join(root, "big")
-        edges = cut(joined.select(F.explode(F.array(F.struct("big", F.col("root").alias("small")), F.struct(F.col("small").alias("big"), F.col("root").alias("small")))).alias("e")).select("e.*").where("big <> small").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = joined(both.where("v > u"), least, "u", "degree", 2 * state[0]).select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
+        root = large.groupBy("big").agg(F.min("small").alias("root"), F.count(F.lit(1)).alias("degree"))
+        small = joined(large, root, "big", "degree", 2 * state[0])
+        edges = cut(small.select(F.explode(F.array(F.struct("big", F.col("root").alias("small")), F.struct(F.col("small").alias("big"), F.col("root").alias("small")))).alias("e")).select("e.*").where("big <> small").distinct())
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -237,30 +263,55 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
+def _alike(one: Column, other: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(one, other) >= LINK_PERCENT * F.greatest(one, other)
+
+
+def _star_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of members to their buckets' smallest one. A pivot's set goes once to each share of its members."""
+    star = buckets.where("id <> pivot").where(_alike(F.col("n"), F.col("pivot_n"))).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("members").alias("members"))
+    dealt = star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / SHARE_MEMBERS)).alias("share"))
+    pivots = dealt.select("a", "share").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
+    members = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
+    return _verified(members.join(pivots, ["a", "share"]))
+
+
+def _in_blocks(labelled: DataFrame) -> DataFrame:
+    """band, id, component and group (kind, i, j) of the members (band, id, n, component) of buckets that hold several components; one row for each group that a member is compared in.
+
+    The component with most members of a bucket is its major one. Groups of kind 0 hold a block of
+    the major one and a block of the others, groups of kind 1 two blocks of the others.
+    """
+    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    blocks = lambda m, shingles: F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    first = F.max_by(F.struct("component", "m", "shingles"), F.struct("m", F.col("component")))
+    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), first.alias("major"), F.sum("m").alias("m"), F.sum("shingles").alias("shingles")).where("k > 1")
+    shaped = mixed.select("band", F.col("major.component").alias("major"), blocks(F.col("major.m"), F.col("major.shingles")).alias("ours"), blocks(F.col("m") - F.col("major.m"), F.col("shingles") - F.col("major.shingles")).alias("others"), F.ceil(F.col("m") / SHARE_MEMBERS).cast("int").alias("shares"))
+    # A large bucket's members are dealt out for this join: each share meets a copy of the bucket's row.
+    wanted = shaped.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = labelled.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / SHARE_MEMBERS)).cast("int")).join(wanted, ["band", "share"])
+    major, own = F.col("component") == F.col("major"), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    against = F.when(major, F.transform(upto("others"), lambda j: group(0, own("ours"), j))).otherwise(
+        F.concat(F.transform(upto("ours"), lambda i: group(0, i, own("others"))), F.transform(upto("others"), lambda j: group(1, F.least(j, own("others")), F.greatest(j, own("others")))))
+    )
+    return dealt.select("band", "id", "component", F.explode(against).alias("g")).select("band", "id", "component", "g.*")
+
+
 def link(docs: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
-    """id, component of those classes (id, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash) tells where a class's text is."""
-    filed = classes.select("id", F.explode("bands").alias("band"))
-    shape = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("content"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"))
+    """id, component of those classes (id, n, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash) tells where a class's text is."""
+    filed = classes.select("id", "n", F.explode("bands").alias("band"))
+    shape = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("least"), F.bit_xor(F.xxhash64("id")).alias("content"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"))
     # Bands that hold the same classes count once.
-    kept = shape.where("members > 1").groupBy("members", "pivot", "content", "total").agg(F.min("band").alias("band"))
-    buckets = cut(filed.join(kept.select("band", "pivot", "members"), "band"))
+    kept = cut(shape.where("members > 1").groupBy("members", "least", "content", "total").agg(F.min("band").alias("band")).select("band", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"), "members"))
+    buckets = cut(joined(filed, kept, "band", "members", kept.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]))
     sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi")))
 
-    star = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    members = star.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
-    pairs = members.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
-    small, large = F.least(F.length("one"), F.length("other")), F.greatest(F.length("one"), F.length("other"))
-    first = components(_verified(pairs.where(100 * small >= LINK_PERCENT * large)))
-
-    labelled = buckets.join(first, "id", "left").select("band", "id", "members", F.coalesce("component", "id").alias("component"))
-    shares = F.ceil(F.col("members") / SHARE_MEMBERS).cast("int")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("members").alias("members")).where("low < high")
-    # A large bucket's members are dealt out for this join: each share meets a copy of the bucket's row.
-    wanted = mixed.select("band", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    dealt = labelled.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), shares).cast("int")).join(wanted, ["band", "share"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    grouped = dealt.select("band", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("band", "id", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    second = components(grouped.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long"))
+    first = components(_star_links(buckets, sets))
+    labelled = cut(buckets.join(first, "id", "left").select("band", "id", "n", "members", F.coalesce("component", "id").alias("component")))
+    second = components(_in_blocks(labelled).join(sets, "id").groupBy("band", "kind", "i", "j").applyInArrow(_block_links, "a long, b long"))
     # Components of the second round are made of those of the first.
     merged = first.join(second.withColumnRenamed("component", "outer").withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("outer", "component").alias("component"))
     return merged.union(second.join(first.select("id"), "id", "left_anti"))
@@ -268,7 +319,7 @@ def link(docs: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept; one row a document."""
-    marked = cut(features(docs).withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))))
+    marked = cut(features(docs).withColumn("share", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SHARES))))
     worded = marked.where("set_hash IS NOT NULL")
     leaves = worded.groupBy("set_hash", "share").agg(F.min("doc_id").alias("least"))
     classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("doc_id")))
@@ -279,8 +330,8 @@ def _decided(docs: DataFrame) -> DataFrame:
         classes = classes.withColumn("id", F.col("doc_id"))
     else:
         classes = cut(classes.join(repeated, "doc_id", "left").select("set_hash", "doc_id", F.when(F.col("again"), F.xxhash64("set_hash")).otherwise(F.col("doc_id")).alias("id")))
-    signed = worded.select("doc_id", "set_hash", "bands").join(classes, ["doc_id", "set_hash"])
-    linked = link(docs, signed.groupBy("id").agg(F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash"))
+    signed = worded.select("doc_id", "set_hash", "n_shingles", "bands").join(classes, ["doc_id", "set_hash"])
+    linked = link(docs, signed.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash"))
     known = classes.join(linked, "id", "left").select("set_hash", "doc_id", F.coalesce("component", "id").alias("component_id"))
     if not unique:
         least = known.groupBy("component_id").agg(F.min("doc_id").alias("least_id")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import sized_slices, texts_of
 
 MIN_WORDS = 20
 MIN_REPEAT = 8
@@ -31,6 +31,9 @@ BASE_REPEAT_PERCENT = 30
 MAX_COVERED = 0.25
 MAX_LONGEST = 50
 
+#: Bytes of texts that a task works on at a time.
+STEP_BYTES = 1 << 20
+
 #: White space and symbol characters of the rules (fixed values).
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -41,13 +44,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def repeats(ids: np.ndarray) -> np.ndarray:
     """For each position, the length of the longest passage that starts there and recurs in ids."""
     n = len(ids)
-    ranks = [np.unique(ids, return_inverse=True)[1]]
+    ranks = [np.unique(ids, return_inverse=True)[1].astype(np.int32)]
     step = 1
     while step < n and int(ranks[-1].max()) + 1 < n:
-        low = ranks[-1]
+        low = ranks[-1].astype(np.int64)
         high = np.zeros(n, np.int64)
         high[:-step] = low[step:] + 1
-        ranks.append(np.unique(low * (n + 1) + high, return_inverse=True)[1])
+        ranks.append(np.unique(low * (n + 1) + high, return_inverse=True)[1].astype(np.int32))
         step *= 2
     order = np.argsort(ranks[-1], kind="stable")
     one, other, common = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
@@ -122,7 +125,7 @@ def assess(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of NAMES, base_failed and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES):
             got = measure(texts_of(batch))
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(got[n]) for n in NAMES)], names=["doc_id", *NAMES])
 
@@ -141,7 +144,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = fields.index("text")
-        for batch in slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES):
             got = measure([t or "" for t in batch.column(place).to_pylist()])
             words, repeated = got["n_words"], got["n_repeat_words"]
             good = (words >= MIN_WORDS) & (100 * repeated <= BASE_REPEAT_PERCENT * words) & (repeated <= MAX_COVERED * words) & (got["longest_repeat"] <= MAX_LONGEST)

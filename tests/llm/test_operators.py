@@ -616,8 +616,9 @@ def test_near_copies_go_by_row(spark):
 
 
 def test_near_dedup_of_drifting_copies(spark, monkeypatch):
-    """Chains in which few members are near the bucket's smallest, over blocks of a few members."""
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 4)
+    """Chains in which few members are near the bucket's smallest, over blocks of a few members, shares of two, and hot keys."""
+    for name, value in (("BLOCK_MEMBERS", 4), ("SHARE_MEMBERS", 2), ("HOT_ROWS", 3), ("HOT_KEYS", 30)):
+        monkeypatch.setattr(near_dedup, name, value)
     r = random.Random(11)
     rows, text = [], words(80, 21).split()
     for k in range(60):
@@ -631,6 +632,44 @@ def test_near_dedup_of_drifting_copies(spark, monkeypatch):
     assert got == sorted(components(rows))
 
 
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 5)
+    rows = spark.range(400).selectExpr("id AS v", "IF(id % 3 = 0, 7, id % 50) AS u")
+    keyed = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    got = near_dedup.joined(rows, keyed, "u", "degree", 400)
+    assert Counter(map(tuple, got.select("u", "v", "m").collect())) == Counter(map(tuple, rows.join(keyed, "u").select("u", "v", "m").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_against_all_pairs_of_a_table(spark):
+    """Measured recall: links between all documents of sf0.01, found through an index of all shingles, against the operator's classes."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    sets = [set(s.tolist()) for s in near_dedup.shingle_sets([t or "" for _, t in rows])]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    shared = Counter((i, j) for own in holders.values() for i, j in itertools.combinations(own, 2))
+    links = [(i, j) for (i, j), n in shared.items() if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    got = {r.doc_id: r.component_id for r in near_dedup.resolve(table).collect()}
+    assert len(links) > 50 and sum(got[rows[i][0]] == got[rows[j][0]] for i, j in links) == len(links)
+    assert got == {i: least[find(k)] for k, (i, _) in enumerate(rows)}
+
+
 def test_common_counts():
     r = random.Random(2)
     sets = [np.array(sorted(r.sample(range(9000), r.randint(0, 6000))), np.uint64) for _ in range(6)]
