@@ -1,8 +1,12 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Method: logistic regression over which words and word beginnings a text holds. For each labelled
-text with identity terms, a counterfactual swaps every such term for others of its group; the fit
-penalises the squared change of the score, so that a neutral mention of a group moves no score.
+Method: logistic regression over which words and word beginnings a text holds, with a penalty on the
+squared change of the score between counterfactuals, so that a neutral mention of a group moves no
+score. For a labelled text with identity terms, every such term is swapped for others of its group.
+As few texts hold such terms, each labelled text also gets a term (group and term by a hash of the
+text) inserted: with it against without it, and with it against another of its group in its place.
+``mention_changes`` reports score changes on neutral sentences, ``false_positives`` how many clean
+documents each inserted term gets flagged.
 
 The fit uses a bounded sample of labelled rows: about TRAIN_DOCUMENTS by a hash of doc_id, never
 rows of the held-out fold (crc32 of doc_id as text modulo FOLDS equal to HELD_OUT). Frequencies
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +80,25 @@ def counterfactuals(text: str) -> list[str]:
     return [_WORD.sub(lambda m: others[k % len(others)] if (others := _OTHERS.get(m.group().lower())) else m.group(), text) for k in range(most)]
 
 
+def inserted(text: str) -> tuple[str, str]:
+    """The identity term that the text gets, and another of its group."""
+    h = crc32(text.encode("utf-8", "surrogatepass"))
+    group = IDENTITIES[h % len(IDENTITIES)]
+    k = h // len(IDENTITIES) % len(group)
+    return group[k], group[(k + 1) % len(group)]
+
+
+def changes(text: str, number: dict[str, int]) -> Iterator[dict[int, float]]:
+    """Differences in features between the text's counterfactuals: 1 where only the one has a feature, -1 where only the other."""
+    numbered = lambda features: {number[f] for f in features if f in number}
+    own = numbered(text_features(text))
+    pairs = [(numbered(text_features(other)), own) for other in counterfactuals(text)]
+    one, other = (own | numbered(word_features(term)) for term in inserted(text))
+    for a, b in [*pairs, (one, own), (one, other)]:
+        if a != b:
+            yield {f: 1.0 for f in sorted(a - b)} | {f: -1.0 for f in sorted(b - a)}
+
+
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         counts: dict[str, list[int]] = {}
@@ -159,19 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in slices(batches):
             held, changed = [], []
             for text in texts_of(batch):
-                own = sorted(number[f] for f in text_features(text) if f in number)
-                held.append(own)
-                changed.append([sorted(number[f] for f in text_features(other) if f in number) for other in counterfactuals(text)])
+                held.append(sorted(number[f] for f in text_features(text) if f in number))
+                changed.append([[int(v * (f + 1)) for f, v in row.items()] for row in changes(text, number)])  # the sign tells which side has the feature
             yield pa.record_batch([batch.column("toxic"), pa.array(held, pa.list_(pa.int32())), pa.array(changed, pa.list_(pa.list_(pa.int32())))], names=["toxic", "held", "changed"])
 
     got = rows.mapInArrow(run, "toxic int, held array<int>, changed array<array<int>>").collect()
     got.sort(key=lambda r: (r.held, r.toxic))
-    swapped = []
-    for r in got:
-        own = set(r.held)
-        for other in map(set, r.changed):
-            if own != other:
-                swapped.append({f: 1.0 for f in own - other} | {f: -1.0 for f in other - own})
+    swapped = [{abs(f) - 1: 1.0 if f > 0 else -1.0 for f in row} for r in got for row in r.changed]
     weights, bias = fit_weights([set(r.held) for r in got], np.array([r.toxic for r in got], np.float64), swapped, len(names))
     return Model({f: float(w) for f, w in zip(names, weights) if w}, bias)
 
@@ -185,3 +203,28 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Neutral sentences, a term in each place.
+NEUTRAL = ("we met the {} family at the market", "a {} group opened a new school", "the {} people of the town sang", "she wrote about {} neighbours")
+
+
+def mention_changes(model: Model) -> list[tuple[str, float]]:
+    """Each identity term, and by how much it changes the score of a neutral sentence at most."""
+    return [(term, max(abs(model.score(s.format(term)) - model.score(s.format(""))) for s in NEUTRAL)) for group in IDENTITIES for term in group]
+
+
+def false_positives(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
+    """term, clean, flagged and flagged_without: of the documents labelled clean (no label is used but this), how many are flagged with the term put before the text, and as they are."""
+    clean = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0").select("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = list(_OTHERS)
+        for batch in slices(batches):
+            texts = texts_of(batch)
+            without = sum(model.score(t) >= THRESHOLD for t in texts)
+            flagged = [sum(model.score(f"{term} {t}") >= THRESHOLD for t in texts) for term in terms]
+            yield pa.record_batch([pa.array(terms), pa.array([len(texts)] * len(terms), pa.int64()), pa.array(flagged, pa.int64()), pa.array([without] * len(terms), pa.int64())], names=["term", "clean", "flagged", "flagged_without"])
+
+    counted = docs.select("doc_id", "text").join(clean, "doc_id").select("text").mapInArrow(run, "term string, clean long, flagged long, flagged_without long")
+    return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("clean", "flagged", "flagged_without")))

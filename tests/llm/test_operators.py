@@ -562,6 +562,52 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_documents(empty, toxicity.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_fit_equals_brute_force():
+    """The penalised optimum by Newton steps on dense matrices."""
+    r = np.random.default_rng(3)
+    width, n = 5, 60
+    x = (r.random((n, width)) < 0.4).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 0) & (r.random(n) < 0.9)).astype(float)
+    swaps = [{0: 1.0, 3: -1.0}, {3: 1.0}, {2: 1.0, 4: -1.0}]
+    d = np.zeros((len(swaps), width + 1))
+    for k, row in enumerate(swaps):
+        for f, v in row.items():
+            d[k, f] = v
+    z, w = np.hstack([x, np.ones((n, 1))]), np.zeros(width + 1)
+    ridge = np.diag([toxicity.RIDGE] * width + [0.0]) + 2 * toxicity.COUNTERFACTUAL * d.T @ d
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    got, bias = toxicity.fit_weights([set(np.flatnonzero(row).tolist()) for row in x], y, swaps, width)
+    assert np.abs(np.append(got, bias) - w).max() < 0.05
+
+
+def test_every_labelled_text_has_counterfactuals(spark):
+    number = {f: k for k, f in enumerate(sorted({f for t in toxicity._OTHERS for f in toxicity.word_features(t)}))}
+    for text in ("", "plain words", "a muslim and a christian", "women men"):
+        rows = list(toxicity.changes(text, number))
+        assert rows and all(set(row.values()) <= {1.0, -1.0} for row in rows)
+        one, other = toxicity.inserted(text)
+        has = lambda t: {number[f] for f in toxicity.text_features(t) if f in number}
+        want = [(has(o), has(text)) for o in toxicity.counterfactuals(text)] + [(has(f"{text} {one}"), has(text)), (has(f"{text} {one}"), has(f"{text} {other}"))]
+        assert rows == [{f: 1.0 for f in sorted(a - b)} | {f: -1.0 for f in sorted(b - a)} for a, b in want if a != b]
+
+
+def test_penalty_acts_on_the_tables(spark, monkeypatch):
+    """On sf0.1: penalty rows, next to no change by a neutral mention, no clean document flagged for one, and still accurate on the held-out fold."""
+    seen = []
+    whole = toxicity.fit_weights
+    monkeypatch.setattr(toxicity, "fit_weights", lambda held, toxic, swapped, width: seen.append(len(swapped)) or whole(held, toxic, swapped, width))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert seen[0] > 1000
+    assert max(c for _, c in toxicity.mention_changes(model)) < 0.02
+    report = toxicity.false_positives(docs.where("doc_id % 10 = 0"), labels, model).collect()
+    assert len(report) == len(toxicity._OTHERS) and all(r.flagged <= r.flagged_without + 0.005 * r.clean for r in report)
+    held = toxicity.score_documents(docs, model).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    assert sum(r.predicted for r in held if r.toxic) >= 0.85 * sum(r.toxic for r in held) and sum(r.predicted for r in held if not r.toxic) <= 0.01 * len(held)
+
+
 def test_penalty_shrinks_the_swap(monkeypatch):
     held = [{0}, {0, 1}, {1}, set(), {1}, set()]
     y, swaps = np.array([1.0, 1, 0, 0, 1, 0]), [{1: 1.0}] * 3
