@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "array<struct<type: string, text: string, image_url: string>>"
@@ -27,9 +27,13 @@ def value_to_text(payload: Column, name: str) -> Column:
     return F.coalesce(F.get_json_object(payload, f"$.{name}"), F.lit(""))
 
 
-def rollout_blocks(items: DataFrame, payload: str = "payload") -> DataFrame:
-    """A row a block with its place in the item: part, kind, role, tool_name, byte_len. No body is kept; unknown items and parts are skipped, as are snapshots."""
-    p = F.col(payload)
+#: Fields without which an item of a known type cannot be read (fixed values).
+REQUIRED = {"message": ("role", "content"), "function_call": ("call_id", "name", "arguments"), "custom_tool_call": ("call_id", "name", "input"), "function_call_output": ("call_id",), "custom_tool_call_output": ("call_id",)}
+KNOWN_ITEMS = ("message", *SINGLE, "ghost_snapshot")
+
+
+def item_blocks(p: Column) -> Column:
+    """The blocks of an item's payload (JSON text): kind, role, tool_name, byte_len. No body is kept; unknown parts are skipped; null for snapshots and unknown items."""
     own = F.get_json_object(p, "$.type")
     role = F.get_json_object(p, "$.role")
     size = lambda text: F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
@@ -42,7 +46,79 @@ def rollout_blocks(items: DataFrame, payload: str = "payload") -> DataFrame:
     for name, (kind, who, tool, field) in SINGLE.items():
         named = F.lit(tool) if tool else F.get_json_object(p, "$.name") if kind == "tool_call" else none
         blocks = blocks.when(own == name, F.array(block(F.lit(kind), F.lit(who), named.cast("string"), size(value_to_text(p, field)) if field else zero)))
-    return items.select("*", F.posexplode(blocks).alias("part", "b")).select(*items.columns, "part", "b.*")
+    return blocks
+
+
+def rollout_blocks(items: DataFrame, payload: str = "payload") -> DataFrame:
+    """A row a block with its place in the item: part, kind, role, tool_name, byte_len."""
+    return items.select("*", F.posexplode(item_blocks(F.col(payload))).alias("part", "b")).select(*items.columns, "part", "b.*")
+
+
+def grouped_turns(items: DataFrame, session: Column) -> DataFrame:
+    """Turns of rollout files (items: path, offset, timestamp, type, payload): session_id, turn, turn_uuid, role, timestamp, model, blocks and bytes.
+
+    A user or developer message is a turn of its own and ends the assistant's; everything between
+    merges into one assistant turn, which starts with its first item. Snapshots and unknown items
+    count for nothing, messages without readable parts make no turn, and turns are numbered as they
+    come. A turn has the model that the last turn_context before its end named. One file is one sort
+    group.
+    """
+    p = F.col("payload")
+    message = F.get_json_object(p, "$.type") == "message"
+    named = F.get_json_object(p, "$.role")
+    read = items.where("type IN ('response_item', 'turn_context')").select(
+        session.alias("session_id"), "path", "offset", "timestamp",
+        F.when(F.col("type") == "turn_context", F.get_json_object(p, "$.model")).alias("model"),
+        (F.col("type") == "turn_context").alias("context"),
+        F.when(F.col("type") == "response_item", item_blocks(p)).alias("items"),
+        F.when((F.col("type") == "response_item") & message & named.isin("user", "developer"), named).alias("own"),
+    )
+    kept = read.where("context OR own IS NOT NULL OR size(items) > 0")
+    in_file = Window.partitionBy("path").orderBy("offset")
+    upto = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = F.col("own").isNotNull() | F.coalesce(F.lag(F.col("own").isNotNull()).over(in_file), F.lit(True))
+    island = kept.withColumns({"island": F.sum(opens.cast("long")).over(upto), "model": F.last("model", ignorenulls=True).over(upto)})
+    size = F.aggregate(F.coalesce("items", F.array().cast("array<struct<kind: string, role: string, tool_name: string, byte_len: bigint>>")), F.lit(0).cast("long"), lambda total, b: total + b["byte_len"])
+    n = F.coalesce(F.size("items"), F.lit(0))
+    turns = island.groupBy("session_id", "path", "island").agg(
+        F.coalesce(F.max("own"), F.lit("assistant")).alias("role"), F.min_by("timestamp", F.when(~F.col("context"), F.col("offset"))).alias("timestamp"), F.max_by("model", "offset").alias("model"),
+        F.sum(F.when(n > 0, n).otherwise(0)).alias("blocks"), F.sum(size).alias("bytes"),
+    ).where("blocks > 0")
+    numbered = turns.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("island")).cast("long") - 1)
+    return numbered.withColumn("turn_uuid", F.concat("session_id", F.lit(":t"), "turn")).drop("path", "island")
+
+
+def shape_profile(lines: DataFrame) -> DataFrame:
+    """Counts (dim, value, n) over raw lines of rollouts (value), in one pass: line (blank, unparseable, parsed), envelope, item, unknown_item, typed_failure (an item of a known type without a field that it needs), role, part."""
+    v = F.col("value")
+    blank = F.trim(v) == ""
+    bad = F.try_parse_json(v).isNull()
+    kind = F.get_json_object(v, "$.type")
+    item = F.when(kind == "response_item", F.get_json_object(v, "$.payload.type"))
+    one = lambda dim, value: F.array(F.struct(F.lit(dim).alias("dim"), value.alias("value")))
+    lacks = F.lit(False)
+    for name, fields in REQUIRED.items():
+        missing = F.lit(False)
+        for field in fields:
+            missing = missing | F.get_json_object(v, f"$.payload.{field}").isNull()
+        lacks = lacks | ((item == name) & missing)
+    parts = F.when(item == "message", F.from_json(F.get_json_object(v, "$.payload.content"), PART))
+    part = F.transform(F.coalesce(parts, F.array().cast(PART)), lambda x: F.struct(F.lit("part").alias("dim"), F.when(x["type"].isin(*PARTS), x["type"]).otherwise("unknown").alias("value")))
+    line = F.when(blank, "blank").when(bad, "unparseable").otherwise("parsed")
+    every = F.concat(
+        one("line", line), one("envelope", kind), one("item", item), one("unknown_item", F.when(~item.isin(*KNOWN_ITEMS), item)),
+        one("typed_failure", F.when(lacks, item)), one("role", F.when(item == "message", F.get_json_object(v, "$.payload.role"))), part,
+    )
+    pairs = lines.select(F.explode(F.filter(F.when(blank | bad, one("line", line)).otherwise(every), lambda x: x["value"].isNotNull())).alias("p"))
+    return pairs.groupBy("p.dim", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reasoning_profile(items: DataFrame) -> DataFrame:
+    """Reasoning items, those with encrypted content, and those with a summary (items: type, payload)."""
+    p = F.col("payload")
+    own = (F.col("type") == "response_item") & (F.get_json_object(p, "$.type") == "reasoning")
+    summary = F.from_json(F.get_json_object(p, "$.summary"), "array<string>")
+    return items.agg(F.count_if(own).alias("reasoning"), F.count_if(own & (F.coalesce(F.get_json_object(p, "$.encrypted_content"), F.lit("")) != "")).alias("with_content"), F.count_if(own & (F.size(summary) > 0)).alias("with_summary"))
 
 
 def source_tag(tool: Column, version: Column) -> Column:

@@ -157,6 +157,47 @@ def duration_text(ms: Column) -> Column:
     return F.format_string("%dm %02ds", F.floor(seconds / 60), F.pmod(seconds, F.lit(60)))
 
 
+def receipt_duration(first_ms: Column, last_ms: Column) -> Column:
+    """``Xm YYs``; unknown without two different times."""
+    return F.when(last_ms > first_ms, duration_text(last_ms - first_ms)).otherwise("unknown")
+
+
+def report_duration(start_ms: Column, end_ms: Column) -> Column:
+    """``Xm Ys``, or ``Ys`` below a minute; ongoing without an end, else unknown."""
+    seconds = F.floor((end_ms - start_ms) / 1000).cast("long")
+    minutes = F.floor(seconds / 60)
+    text = F.when(minutes > 0, F.format_string("%dm %ds", minutes, F.pmod(seconds, F.lit(60)))).otherwise(F.format_string("%ds", seconds))
+    return F.when(end_ms > start_ms, text).when(start_ms.isNotNull() & end_ms.isNull(), "ongoing").otherwise("unknown")
+
+
+def energy_cost(kind: Column, output: Column, payload: Column, base: dict[str, int], default: int = 25, per_output: int = 256, per_payload: int = 1024) -> Column:
+    """1, what the kind costs (kinds not in ``base``: ``default`` and one for each ``per_output`` of output), and one for each ``per_payload`` bytes of payload."""
+    known = F.coalesce(*(F.when(kind == name, F.lit(cost)) for name, cost in base.items()), default + F.floor(output / per_output))
+    return (known + 1 + F.floor(F.octet_length(payload) / per_payload)).cast("long")
+
+
+def short_hash(text: Column) -> Column:
+    """The first and last eight letters of a hash."""
+    return F.concat(F.left(text, F.lit(8)), F.lit("..."), F.right(text, F.lit(8)))
+
+
+def day_label(date: Column) -> Column:
+    """``M/D Www``."""
+    return F.date_format(date, "M/d E")
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with a comma between groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def with_checkpoint(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Adds tree size and short root of the latest checkpoint (tree_size, root); 0 and unavailable without any."""
+    latest = checkpoints.agg(F.max("tree_size").alias("tree_size"), F.max_by("root", "tree_size").alias("root"))
+    root = F.when(F.length("root") > 16, F.concat(F.lit("0x"), short_hash(F.col("root")))).otherwise(F.coalesce(F.concat(F.lit("0x"), "root"), F.lit("unavailable")))
+    return receipts.join(F.broadcast(latest.select(F.coalesce("tree_size", F.lit(0)).alias("tree_size"), root.alias("root"))))
+
+
 def session_receipt(df: DataFrame) -> DataFrame:
     """A row a session: events, energy, span, duration and counts by action as ``action=n`` in order."""
     per_action = df.groupBy("session_id", "action_type").agg(F.count(F.lit(1)).alias("n"), F.sum("settled_energy").alias("energy"), F.min("event_ms").alias("first_ms"), F.max("event_ms").alias("last_ms"))
@@ -217,15 +258,18 @@ def as_of_anchor(rows: DataFrame, anchors: DataFrame, width: int = 4096) -> Data
     """For each row, the smallest anchored tree_size that is at least its own; status exact, covered or none.
 
     Sizes fall into buckets of ``width``. A row looks at its own bucket, and at the least anchor of
-    later buckets, which comes from one small row a bucket.
+    later buckets: of its own group of ``width`` buckets, and of later groups. Only the groups, one
+    row for each ``width`` squared sizes, meet in one task.
     """
     bucket = F.floor(F.col("tree_size") / width)
     marks = anchors.select("tree_size").distinct().withColumn("bucket", bucket)
     firsts = marks.groupBy("bucket").agg(F.min("tree_size").alias("first"))
     wanted = rows.withColumn("bucket", bucket)
-    all_buckets = wanted.select("bucket").distinct().join(firsts, "bucket", "full")
-    later = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    after = all_buckets.withColumn("after", F.min("first").over(later)).select("bucket", "after")
+    all_buckets = wanted.select("bucket").distinct().join(firsts, "bucket", "full").withColumn("group", F.floor(F.col("bucket") / width))
+    rest = (1, Window.unboundedFollowing)
+    groups = all_buckets.groupBy("group").agg(F.min("first").alias("least")).withColumn("next", F.min("least").over(Window.orderBy("group").rowsBetween(*rest)))
+    near = all_buckets.withColumn("after", F.min("first").over(Window.partitionBy("group").orderBy("bucket").rowsBetween(*rest)))
+    after = near.join(groups.select("group", "next"), "group").select("bucket", F.coalesce("after", "next").alias("after"))
     both = wanted.select("bucket", "tree_size", F.struct(*rows.columns).alias("row"), F.lit(None).cast("long").alias("mark")).union(marks.select("bucket", "tree_size", F.lit(None).cast(rows.schema), F.col("tree_size").alias("mark")))
     own = Window.partitionBy("bucket").orderBy("tree_size").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     found = both.withColumn("mark", F.min("mark").over(own)).where("row IS NOT NULL").join(after, "bucket", "left")

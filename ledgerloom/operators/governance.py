@@ -18,6 +18,7 @@ SHAPES = (
     ("slack-token", r"xox[baprs]-[A-Za-z0-9-]{10,}", "[REDACTED:slack-token]"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", "[REDACTED:jwt]"),
 )
+#: Names of assignments whose values are secret, those of which any value is, and both forms of assignments (fixed values).
 _NAME = r"[A-Za-z0-9_]*(?:key|token|secret|password|passwd|credential|auth)[A-Za-z0-9_]*"
 #: Lower-case pieces of which every match of any pattern holds one (fixed values).
 HINTS = ("key", "token", "secret", "passw", "credential", "auth", "://", "bearer", "basic", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "akia", "aiza", "xox", "eyj")
@@ -51,10 +52,16 @@ def known_shapes(text: Column) -> Column:
     return text
 
 
-def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """The text without secrets: listed values (longest first), known shapes, sensitive assignments."""
+def literal_secrets(text: Column, secrets: tuple[str, ...]) -> Column:
+    """The text without the listed values of LEAST_LITERAL bytes or more, longest first."""
     for value in sorted({s for s in secrets if len(s.encode()) >= LEAST_LITERAL}, key=lambda s: (-len(s), s)):
         text = F.replace(text, F.lit(value), F.lit("[REDACTED:env]"))
+    return text
+
+
+def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """The text without secrets: listed values (longest first), known shapes, sensitive assignments."""
+    text = literal_secrets(text, secrets)
     clean = _assignments(_assignments(known_shapes(text), _JSON, True), _PLAIN, False)
     # Every pattern needs one of these; looking for them is far cheaper than trying the patterns at every word.
     small = F.lower(text)
@@ -68,15 +75,22 @@ def redact_column(df: DataFrame, column: str, secrets: tuple[str, ...] = ()) ->
     return df.withColumn(column, redacted(F.col(column), secrets))
 
 
-def hits(text: Column) -> Column:
-    """Markers in a redacted text, less those it would have had before: use on texts that held none."""
-    return F.regexp_count(text, F.lit(r"\[REDACTED:[a-z-]+\]")).cast("long")
+def _told_apart(text: Column) -> Column:
+    """The text with a letter put into the markers that it holds already, so that those of a redaction are known."""
+    return F.replace(text, F.lit("[REDACTED:"), F.lit("[REDACTED:\x07"))
+
+
+def hits(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """Spans that a redaction of the text replaces; markers that it holds before are none."""
+    return F.regexp_count(redacted(_told_apart(text), secrets), F.lit(r"\[REDACTED:[a-z-]+\]")).cast("long")
 
 
 def secret_scan(df: DataFrame, column: str) -> DataFrame:
-    """Rows with their counts by kind, none rewritten; rows without any are left out."""
-    named = df.select("*", *(F.regexp_count(column, F.lit(pattern)).cast("long").alias(kind.replace("-", "_")) for kind, pattern, _ in SHAPES))
-    return named.where(" + ".join(kind.replace("-", "_") for kind, *_ in SHAPES) + " > 0")
+    """Rows with their counts by kind, assignments (secret) too, none rewritten; rows without any are left out. Each secret counts under the kind that redaction gives it."""
+    kinds = [kind for kind, *_ in SHAPES] + ["secret"]
+    marked = df.withColumn("_marked", redacted(_told_apart(F.col(column))))
+    named = marked.select(*df.columns, *(F.regexp_count("_marked", F.lit(rf"\[REDACTED:{kind}\]")).cast("long").alias(kind.replace("-", "_")) for kind in kinds))
+    return named.where(" + ".join(kind.replace("-", "_") for kind in kinds) + " > 0")
 
 
 def content_hash(text: Column) -> Column:

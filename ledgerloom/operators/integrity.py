@@ -81,22 +81,45 @@ def checkpoint_rows(roots: DataFrame, origin: str) -> DataFrame:
     return roots.select("tree_size", "root", F.concat(F.lit(origin + "\n"), "tree_size", F.lit("\n"), "root", F.lit("\n")).alias("checkpoint_text"))
 
 
-def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (log_index, tree_size) with its audit path ``proof``. Right siblings that are not complete come from the size's own frontier."""
-    m, n, k = F.col("log_index"), F.col("tree_size"), F.col("level")
-    levels = wanted.select("log_index", "tree_size", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")).where(F.expr("shiftright(tree_size - 1, level) > 0"))
-    own, last = F.call_function("shiftright", m, k), F.call_function("shiftright", n - 1, k)
+def _band_paths(nodes: DataFrame, wanted: DataFrame, band: int) -> DataFrame:
+    """at, tree_size and path: the siblings of the levels of one band, for nodes ``at`` of the band's lowest level. A node is asked for by 2^(CHUNK_BITS - 1) others at most."""
+    low = band * CHUNK_BITS
+    m, n, k = F.col("at"), F.col("tree_size"), F.col("level")
+    levels = wanted.select("at", "tree_size", F.explode(F.sequence(F.lit(low), F.lit(min(low + CHUNK_BITS, 63) - 1))).alias("level")).where(F.expr("shiftright(tree_size - 1, level) > 0"))
+    own, last = F.call_function("shiftright", m, k - low), F.call_function("shiftright", n - 1, k)
     odd = own.bitwiseAND(F.lit(1).cast("long")) == 1
     needed = levels.withColumns({"own": own, "last": last, "odd": odd}).where("odd OR own < last")
     placed = needed.withColumn("idx", F.when(F.col("odd"), F.col("own") - 1).otherwise(F.col("own") + 1)).withColumn("complete", F.expr("shiftleft(idx + 1, level) <= tree_size"))
-    whole = placed.where("complete").join(nodes, ["level", "idx"]).select("log_index", "tree_size", "level", "hash")
-    # Of a size's subtrees, those below a level make up the ragged node of that level.
-    ragged = placed.where("NOT complete").select("log_index", "tree_size", "level")
+    within = nodes.where((k >= low) & (k < low + CHUNK_BITS))
+    whole = placed.where("complete").join(within, ["level", "idx"]).select("at", "tree_size", "level", "hash")
+    # Right siblings that are not complete: of a size's subtrees, those below a level make up the ragged node of that level.
+    ragged = placed.where("NOT complete").select("at", "tree_size", "level")
     parts = ragged.select("tree_size", "level").distinct().select("tree_size", F.col("level").alias("below"), F.explode(_set_bits(n)).alias("p")).where("p.level < below").select("tree_size", "below", "p.level", "p.idx")
     frontier = parts.join(nodes, ["level", "idx"]).groupBy("tree_size", F.col("below").alias("level")).agg(_fold(_ordered_hashes("level")).alias("hash"))
-    edges = ragged.join(frontier, ["tree_size", "level"]).select("log_index", "tree_size", "level", "hash")
-    paths = whole.union(edges).groupBy("log_index", "tree_size").agg(_ordered_hashes("level").alias("proof"))
-    return wanted.join(paths, ["log_index", "tree_size"], "left").withColumn("proof", F.coalesce("proof", F.array().cast("array<string>")))
+    edges = ragged.join(frontier, ["tree_size", "level"]).select("at", "tree_size", "level", "hash")
+    return whole.union(edges).groupBy("at", "tree_size").agg(_ordered_hashes("level").alias("path"))
+
+
+def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (log_index, tree_size) with its audit path ``proof``.
+
+    Paths are made in bands of CHUNK_BITS levels, from the top band down: all leaves below one node
+    share what is above it, so a band has one path for each of its lowest nodes, and joins the path of
+    the node above. So no key of a join stands for more than 2^CHUNK_BITS rows of a tree size.
+    """
+    most = wanted.agg(F.max("tree_size")).first()[0] or 1
+    none = F.array().cast("array<string>")
+    above = None
+    for band in reversed(range(max(1, -(-(most - 1).bit_length() // CHUNK_BITS)))):
+        asked = wanted.select(F.shiftright("log_index", band * CHUNK_BITS).alias("at"), "tree_size").distinct()
+        path = F.coalesce("path", none)
+        here = asked.join(_band_paths(nodes, asked, band), ["at", "tree_size"], "left")
+        if above is None:
+            above = here.select("at", "tree_size", path.alias("path"))
+        else:
+            upper = above.select(F.col("at").alias("up"), "tree_size", F.col("path").alias("rest"))
+            above = here.withColumn("up", F.shiftright("at", CHUNK_BITS)).join(upper, ["up", "tree_size"]).select("at", "tree_size", F.concat(path, "rest").alias("path"))
+    return wanted.join(above.select(F.col("at").alias("log_index"), "tree_size", F.col("path").alias("proof")), ["log_index", "tree_size"])
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
@@ -135,12 +158,17 @@ def tamper_scan(events: DataFrame, stored_leaves: DataFrame, width: int = 65_536
 
 
 def index_gaps(events: DataFrame, width: int = 65_536) -> DataFrame:
-    """Runs of missing log_index values as (after, before): within ranges of ``width`` indices, and between neighbouring ranges."""
-    part = F.floor(F.col("log_index") / width)
-    inside = Window.partitionBy("part").orderBy("log_index")
-    own = events.select("log_index", part.alias("part")).withColumn("after", F.lag("log_index").over(inside))
-    ends = own.groupBy("part").agg(F.min("log_index").alias("first"), F.max("log_index").alias("last")).withColumn("after", F.lag("last").over(Window.orderBy("part")))
-    return own.where("log_index - after > 1").select("after", F.col("log_index").alias("before")).union(ends.where("first - after > 1").select("after", F.col("first").alias("before")))
+    """Runs of missing log_index values as (after, before): within ranges of ``width`` indices, between neighbouring ranges, and between neighbouring groups of ``width`` ranges.
+
+    Only the last step is one task: over a row for each ``width`` squared indices.
+    """
+    own = events.select("log_index", F.floor(F.col("log_index") / width).alias("part"))
+    gaps = lambda rows, first: rows.where(F.col(first) - F.col("after") > 1).select("after", F.col(first).alias("before"))
+    inside = own.withColumn("after", F.lag("log_index").over(Window.partitionBy("part").orderBy("log_index")))
+    ends = own.groupBy("part").agg(F.min("log_index").alias("first"), F.max("log_index").alias("last")).withColumn("group", F.floor(F.col("part") / width))
+    between = ends.withColumn("after", F.lag("last").over(Window.partitionBy("group").orderBy("part")))
+    groups = ends.groupBy("group").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("after", F.lag("last").over(Window.orderBy("group")))
+    return gaps(inside, "log_index").union(gaps(between, "first")).union(gaps(groups, "first"))
 
 
 def anchors_due(checkpoints: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -35,6 +35,34 @@ def session_file_sets(df: DataFrame) -> DataFrame:
     )
 
 
+def session_lists(actions: DataFrame) -> DataFrame:
+    """By session, the files read, written and edited (each once), and the commands, searches and failures.
+
+    actions: session_id, event_type, target, and file_path, command and pattern of the tool's input
+    where there are any. A search without a pattern is named by its target, a failure by its command
+    or else its kind and target. Repeated paths go before they are gathered.
+    """
+    kind = F.col("event_type")
+    cut = lambda c, n: F.left(c, F.lit(n))
+    searched = F.coalesce("pattern", F.regexp_replace("target", "^search:", ""))
+    value = (
+        F.when(kind.isin("file_read", "file_write", "file_edit"), F.col("file_path"))
+        .when(kind == "command_execution", cut(F.col("command"), 80))
+        .when(kind.isin("content_search", "web_search"), cut(searched, 60))
+        .when(kind == "command_execution_failed", cut(F.coalesce("command", "target"), 80))
+        .when(F.endswith(kind, F.lit("_failed")), F.concat(kind, F.lit(": "), cut(F.col("target"), 60)))
+    )
+    name = (
+        F.when(kind == "file_read", "files_read").when(kind == "file_write", "files_written").when(kind == "file_edit", "files_edited").when(kind == "command_execution", "commands")
+        .when(kind.isin("content_search", "web_search"), "searches").when(F.endswith(kind, F.lit("_failed")), "failures")
+    )
+    named = actions.select("session_id", name.alias("list"), value.alias("value"))
+    counted = named.groupBy("session_id", "list", "value").agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(F.startswith("list", F.lit("files")), F.lit(1)).otherwise(F.col("n")).cast("int")
+    gathered = counted.groupBy("session_id").agg(*(F.flatten(F.collect_list(F.when((F.col("list") == one) & F.col("value").isNotNull(), F.array_repeat("value", times)))).alias(one) for one in ("files_read", "files_written", "files_edited", "commands", "searches", "failures")))
+    return gathered
+
+
 def turn_files_changed(segmented: DataFrame) -> DataFrame:
     changed = segmented.where(F.col("event_type").isin("file_write", "file_edit")).groupBy("session_id", "turn").agg(F.collect_set(F.regexp_replace("target", "^hook/file:", "")).alias("files"))
     return changed.select("session_id", "turn", F.size("files").cast("long").alias("n_files"), F.array_join(F.array_sort("files"), ",").alias("files"))

@@ -265,8 +265,7 @@ def j10_event_index_lookup(s: SparkSession, d: str) -> DataFrame:
 
 @query(EV + "SELECT log_index, 1 + CASE action_type WHEN 'view' THEN 0 WHEN 'signup' THEN 10 WHEN 'purchase' THEN 15 ELSE 25 + settled_energy // 256 END + strlen(payload) // 1024 AS cost FROM ev")
 def m1_energy_cost(s: SparkSession, d: str) -> DataFrame:
-    base = F.expr("CASE action_type WHEN 'view' THEN 0L WHEN 'signup' THEN 10L WHEN 'purchase' THEN 15L ELSE 25L + settled_energy div 256 END")
-    return audit_events(s, d).select("log_index", (base + 1 + F.expr("octet_length(payload) div 1024")).alias("cost"))
+    return audit_events(s, d).select("log_index", E.energy_cost(F.col("action_type"), F.col("settled_energy"), F.col("payload"), {"view": 0, "signup": 10, "purchase": 15}).alias("cost"))
 
 
 @query(EV + f"SELECT log_index, {DAY} AS day, {CLOCK} AS minute, strftime(make_timestamp(event_ms * 1000), '%-m/%-d %a') AS label, concat(left(event_hash, 8), '...', right(event_hash, 8)) AS short_hash, regexp_full_match(event_hash, '[0-9a-f]{{64}}') AS is_hex, format('{{:,}}', event_ms // 1000) AS thousands FROM ev")
@@ -276,8 +275,8 @@ def m_formats(s: SparkSession, d: str) -> DataFrame:
 
     day = E.day(F.col("event_ms"))
     return audit_events(s, d).select(
-        "log_index", day.cast("string").alias("day"), E.clock(F.col("event_ms")).alias("minute"), F.date_format(day, "M/d E").alias("label"),
-        F.concat(F.left("event_hash", F.lit(8)), F.lit("..."), F.right("event_hash", F.lit(8))).alias("short_hash"), is_hex64(F.col("event_hash")).alias("is_hex"), F.format_number(F.floor(F.col("event_ms") / 1000), 0).alias("thousands"),
+        "log_index", day.cast("string").alias("day"), E.clock(F.col("event_ms")).alias("minute"), E.day_label(day).alias("label"),
+        E.short_hash(F.col("event_hash")).alias("short_hash"), is_hex64(F.col("event_hash")).alias("is_hex"), E.thousands(F.floor(F.col("event_ms") / 1000)).alias("thousands"),
     )
 
 
@@ -285,3 +284,35 @@ def m_formats(s: SparkSession, d: str) -> DataFrame:
 def n14_short_path(s: SparkSession, d: str) -> DataFrame:
     bare = F.regexp_replace("target", "^hook/", "")
     return audit_events(s, d).select("log_index", bare.alias("target"), R.short_path(bare).alias("short"))
+
+
+@query(EV + """SELECT log_index, CASE WHEN e > b THEN CASE WHEN (e - b) // 1000 >= 60 THEN concat((e - b) // 60000, 'm ', (e - b) // 1000 % 60, 's') ELSE concat((e - b) // 1000, 's') END WHEN b IS NOT NULL AND e IS NULL THEN 'ongoing' ELSE 'unknown' END AS report,
+  CASE WHEN e > b THEN concat((e - b) // 60000, 'm ', lpad(CAST((e - b) // 1000 % 60 AS VARCHAR), 2, '0'), 's') ELSE 'unknown' END AS receipt
+  FROM (SELECT log_index, CASE WHEN log_index % 7 <> 3 THEN ts_ms END AS b, CASE WHEN log_index % 5 <> 2 THEN ts_ms + (log_index % 400) * 700 - 1000 END AS e FROM ev)""")
+def m2_durations(s: SparkSession, d: str) -> DataFrame:
+    begin, end = F.when(F.col("log_index") % 7 != 3, F.col("ts_ms")), F.when(F.col("log_index") % 5 != 2, F.col("ts_ms") + (F.col("log_index") % 400) * 700 - 1000)
+    return audit_events(s, d).select("log_index", E.report_duration(begin, end).alias("report"), E.receipt_duration(begin, end).alias("receipt"))
+
+
+#: Kinds of the report that the events lack: some writes are edits, some reads are searches.
+_REPORTED = "CASE WHEN event_type = 'file_write' AND log_index % 3 = 0 THEN 'file_edit' WHEN event_type = 'file_read' AND log_index % 5 = 0 THEN 'content_search' WHEN event_type = 'file_read' AND log_index % 5 = 1 THEN 'network_failed' ELSE event_type END"
+_PATH, _COMMAND = "replace(target, 'hook/file:', '')", "replace(target, 'hook/bash:', '')"
+
+
+def _joined(kind: str, value: str) -> str:
+    return f"coalesce(string_agg({value}, '|' ORDER BY {value}) FILTER ({kind}), '')"
+
+
+@query(
+    f"WITH {EVENTS_SQL}, k AS (SELECT session_id, {_REPORTED} AS kind, target, {_PATH} AS path, {_COMMAND} AS command FROM ev), u AS (SELECT DISTINCT session_id, kind, path FROM k WHERE kind IN ('file_read', 'file_write', 'file_edit')),"
+    + f" l AS (SELECT session_id, {_joined("kind = 'command_execution'", 'left(command, 80)')} AS commands, {_joined("kind = 'content_search'", 'left(path, 60)')} AS searches, {_joined("ends_with(kind, '_failed')", "CASE WHEN kind = 'command_execution_failed' THEN left(command, 80) ELSE concat(kind, ': ', left(path, 60)) END")} AS failures FROM k GROUP BY 1)"
+    + f" SELECT session_id, {_joined("u.kind = 'file_read'", 'u.path')} AS files_read, {_joined("u.kind = 'file_write'", 'u.path')} AS files_written, {_joined("u.kind = 'file_edit'", 'u.path')} AS files_edited, any_value(commands) AS commands, any_value(searches) AS searches, any_value(failures) AS failures FROM l LEFT JOIN u USING (session_id) GROUP BY 1"
+)
+def a20_session_lists(s: SparkSession, d: str) -> DataFrame:
+    """Lists in order, joined by |."""
+    ev = audit_events(s, d)
+    path, command = F.regexp_replace("target", "^hook/file:", ""), F.regexp_replace("target", "^hook/bash:", "")
+    kinds = ev.select("session_id", F.expr(_REPORTED).alias("event_type"), path.alias("target"), path.alias("file_path"), command.alias("command"), F.lit(None).cast("string").alias("pattern"))
+    kinds = kinds.withColumn("target", F.when(F.col("event_type").startswith("command"), F.col("command")).otherwise(F.col("target")))
+    lists = R.session_lists(kinds)
+    return lists.select("session_id", *(F.array_join(F.array_sort(c), "|").alias(c) for c in lists.columns if c != "session_id"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import events as E
 from ..operators import governance as G
 from ..operators import integrity as I
 from .catalog import query
 from .views import EVENTS_SQL, audit_events, table
 
-#: A text with secrets of every shape after each document's own start (the documents hold few shapes). Fixed samples, assembled from parts.
+#: Secrets of every shape, put after each document (the documents hold few shapes). Fixed samples, assembled from parts.
 PARTS = {
     "bearer": ("Authorization: Bearer abc", "defghijkl."),
     "conn": ("postgres://bob:", "hunter22@db/x"),
@@ -44,13 +45,13 @@ def _shapes_sql(text: str) -> str:
     return text
 
 
-SHAPED = _shapes_sql("concat(left(text, 200), ' ; ', " + _sql(SAMPLES) + ")")
+SHAPED = _shapes_sql("concat(text, ' ; ', " + _sql(SAMPLES) + ")")
 
 
 @query("SELECT doc_id, " + SHAPED + " AS text FROM documents")
 def r_known_shapes(s: SparkSession, d: str) -> DataFrame:
-    """r2 to r6 on samples of every shape after each document's start; r_known_shapes_whole has the whole texts."""
-    return _bodies(s, d).select("doc_id", G.known_shapes(F.concat(F.left("text", F.lit(200)), F.lit(" ; " + SAMPLES))).alias("text"))
+    """r2 to r6 on whole texts, each followed by samples of every shape; r_known_shapes_whole has the texts alone."""
+    return _bodies(s, d).select("doc_id", G.known_shapes(F.concat("text", F.lit(" ; " + SAMPLES))).alias("text"))
 
 
 @query("SELECT doc_id, " + _shapes_sql("text") + " AS text FROM documents")
@@ -64,9 +65,7 @@ def r1_literal_secrets(s: SparkSession, d: str) -> DataFrame:
     """Listed values only, longest first."""
     text = F.col("text")
     n = F.length(text) - F.length(F.replace(text, F.lit(" the "), F.lit("")))
-    for value in sorted(("token = ", "password="), key=lambda v: -len(v)):
-        text = F.replace(text, F.lit(value), F.lit("[REDACTED:env]"))
-    return _bodies(s, d).select("doc_id", n.cast("long").alias("n"), text.alias("text"))
+    return _bodies(s, d).select("doc_id", n.cast("long").alias("n"), G.literal_secrets(text, ("token = ", "password=", "short")).alias("text"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, 'password=([^\\s\"'']+)[\"'']?', 'password=[REDACTED:secret]', 'g'), 'token = \"([0-9a-f]{40})\"', 'token=[REDACTED:secret]', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[REDACTED:aws-access-key]', 'g') AS text FROM documents)")
@@ -77,12 +76,12 @@ def r8_assignments(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, len(regexp_extract_all(text, 'password=[^\\s]+')) + len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"')) + len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS hits FROM documents")
 def r10_hit_count(s: SparkSession, d: str) -> DataFrame:
-    return _bodies(s, d).select("doc_id", G.hits(G.redacted(F.col("text"))).alias("hits"))
+    return _bodies(s, d).select("doc_id", G.hits(F.col("text")).alias("hits"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS aws_access_key FROM documents WHERE regexp_matches(text, 'AKIA[0-9A-Z]{16}')")
+@query("SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS aws_access_key, len(regexp_extract_all(text, 'password=[^\\s]+')) + len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"')) AS secret FROM documents) WHERE aws_access_key + secret > 0")
 def r11_secret_scan(s: SparkSession, d: str) -> DataFrame:
-    return G.secret_scan(_bodies(s, d), "text").select("doc_id", "aws_access_key")
+    return G.secret_scan(_bodies(s, d), "text").select("doc_id", "aws_access_key", "secret")
 
 
 @query("SELECT CAST(sum(len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}'))) AS BIGINT) AS aws_access_key, CAST(sum(len(regexp_extract_all(text, 'password=[^\\s]+'))) + sum(len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"'))) AS BIGINT) AS secret FROM documents")
@@ -188,6 +187,13 @@ def i5_checkpoint_row(s: SparkSession, d: str) -> DataFrame:
     return I.checkpoint_rows(i4_root_at_size(s, d), "ledger/1")
 
 
+@query("WITH " + ROOTS + ", rc AS (SELECT session_id, count(*) AS events FROM ev GROUP BY 1) SELECT session_id, events, (SELECT max(tree_size) FROM roots) AS tree_size, (SELECT concat('0x', left(r, 8), '...', right(r, 8)) FROM (SELECT arg_max(root, tree_size) AS r FROM roots)) AS root FROM rc")
+def a8_receipt_with_root(s: SparkSession, d: str) -> DataFrame:
+    """The receipts' tree size and root."""
+    receipts = E.session_receipt(audit_events(s, d)).select("session_id", "events")
+    return E.with_checkpoint(receipts, i4_root_at_size(s, d))
+
+
 def _proofs(s: SparkSession, d: str) -> DataFrame:
     """Proofs of every event in the tree of the whole log."""
     leaves = _leaves(s, d)

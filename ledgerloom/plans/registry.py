@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, governance_queries, source_queries, turn_queries  # noqa: F401  (importing registers the queries)
+from . import event_queries, governance_queries, index_queries, source_queries, turn_queries  # noqa: F401  (importing registers the queries)
 from .catalog import QUERIES, SQL, Query
 
 

@@ -49,7 +49,7 @@ KEPT = "role IN ('assistant', 'user') AND turn % 7 <> 6 AND NOT (conv_id % 13 =
 def s1_scan_transcripts(s: SparkSession, d: str) -> DataFrame:
     """Also s3: bad lines are skipped, and the whole of a file that starts with one."""
     e = S.scan_transcripts(s, _transcript_files(s, d), "*.txt")
-    return e.select(F.col("sessionId").alias("session_id"), F.col("uuid").alias("turn_uuid"), "role", F.octet_length(F.col("message.content")[0]["text"]).cast("long").alias("byte_len"))
+    return e.select(F.col("sessionId").alias("session_id"), F.col("uuid").alias("turn_uuid"), "role", F.octet_length(F.try_variant_get("message", "$.content[0].text", "string")).cast("long").alias("byte_len"))
 
 
 @query(f"SELECT CAST(15 - (SELECT count(*) FROM generate_series(0, 15) g(f) WHERE f <> 7 AND f NOT IN (SELECT conv_id % 16 FROM conversations WHERE {KEPT})) AS BIGINT) AS files, count(DISTINCT conv_id) AS sessions, count(*) AS turns FROM conversations WHERE {KEPT}")
@@ -73,9 +73,8 @@ def s4_scan_rollouts(s: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("log_index") % 9 == 4, F.lit('{"type": oops')).otherwise(F.to_json(F.struct(F.col("log_index").cast("string").alias("timestamp"), F.col("action_type").alias("type"), F.struct((F.col("log_index") % 5).alias("k")).alias("payload"))))
     path = scratch(s, "rollouts")
     _write_lines(ev.select((F.col("log_index") % FILES).alias("file"), F.col("log_index").alias("ord"), line.alias("value")), path)
-    lines = S.with_offsets(S.read_lines(s, path, "*.txt"))
-    parsed = lines.where(F.try_parse_json("value").isNotNull())
-    return parsed.select(F.get_json_object("value", "$.timestamp").cast("long").alias("log_index"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.payload").alias("payload"))
+    items, _ = S.scan_rollouts(s, path, "*.txt")
+    return items.select(F.col("timestamp").cast("long").alias("log_index"), "type", "payload")
 
 
 @query("SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN concat(left(md5(CAST(conv_id AS VARCHAR)), 8), '-aaaa-bbbb-cccc-', right(md5(CAST(conv_id AS VARCHAR)), 12)) ELSE concat('plain-', conv_id) END AS session_id FROM conversations")
@@ -193,25 +192,9 @@ def n11_snake_case(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", N.snake_case(camel).alias("name"))
 
 
-@query("SELECT doc_id, length(base64(encode(left(text, 100)))) AS b64_len, length(base64(encode(left(text, 100)))) * 3 // 4 AS approx_bytes FROM documents")
-def n12_image_blocks(s: SparkSession, d: str) -> DataFrame:
-    block = lambda kind, data: F.struct(F.lit(kind).alias("type"), F.lit("image/png").alias("media_type"), data.alias("data"))
-    blocks = F.array(block("text", F.lit("x")), block("image", F.regexp_replace(F.base64(F.left("text", F.lit(100)).cast("binary")), "[\r\n]", "")))
-    return table(s, d, "documents").select("doc_id", F.explode(N.image_blocks(blocks)).alias("i")).select("doc_id", "i.b64_len", "i.approx_bytes")
-
-
-@query("SELECT doc_id, CASE WHEN regexp_matches(left(text, 200), '[\\x20-\\x7e]{0,}tion') AND regexp_extract(left(text, 200), '[a-z]*tion', 0) <> '' THEN regexp_extract(left(text, 200), '[a-z]*tion', 0) ELSE nullif(regexp_extract(left(text, 200), '[a-z]*ent', 0), '') END AS variant FROM documents WHERE lang = 'en' AND strlen(left(text, 200)) = length(left(text, 200)) AND NOT contains(left(text, 200), chr(10))")
-def g_signatures(s: SparkSession, d: str) -> DataFrame:
-    """g1 tolerant base64, g2 printable runs, g3 the first pattern that matches, on the first 200 characters of one-line ASCII texts; g_signatures_whole has all texts."""
-    head = F.left("text", F.lit(200))
-    docs = table(s, d, "documents").where((F.col("lang") == "en") & (F.octet_length(head) == F.length(head)) & ~F.contains(head, F.lit("\n")))
-    unpadded = F.regexp_replace(F.base64(head.cast("binary")), "[=\r\n]", "")
-    return docs.select("doc_id", G.variant_by_priority(G.ascii_runs(G.decode_base64(unpadded)), ["[a-z]*tion", "[a-z]*ent"]).alias("variant"))
-
-
 @query("SELECT doc_id, length(base64(encode(text))) AS b64_len, length(base64(encode(text))) * 3 // 4 AS approx_bytes FROM documents")
-def n12_image_blocks_whole(s: SparkSession, d: str) -> DataFrame:
-    """n12 over whole texts."""
+def n12_image_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Over whole texts."""
     block = lambda kind, data: F.struct(F.lit(kind).alias("type"), F.lit("image/png").alias("media_type"), data.alias("data"))
     blocks = F.array(block("text", F.lit("x")), block("image", F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")))
     return table(s, d, "documents").select("doc_id", F.explode(N.image_blocks(blocks)).alias("i")).select("doc_id", "i.b64_len", "i.approx_bytes")
@@ -230,7 +213,7 @@ def _variant_sql(text: str) -> str:
 
 
 @query(f"SELECT doc_id, {_variant_sql('text')} AS variant FROM documents")
-def g_signatures_whole(s: SparkSession, d: str) -> DataFrame:
+def g_signatures(s: SparkSession, d: str) -> DataFrame:
     """g1 to g3 over all rows and whole texts."""
     return table(s, d, "documents").select("doc_id", _variant(F.col("text")).alias("variant"))
 
@@ -296,6 +279,24 @@ def t3_dead_letter(s: SparkSession, d: str) -> DataFrame:
     return good.join(F.broadcast(s.read.parquet(f"{sink}/dead").agg(F.count(F.lit(1)).alias("dead"))))
 
 
+@query(EV + "SELECT CASE WHEN log_index % 9 = 4 OR log_index % 5 = 3 THEN 'dead' ELSE 'done' END AS fate, CAST(CASE WHEN log_index % 9 = 4 OR log_index % 5 = 3 THEN 3 ELSE log_index % 5 END AS INTEGER) AS attempts, CASE WHEN log_index % 9 = 4 THEN 'not JSON' WHEN log_index % 5 = 3 THEN 'not there yet' WHEN log_index % 5 > 0 THEN 'not there yet' END AS last_error, count(*) AS n FROM ev WHERE log_index % 5 < 4 GROUP BY ALL")
+def t3_retries(s: SparkSession, d: str) -> DataFrame:
+    """Four rounds over a queue: rows that are no JSON, and rows whose subject is there only from round log_index % 5 on (3: after their last attempt)."""
+    value = F.when(F.col("log_index") % 9 == 4, F.lit("{oops")).otherwise(F.to_json(F.struct("id")))
+    queue = audit_events(s, d).where("log_index % 5 < 4").select("log_index", value.alias("value"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"))
+    done = None
+    for turn in range(4):
+        attempt = lambda rows, turn=turn: rows.withColumn("error", F.when(F.try_parse_json("value").isNull(), "not JSON").when(F.col("log_index") % 5 > turn, "not there yet"))
+        through, left = J.drain(queue, attempt)
+        path = scratch(s, "retries")
+        left.write.parquet(path)
+        through.write.parquet(f"{path}-done")
+        queue, through = s.read.parquet(path), s.read.parquet(f"{path}-done")
+        done = through if done is None else done.unionByName(through)
+    fates = done.withColumn("fate", F.lit("done")).unionByName(queue.withColumn("fate", F.lit("dead")))
+    return fates.groupBy("fate", "attempts", "last_error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(EV + "SELECT action_type, count(*) AS n, min(event_ms) AS first_ms, max(event_ms) AS last_ms FROM ev GROUP BY 1")
 def t10_stream_stats(s: SparkSession, d: str) -> DataFrame:
     sink = scratch(s, "stats")
@@ -311,7 +312,7 @@ def t1_incremental_scan(s: SparkSession, d: str) -> DataFrame:
     lines = S.with_offsets(S.read_lines(s, path, "*.txt"))
     parts = F.split("value", r"\|")
     state = lines.where(parts[0].cast("long") < 40).groupBy("path").agg(F.max(F.col("offset") + F.octet_length("value") + 1).alias("scanned_to"))
-    return J.incremental_lines(lines, state).select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"))
+    return S.incremental_scan(s, path, "*.txt", state).select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"))
 
 
 @query(TU + "SELECT session_id, CAST(sum(1) AS BIGINT) AS turn_count, CAST(sum(hidden_tokens) AS BIGINT) AS hidden_tokens FROM tu WHERE session_id IN (SELECT session_id FROM tu WHERE turn_order = 5) GROUP BY 1")

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ENTRY = "type string, uuid string, parentUuid string, sessionId string, timestamp string, message struct<role: string, model: string, content: array<struct<type: string, text: string>>>"
-
-
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
-    """path, block, line number within the task (ordering only) and value of each line of all files below path."""
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
+    """path, block, line number within the task (ordering only) and value of each line of all files below path (or of the paths)."""
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
@@ -27,30 +24,71 @@ def with_offsets(lines: DataFrame) -> DataFrame:
     return own.join(starts, ["path", "block"]).withColumn("offset", F.col("start") + F.col("before")).drop("start", "before", "at", "block")
 
 
-def drop_corrupt_files(entries: DataFrame) -> DataFrame:
+def file_stats(entries: DataFrame) -> DataFrame:
+    """By file (entries: path, offset, value, bad): lines that are not blank, bad ones, whether the first is bad, and where the file ends."""
+    blank = F.trim("value") == ""
+    return entries.groupBy("path").agg(
+        F.count_if(~blank).alias("lines"), F.count_if(~blank & F.col("bad")).alias("bad_lines"), F.coalesce(F.min_by("bad", F.when(~blank, F.col("offset"))), F.lit(False)).alias("first_bad"), F.max(F.col("offset") + F.octet_length("value") + 1).alias("scanned_to")
+    )
+
+
+def drop_corrupt_files(entries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Files whose first non-blank line can't be read are skipped; of others, only the bad lines. Needs path, offset, value, bad."""
-    first = entries.where("trim(value) <> ''").groupBy("path").agg(F.min_by("bad", "offset").alias("first_bad"))
-    return entries.join(first.where("first_bad").select("path"), "path", "left_anti").where("NOT bad AND trim(value) <> ''")
+    stats = file_stats(entries) if stats is None else stats
+    return entries.join(stats.where("first_bad").select("path"), "path", "left_anti").where("NOT bad AND trim(value) <> ''")
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their JSON value v (a variant), and whether they are none."""
+    return lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", "\r$", ""))).withColumn("bad", F.col("v").isNull())
+
+
+def transcript_entries(kept: DataFrame) -> DataFrame:
+    """Assistant and user entries (path, offset, v) with a message; user entries of tool results alone, and entries without uuid, session or time, are dropped."""
+    at = lambda where, kind="string": F.try_variant_get("v", f"$.{where}", kind)
+    names = {"type": "type", "uuid": "uuid", "parentUuid": "parentUuid", "sessionId": "sessionId", "timestamp": "timestamp", "cwd": "cwd", "gitBranch": "git_branch", "slug": "slug", "version": "version", "requestId": "request_id"}
+    fields = kept.select("path", "offset", *(at(k).alias(name) for k, name in names.items()), F.coalesce(at("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), at("message", "variant").alias("message"))
+    turns = fields.where("type IN ('assistant', 'user') AND uuid IS NOT NULL AND sessionId IS NOT NULL AND timestamp IS NOT NULL").where(F.startswith(F.schema_of_variant("message"), F.lit("OBJECT")))
+    parts = F.try_variant_get("message", "$.content", "array<variant>")
+    only_results = (F.col("type") == "user") & (F.size(parts) > 0) & F.forall(parts, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False)))
+    return turns.where(~F.coalesce(only_results, F.lit(False))).withColumn("role", F.coalesce(F.try_variant_get("message", "$.role", "string"), "type"))
 
 
 def scan_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Assistant and user entries with a message; user entries of tool results alone, and entries without uuid, session or time, are dropped."""
-    lines = with_offsets(read_lines(spark, path, glob))
-    parsed = lines.withColumn("e", F.from_json("value", ENTRY)).withColumn("bad", F.try_parse_json("value").isNull())
-    kept = drop_corrupt_files(parsed).select("path", "offset", "e.*").where("type IN ('assistant', 'user') AND message IS NOT NULL AND uuid IS NOT NULL AND sessionId IS NOT NULL AND timestamp IS NOT NULL")
-    only_results = (F.col("type") == "user") & (F.size("message.content") > 0) & F.forall("message.content", lambda b: b["type"] == "tool_result")
-    return kept.where(~F.coalesce(only_results, F.lit(False))).withColumn("role", F.coalesce("message.role", "type"))
+    """The entries that are turns, of all files below path: path, offset, the entry's fields, role and message (a variant)."""
+    return transcript_entries(drop_corrupt_files(parsed_lines(with_offsets(read_lines(spark, path, glob)))))
 
 
-def scan_rollouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Items (path, offset, timestamp, type, payload JSON text), and by file how many lines could not be read. Broken UTF-8 is read leniently."""
-    lines = with_offsets(read_lines(spark, path, "rollout-*.jsonl")).withColumn("value", F.make_valid_utf8("value")).where("trim(value) <> ''")
+    lines = with_offsets(read_lines(spark, path, glob)).withColumn("value", F.make_valid_utf8("value")).where("trim(value) <> ''")
     parsed = lines.withColumn("bad", F.try_parse_json("value").isNull())
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     items = parsed.where("NOT bad").select("path", "offset", field("timestamp"), field("type"), field("payload"))
     return items, parsed.groupBy("path").agg(F.count_if("bad").alias("skipped"))
 
 
+def changed_files(spark: SparkSession, path: str, glob: str, state: DataFrame) -> list[str]:
+    """Files below path that are new or longer than what is scanned of them (state: path, scanned_to). Only names and sizes are read; a read of the files holds their names on the driver anyway."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    same = F.regexp_replace("path", "^file:/+", "/").alias("_same")
+    files = listed.select("path", "length", same).join(state.select(same, "scanned_to"), "_same", "left")
+    return [r.path for r in files.where("scanned_to IS NULL OR length > scanned_to").select("path").collect()]
+
+
+def incremental_scan(spark: SparkSession, path: str, glob: str, state: DataFrame) -> DataFrame:
+    """Lines with offsets after what is scanned, from files that have grown or are new. Files that have not changed are not opened."""
+    changed = changed_files(spark, path, glob, state)
+    if not changed:
+        return spark.createDataFrame([], "path string, file_name string, value string, offset long")
+    return new_lines(with_offsets(read_lines(spark, changed, glob)), state)
+
+
+def new_lines(lines: DataFrame, state: DataFrame) -> DataFrame:
+    """Of lines with offsets, those at or after the saved end of their file; lines of unknown files all count. A saved end inside a line drops the rest of that line."""
+    return lines.join(state.select("path", "scanned_to"), "path", "left").where(F.col("scanned_to").isNull() | (F.col("offset") >= F.col("scanned_to"))).drop("scanned_to")
+
+
 def path_session_id(file_name: Column) -> Column:
     """The uuid of ``rollout-<time>-<uuid>.jsonl``; else the rest of the stem."""
     stem = F.regexp_replace(file_name, r"\.jsonl$", "")

@@ -101,20 +101,26 @@ def outbox(spark: SparkSession, turns: DataFrame, receipts: str, sink: str) -> N
     run_once(turns, sink, "append", each)
 
 
-def split_bad_rows(spark: SparkSession, lines: DataFrame, schema: str, sink: str, attempts: int = 3) -> None:
-    """Rows that parse go to sink/rows; the others to sink/dead with how often they were tried and why they failed, and never hold up what follows."""
+def split_bad_rows(spark: SparkSession, lines: DataFrame, schema: str, sink: str) -> None:
+    """Rows that parse go to sink/rows; the others to sink/dead, tried once, with why they failed, and never hold up what follows. ``drain`` tries them again."""
 
     def each(batch: DataFrame, number: int) -> None:
         parsed = batch.withColumn("e", F.from_json("value", schema)).withColumn("bad", F.try_parse_json("value").isNull())
         parsed.where("NOT bad").select("e.*").write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
-        parsed.where("bad").select("value", F.lit(attempts).alias("attempts"), F.lit("not JSON").alias("last_error")).write.mode("overwrite").parquet(f"{sink}/dead/batch={number}")
+        parsed.where("bad").select("value", F.lit(1).alias("attempts"), F.lit("not JSON").alias("last_error")).write.mode("overwrite").parquet(f"{sink}/dead/batch={number}")
 
     run_once(lines, sink, "append", each)
 
 
-def incremental_lines(lines: DataFrame, state: DataFrame) -> DataFrame:
-    """Of lines with offsets, those at or after the saved end of their file (state: path, scanned_to); lines of unknown files all count. A saved end inside a line drops the rest of that line."""
-    return lines.join(F.broadcast(state), "path", "left").where(F.col("scanned_to").isNull() | (F.col("offset") >= F.col("scanned_to"))).drop("scanned_to")
+def drain(pending: DataFrame, attempt: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One round over a queue (attempts, last_error and any more): rows done, and rows that stay.
+
+    ``attempt`` adds a column error, null where a row went through. Rows that failed stay with one
+    attempt more; those tried ``most`` times stay for diagnosis and are not tried again.
+    """
+    tried = attempt(pending.where(F.col("attempts") < most))
+    failed = tried.where("error IS NOT NULL").withColumns({"attempts": F.col("attempts") + 1, "last_error": F.col("error")}).drop("error")
+    return tried.where("error IS NULL").drop("error"), failed.unionByName(pending.where(F.col("attempts") >= most))
 
 
 def recompute_touched(turns: DataFrame, batch: DataFrame, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
