@@ -29,13 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is set and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
