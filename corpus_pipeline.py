@@ -1,5 +1,5 @@
 """Corpus cleaning over ``documents``: five stages in order, each written as Parquet and read again
-before the next. All but the last return the columns of the documents they get.
+before the next, after which the stage before is deleted. All but the last return the columns of the documents they get.
 
 1. quality_rules: texts that fail the repetition rules go.
 2. exact_dedup: of texts equal but for the case of A-Z, the row with the largest doc_id stays.
@@ -15,6 +15,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.functions.scratch import discard
 from ledgerloom.llm import exact_dedup, near_dedup, packing, pii, quality
 from ledgerloom.llm.common import shared_dir, table
 from ledgerloom.llm.registry import WORD_BPE
@@ -58,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{number}-{name}")
         docs = spark.read.parquet(f"{at}/{number}-{name}")
+        if number:
+            discard(spark, f"{at}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
