@@ -102,8 +102,8 @@ def assign(docs: DataFrame, old_shard: Column | None = None, n_old: int = OLD_SH
     """doc_id, size, text_crc32, old_shard, shard, slot; shard sizes near equal, fewest bytes moved."""
     rows = docs.select("doc_id", *_measures(), (hash_shard(n_old) if old_shard is None else old_shard).alias("old_shard"))
     shares = max(1, -(-docs.count() // (BUCKET_ROWS * n_old)))
-    # Classes from the largest sizes down; sub deals the rows of a class out, copies of one text too.
-    rows = cut(rows.withColumns({"cls": (-F.floor(F.log2("size") * CLASSES)).cast("int"), "sub": F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.lit(shares)).cast("int")}))
+    # Classes from the largest sizes down; sub deals the rows of a class out, copies of one text and rows without an id too.
+    rows = cut(rows.withColumns({"cls": (-F.floor(F.log2("size") * CLASSES)).cast("int"), "sub": F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "size", F.lit(7)), F.lit(shares)).cast("int")}))
     buckets = rows.groupBy("old_shard", "cls", "sub").agg(F.sum("size").alias("bytes"))
     totals = {(r.old_shard, r.cls): r.bytes for r in buckets.groupBy("old_shard", "cls").agg(F.sum("bytes").alias("bytes")).collect()}
     flow = plan_transfers([sum(v for k, v in totals.items() if k[0] == i) for i in range(n_old)], n_new)
