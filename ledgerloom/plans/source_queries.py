@@ -115,6 +115,15 @@ def s12_index_upsert(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(new).select("turn_uuid", "version")
 
 
+@query("SELECT 'note-v1' AS schema, 'note' AS event_type, text AS content, CASE WHEN turn % 2 = 0 THEN concat('conv-', conv_id) ELSE 'library' END AS source FROM conversations WHERE role = 'user'")
+def s15_append_note(s: SparkSession, d: str) -> DataFrame:
+    """Two appends to one log: notes with a source, and notes without."""
+    notes, path = table(s, d, "conversations").where("role = 'user'"), scratch(s, "notes")
+    S.append_notes(notes.where("turn % 2 = 0").select(F.col("text").alias("content"), F.concat(F.lit("conv-"), "conv_id").alias("source")), path)
+    S.append_notes(notes.where("turn % 2 = 1").select(F.col("text").alias("content")), path)
+    return s.read.parquet(path).drop("metadata")
+
+
 # --- hooks
 
 NAMES = ["Bash", "Read", "Write", "Edit", "Glob", "Grep", "WebFetch", "WebSearch", "Task", "mcp__git__log", "Other", "Shell"]

@@ -124,6 +124,13 @@ def upsert_into(spark: SparkSession, fresh: DataFrame, stored: str, target: str,
     upsert_sessions(stay.unionByName(fresh, allowMissingColumns=True), target, buckets)
 
 
+def append_notes(notes: DataFrame, path: str) -> None:
+    """Appends user notes (content, and event_type, source and metadata where given) to the log at path."""
+    given = lambda name, default, kind="string": (F.coalesce(F.col(name), F.lit(default)) if name in notes.columns else F.lit(default)).cast(kind).alias(name)
+    row = notes.select(F.lit("note-v1").alias("schema"), given("event_type", "note"), "content", given("source", "library"), given("metadata", None, "map<string, string>"))
+    row.write.mode("append").parquet(path)
+
+
 def append_note(spark: SparkSession, path: str, content: str, event_type: str = "note", source: str = "library", metadata: dict[str, str] | None = None) -> None:
     """Appends one user note to the log at path."""
-    spark.createDataFrame([("note-v1", event_type, content, source, metadata)], "schema string, event_type string, content string, source string, metadata map<string, string>").write.mode("append").parquet(path)
+    append_notes(spark.createDataFrame([(event_type, content, source, metadata)], "event_type string, content string, source string, metadata map<string, string>"), path)
