@@ -97,7 +97,9 @@ def _band_paths(nodes: DataFrame, wanted: DataFrame, band: int) -> DataFrame:
     parts = ragged.select("tree_size", "level").distinct().select("tree_size", F.col("level").alias("below"), F.explode(_set_bits(n)).alias("p")).where("p.level < below").select("tree_size", "below", "p.level", "p.idx")
     frontier = parts.join(nodes, ["level", "idx"]).groupBy("tree_size", F.col("below").alias("level")).agg(_fold(_ordered_hashes("level")).alias("hash"))
     edges = ragged.join(frontier, ["tree_size", "level"]).select("at", "tree_size", "level", "hash")
-    return whole.union(edges).groupBy("at", "tree_size").agg(_ordered_hashes("level").alias("path"))
+    # A row of its own keeps nodes without siblings.
+    every = whole.union(edges).union(wanted.select("at", "tree_size", F.lit(-1), F.lit(None).cast("string")))
+    return every.groupBy("at", "tree_size").agg(F.array_compact(_ordered_hashes("level")).alias("path"))
 
 
 def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -108,18 +110,20 @@ def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     the node above. So no key of a join stands for more than 2^CHUNK_BITS rows of a tree size.
     """
     most = wanted.agg(F.max("tree_size")).first()[0] or 1
-    none = F.array().cast("array<string>")
+    paths = lambda band: _band_paths(nodes, wanted.select(F.shiftright("log_index", band * CHUNK_BITS).alias("at"), "tree_size").distinct(), band)
     above = None
-    for band in reversed(range(max(1, -(-(most - 1).bit_length() // CHUNK_BITS)))):
-        asked = wanted.select(F.shiftright("log_index", band * CHUNK_BITS).alias("at"), "tree_size").distinct()
-        path = F.coalesce("path", none)
-        here = asked.join(_band_paths(nodes, asked, band), ["at", "tree_size"], "left")
-        if above is None:
-            above = here.select("at", "tree_size", path.alias("path"))
-        else:
+    for band in reversed(range(1, -(-(most - 1).bit_length() // CHUNK_BITS))):
+        here = paths(band)
+        if above is not None:
             upper = above.select(F.col("at").alias("up"), "tree_size", F.col("path").alias("rest"))
-            above = here.withColumn("up", F.shiftright("at", CHUNK_BITS)).join(upper, ["up", "tree_size"]).select("at", "tree_size", F.concat(path, "rest").alias("path"))
-    return wanted.join(above.select(F.col("at").alias("log_index"), "tree_size", F.col("path").alias("proof")), ["log_index", "tree_size"])
+            here = here.withColumn("up", F.shiftright("at", CHUNK_BITS)).join(upper, ["up", "tree_size"]).select("at", "tree_size", F.concat("path", "rest").alias("path"))
+        above = here
+    out, path = wanted, F.col("_path")
+    if above is not None:
+        upper = above.select(F.col("at").alias("_up"), "tree_size", F.col("path").alias("_rest"))
+        out, path = out.withColumn("_up", F.shiftright("log_index", CHUNK_BITS)).join(upper, ["_up", "tree_size"]), F.concat("_path", "_rest")
+    lowest = paths(0).select(F.col("at").alias("log_index"), "tree_size", F.col("path").alias("_path"))
+    return out.join(lowest, ["log_index", "tree_size"]).withColumn("proof", path).select(*wanted.columns, "proof")
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
