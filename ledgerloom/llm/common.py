@@ -90,7 +90,7 @@ class ChunkCache:
     #: About what a chunk takes beside its letters and ids.
     OVERHEAD = 160
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 48 << 20, longest: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 96 << 20, longest: int = 64):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
