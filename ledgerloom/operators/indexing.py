@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import discard
 from ..functions.signatures import ascii_runs, decode_base64, variant_by_priority
 from ..sources import transcripts as S
 from .turns import composite_order, first_write_wins
@@ -68,14 +69,24 @@ def with_derived(turns: DataFrame) -> DataFrame:
     return measured.withColumns({"hidden_tokens": hidden, "model_variant": F.get(F.filter(b, lambda x: x["variant"].isNotNull()), F.lit(0))["variant"]})
 
 
-def entry_turns(entries: DataFrame, patterns: Sequence[str], source: str = "transcript") -> DataFrame:
-    """One turn an entry, with its blocks, usage and derived columns; of repeated uuids the first by file and place stays."""
-    at = lambda where: F.try_variant_get("message", f"$.{where}", "string")
-    turns = entries.select(
-        F.col("uuid").alias("turn_uuid"), F.col("sessionId").alias("session_id"), F.col("parentUuid").alias("parent_turn_uuid"), "role", "timestamp", "path", "offset", F.col("path").alias("file_rank"),
-        "cwd", "git_branch", "is_sidechain", "slug", "version", "request_id", at("id").alias("message_id"), at("model").alias("model"), *usage_fields(F.col("message")), content_blocks(F.try_variant_get("message", "$.content", "variant"), patterns).alias("blocks"), F.lit(source).alias("source"),
+def turn_of(e: Column, patterns: Sequence[str], source: str = "transcript") -> Column:
+    """The turn of an entry (the fields of ``sources.transcripts.entry``): a struct without any body; null where e is null."""
+    at = lambda where: F.try_variant_get(e["message"], f"$.{where}", "string")
+    turn = F.struct(
+        e["uuid"].alias("turn_uuid"), e["sessionId"].alias("session_id"), e["parentUuid"].alias("parent_turn_uuid"), *(e[c].alias(c) for c in ("role", "timestamp", "cwd", "git_branch", "is_sidechain", "slug", "version", "request_id")),
+        at("id").alias("message_id"), at("model").alias("model"), *usage_fields(e["message"]), content_blocks(F.try_variant_get(e["message"], "$.content", "variant"), patterns).alias("blocks"), F.lit(source).alias("source"),
     )
-    return with_derived(composite_order(first_write_wins(turns)).drop("file_rank"))
+    return F.when(e["uuid"].isNotNull(), turn)
+
+
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """Turns (path, offset and the fields of ``turn_of``) with order and derived columns; of repeated uuids the first by file and place stays."""
+    return with_derived(composite_order(first_write_wins(turns.withColumn("file_rank", F.col("path")))).drop("file_rank"))
+
+
+def entry_turns(entries: DataFrame, patterns: Sequence[str], source: str = "transcript") -> DataFrame:
+    """One turn an entry (of ``scan_transcripts``), with its blocks, usage and derived columns."""
+    return ordered_turns(entries.select("path", "offset", turn_of(F.struct(*entries.columns), patterns, source).alias("t")).select("path", "offset", "t.*"))
 
 
 def block_rows(turns: DataFrame) -> DataFrame:
@@ -114,13 +125,20 @@ def index_report(files: DataFrame, turns: DataFrame, sessions: DataFrame, signat
 
 
 def index_transcripts(spark: SparkSession, path: str, target: str, patterns: Sequence[str], glob: str = "*.jsonl") -> dict[str, DataFrame]:
-    """Reads all transcripts below path and writes files, turns, sessions and signatures below target; returns these tables as written, and report.
+    """Reads all transcripts below path once and writes files, turns, sessions and signatures below target; returns these tables as written, and report.
 
-    files also tells how far each file is scanned, which ``incremental_scan`` takes as its state.
+    Lines become turns without bodies as they are read, so that no text moves. files also tells how
+    far each file is scanned, which ``incremental_scan`` takes as its state.
     """
-    lines = S.parsed_lines(S.with_offsets(S.read_lines(spark, path, glob)))
-    written = lambda name, df: df.write.mode("overwrite").parquet(f"{target}/{name}") or spark.read.parquet(f"{target}/{name}")
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{target}/{name}")
+        return spark.read.parquet(f"{target}/{name}")
+
+    read = S.parsed_lines(S.measured(S.read_lines(spark, path, glob))).withColumn("e", S.entry(F.col("v")))
+    lines = written("lines", S.with_offsets(read.select("path", "file_name", "block", "at", "size", "blank", "bad", turn_of(F.col("e"), patterns).alias("t"))))
     files = written("files", S.file_stats(lines))
-    turns = written("turns", entry_turns(S.transcript_entries(S.drop_corrupt_files(lines, files)), patterns))
+    turns = written("turns", ordered_turns(S.drop_corrupt_files(lines, files).where("t IS NOT NULL").select("path", "offset", "t.*")))
+    discard(spark, f"{target}/lines")
     tables = {"files": files, "turns": turns, "sessions": written("sessions", session_rows(turns)), "signatures": written("signatures", signature_rows(turns))}
     return tables | {"report": index_report(**tables)}

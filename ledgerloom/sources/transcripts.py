@@ -15,8 +15,11 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl"
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:
-    """Adds offset, the byte at which a line starts. Two levels: sums by block, then within each block, so that one huge file is many tasks."""
-    size = F.octet_length("value").cast("long") + 1
+    """Adds offset, the byte at which a line starts. Two levels: sums by block, then within each block, so that one huge file is many tasks.
+
+    Lines that have a column size (bytes with the line end) need no value, so that texts need not move.
+    """
+    size = F.col("size") if "size" in lines.columns else F.octet_length("value").cast("long") + 1
     inside = Window.partitionBy("path", "block").orderBy("at")
     blocks = lines.groupBy("path", "block").agg(F.sum(size).alias("bytes"))
     starts = blocks.withColumn("start", F.sum("bytes").over(Window.partitionBy("path").orderBy("block")) - F.col("bytes")).drop("bytes")
@@ -24,18 +27,22 @@ def with_offsets(lines: DataFrame) -> DataFrame:
     return own.join(starts, ["path", "block"]).withColumn("offset", F.col("start") + F.col("before")).drop("start", "before", "at", "block")
 
 
-def file_stats(entries: DataFrame) -> DataFrame:
-    """By file (entries: path, offset, value, bad): lines that are not blank, bad ones, whether the first is bad, and where the file ends."""
-    blank = F.trim("value") == ""
-    return entries.groupBy("path").agg(
-        F.count_if(~blank).alias("lines"), F.count_if(~blank & F.col("bad")).alias("bad_lines"), F.coalesce(F.min_by("bad", F.when(~blank, F.col("offset"))), F.lit(False)).alias("first_bad"), F.max(F.col("offset") + F.octet_length("value") + 1).alias("scanned_to")
+def measured(lines: DataFrame) -> DataFrame:
+    """Lines with their size in bytes, line end included, and whether they are blank."""
+    return lines.withColumns({"size": F.octet_length("value").cast("long") + 1, "blank": F.trim("value") == ""})
+
+
+def file_stats(lines: DataFrame) -> DataFrame:
+    """By file (lines: path, offset, size, blank, bad): lines that are not blank, bad ones, whether the first is bad, and where the file ends."""
+    return lines.groupBy("path").agg(
+        F.count_if(~F.col("blank")).alias("lines"), F.count_if(~F.col("blank") & F.col("bad")).alias("bad_lines"), F.coalesce(F.min_by("bad", F.when(~F.col("blank"), F.col("offset"))), F.lit(False)).alias("first_bad"), F.max(F.col("offset") + F.col("size")).alias("scanned_to")
     )
 
 
 def drop_corrupt_files(entries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Files whose first non-blank line can't be read are skipped; of others, only the bad lines. Needs path, offset, value, bad."""
+    """Files whose first non-blank line can't be read are skipped; of others, only the bad lines. Needs path, offset, size, blank, bad."""
     stats = file_stats(entries) if stats is None else stats
-    return entries.join(stats.where("first_bad").select("path"), "path", "left_anti").where("NOT bad AND trim(value) <> ''")
+    return entries.join(stats.where("first_bad").select("path"), "path", "left_anti").where("NOT bad AND NOT blank")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
@@ -43,20 +50,21 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", "\r$", ""))).withColumn("bad", F.col("v").isNull())
 
 
-def transcript_entries(kept: DataFrame) -> DataFrame:
-    """Assistant and user entries (path, offset, v) with a message; user entries of tool results alone, and entries without uuid, session or time, are dropped."""
-    at = lambda where, kind="string": F.try_variant_get("v", f"$.{where}", kind)
+def entry(v: Column) -> Column:
+    """The fields of an assistant or user entry (a variant) with a message, role and the message (a variant); null for other entries, user entries of tool results alone, and entries without uuid, session or time."""
+    at = lambda where, kind="string": F.try_variant_get(v, f"$.{where}", kind)
     names = {"type": "type", "uuid": "uuid", "parentUuid": "parentUuid", "sessionId": "sessionId", "timestamp": "timestamp", "cwd": "cwd", "gitBranch": "git_branch", "slug": "slug", "version": "version", "requestId": "request_id"}
-    fields = kept.select("path", "offset", *(at(k).alias(name) for k, name in names.items()), F.coalesce(at("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), at("message", "variant").alias("message"))
-    turns = fields.where("type IN ('assistant', 'user') AND uuid IS NOT NULL AND sessionId IS NOT NULL AND timestamp IS NOT NULL").where(F.startswith(F.schema_of_variant("message"), F.lit("OBJECT")))
-    parts = F.try_variant_get("message", "$.content", "array<variant>")
-    only_results = (F.col("type") == "user") & (F.size(parts) > 0) & F.forall(parts, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False)))
-    return turns.where(~F.coalesce(only_results, F.lit(False))).withColumn("role", F.coalesce(F.try_variant_get("message", "$.role", "string"), "type"))
+    parts = F.try_variant_get(v, "$.message.content", "array<variant>")
+    only_results = (at("type") == "user") & (F.size(parts) > 0) & F.forall(parts, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False)))
+    turn = at("type").isin("assistant", "user") & at("uuid").isNotNull() & at("sessionId").isNotNull() & at("timestamp").isNotNull() & F.startswith(F.schema_of_variant(at("message", "variant")), F.lit("OBJECT"))
+    fields = F.struct(*(at(k).alias(name) for k, name in names.items()), F.coalesce(at("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), at("message", "variant").alias("message"), F.coalesce(at("message.role"), at("type")).alias("role"))
+    return F.when(turn & ~F.coalesce(only_results, F.lit(False)), fields)
 
 
 def scan_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """The entries that are turns, of all files below path: path, offset, the entry's fields, role and message (a variant)."""
-    return transcript_entries(drop_corrupt_files(parsed_lines(with_offsets(read_lines(spark, path, glob)))))
+    kept = drop_corrupt_files(parsed_lines(with_offsets(measured(read_lines(spark, path, glob)))))
+    return kept.select("path", "offset", entry(F.col("v")).alias("e")).where("e IS NOT NULL").select("path", "offset", "e.*")
 
 
 def scan_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tuple[DataFrame, DataFrame]:
