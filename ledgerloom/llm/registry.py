@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, secrets, token_counts, toxicity, whitening
+from . import bpe, burst_trie, exact_dedup, html_wrappers, near_dedup, packing, pii, quality, resharding, secrets, token_counts, toxicity, whitening
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_burst_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op13_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_circulant_minhash,
         op10_inferred_wrappers,
         op11_polarised_whitening,
+        op12_burst_tries,
         op13_linked_secrets,
     )
     return {f.__name__: f for f in every}
