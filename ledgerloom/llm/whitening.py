@@ -112,8 +112,8 @@ def fit_list(vectors: DataFrame) -> DataFrame:
     return vectors.select("embedding").mapInArrow(run, "packed binary").distinct()
 
 
-def _sums(fits: DataFrame, add) -> dict[int, dict[tuple[int, int], int]]:  # noqa: ANN001
-    """By width, the exact sums by (i, j) that ``add(q)`` gives for matrices of whole numbers: arrays i, j and values."""
+def _sums(fits: DataFrame, name: str, add) -> dict[int, dict[tuple[int, int], int]]:  # noqa: ANN001
+    """By width, the exact sums (called name) by (i, j) that ``add(q)`` gives for matrices of whole numbers: arrays i, j and values. A task hands on one row a sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, list] = {}
@@ -123,9 +123,9 @@ def _sums(fits: DataFrame, add) -> dict[int, dict[tuple[int, int], int]]:  # noq
                 held = totals.setdefault(q.shape[1], [i, j, 0])
                 held[2] = held[2] + values.astype(object)
         for width, (i, j, values) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0))], ["width", "i", "j", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0))], ["width", "i", "j", name])
 
-    rows = fits.mapInArrow(run, "width int, i int, j int, value decimal(38,0)").groupBy("width", "i", "j").agg(F.sum("value").cast("decimal(38,0)").alias("value")).collect()
+    rows = fits.mapInArrow(run, f"width int, i int, j int, {name} decimal(38,0)").groupBy("width", "i", "j").agg(F.sum(name).cast("decimal(38,0)").alias("value")).collect()
     out: dict[int, dict[tuple[int, int], int]] = {}
     for r in rows:
         out.setdefault(r.width, {})[r.i, r.j] = int(r.value)
@@ -178,9 +178,9 @@ def _identity_errors(fits: DataFrame, models: dict[int, Whitening]) -> dict[int,
                     totals[width] = totals.get(width, 0) + z.T @ z
         for width, total in totals.items():
             i, j = np.triu_indices(len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["width", "i", "j", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["width", "i", "j", "products"])
 
-    rows = fits.mapInArrow(run, "width int, i int, j int, value double").groupBy("width", "i", "j").agg(F.sum("value").alias("value")).collect()
+    rows = fits.mapInArrow(run, "width int, i int, j int, products double").groupBy("width", "i", "j").agg(F.sum("products").alias("value")).collect()
     out: dict[int, float] = {}
     for r in rows:
         out[r.width] = max(out.get(r.width, 0.0), abs(r.value / models[r.width].n - (r.i == r.j)))
@@ -191,11 +191,11 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> dict[int, Whitening
     """Fits by width over all vectors (embedding)."""
     fits = cut(fit_list(vectors))
     models, means = {}, {}
-    for width, sums in _sums(fits, _count_and_sums).items():
+    for width, sums in _sums(fits, "entries", _count_and_sums).items():
         n = sums[-1, -1]
         whole = [sums[i, -1] // n for i in range(width)]
         means[width] = (n, np.array(whole, np.int64), [sums[i, -1] - n * whole[i] for i in range(width)])
-    for width, squares in _sums(fits, lambda q: _squares(q, means[q.shape[1]][1])).items():
+    for width, squares in _sums(fits, "squares", lambda q: _squares(q, means[q.shape[1]][1])).items():
         n, whole, rest = means[width]
         v = _covariance(n, rest, squares)
         values, columns = np.linalg.eigh(v)
