@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.segments import carried, islands
+from .jsonl import blank as is_blank
+
+BLOCKS = "array<struct<kind: string, role: string, tool_name: string, byte_len: bigint>>"
 PART = "array<struct<type: string, text: string, image_url: string>>"
 #: Items that are one block: kind, role, fixed tool name, fields whose text is measured (fixed values).
 SINGLE = {
@@ -54,44 +58,71 @@ def rollout_blocks(items: DataFrame, payload: str = "payload") -> DataFrame:
     return items.select("*", F.posexplode(item_blocks(F.col(payload))).alias("part", "b")).select(*items.columns, "part", "b.*")
 
 
-def grouped_turns(items: DataFrame, session: Column) -> DataFrame:
-    """Turns of rollout files (items: path, offset, timestamp, type, payload): session_id, turn, turn_uuid, role, timestamp, model, blocks and bytes.
+#: Bytes of a file that one task orders at a time.
+RANGE_BYTES = 1 << 24
+
+
+def numbered_items(items: DataFrame, session: Column) -> DataFrame:
+    """Items of rollout files (path, offset, timestamp, type, payload) with the turn that each belongs to: session_id, path, offset, timestamp, own, items (blocks), n (blocks), island, upto (blocks of the island up to the row), turn, model, cwd and git_branch as known at the row.
 
     A user or developer message is a turn of its own and ends the assistant's; everything between
-    merges into one assistant turn, which starts with its first item. Snapshots and unknown items
-    count for nothing, messages without readable parts make no turn, and turns are numbered as they
-    come. A turn has the model that the last turn_context before its end named. One file is one sort
-    group.
+    merges into one assistant turn. Snapshots and unknown items count for nothing, messages without
+    readable parts make no turn, and turns are numbered as they come; turn is of no meaning for rows
+    without blocks. Model and directory are carried on from turn contexts (each where it names one), directory
+    and branch from session metadata. The first session_meta names the session, else ``session`` does. A
+    file is many tasks, of RANGE_BYTES each.
     """
-    p = F.col("payload")
-    message = F.get_json_object(p, "$.type") == "message"
-    named = F.get_json_object(p, "$.role")
-    read = items.where("type IN ('response_item', 'turn_context')").select(
-        session.alias("session_id"), "path", "offset", "timestamp",
-        F.when(F.col("type") == "turn_context", F.get_json_object(p, "$.model")).alias("model"),
-        (F.col("type") == "turn_context").alias("context"),
-        F.when(F.col("type") == "response_item", item_blocks(p)).alias("items"),
-        F.when((F.col("type") == "response_item") & message & named.isin("user", "developer"), named).alias("own"),
+    p, kind = F.col("payload"), F.col("type")
+    at = lambda where: F.get_json_object(p, f"$.{where}")
+    named = at("role")
+    meta = (kind == "session_meta") & at("id").isNotNull()
+    context = meta | (kind == "turn_context")
+    blocks = F.when(kind == "response_item", item_blocks(p))
+    read = items.where("type IN ('response_item', 'turn_context', 'session_meta')").select(
+        session.alias("session_id"), "path", "offset", "timestamp", F.coalesce(context, F.lit(False)).alias("context"), blocks.alias("items"),
+        F.when((kind == "response_item") & (at("type") == "message") & named.isin("user", "developer"), named).alias("own"),
+        F.when(kind == "turn_context", at("model")).alias("model"),
+        F.when(meta | ((kind == "turn_context") & at("cwd").isNotNull()), F.struct(at("cwd").alias("value"))).alias("cwd"),
+        F.when(meta & at("git").isNotNull(), F.struct(at("git.branch").alias("value"))).alias("git_branch"),
+        F.when(meta, at("id")).alias("meta_id"),
     )
-    kept = read.where("context OR own IS NOT NULL OR size(items) > 0")
-    in_file = Window.partitionBy("path").orderBy("offset")
-    upto = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.col("own").isNotNull() | F.coalesce(F.lag(F.col("own").isNotNull()).over(in_file), F.lit(True))
-    island = kept.withColumns({"island": F.sum(opens.cast("long")).over(upto), "model": F.last("model", ignorenulls=True).over(upto)})
-    size = F.aggregate(F.coalesce("items", F.array().cast("array<struct<kind: string, role: string, tool_name: string, byte_len: bigint>>")), F.lit(0).cast("long"), lambda total, b: total + b["byte_len"])
-    n = F.coalesce(F.size("items"), F.lit(0))
-    turns = island.groupBy("session_id", "path", "island").agg(
-        F.coalesce(F.max("own"), F.lit("assistant")).alias("role"), F.min_by("timestamp", F.when(~F.col("context"), F.col("offset"))).alias("timestamp"), F.max_by("model", "offset").alias("model"),
-        F.sum(F.when(n > 0, n).otherwise(0)).alias("blocks"), F.sum(size).alias("bytes"),
+    first = read.where("meta_id IS NOT NULL").groupBy("path").agg(F.min_by("meta_id", "offset").alias("meta_id"))
+    kept = read.where("context OR own IS NOT NULL OR size(items) > 0").withColumn("n", F.when(F.size("items") > 0, F.size("items")).otherwise(0).cast("long"))
+    placed = islands(kept.drop("meta_id"), ["path"], "offset", F.col("own").isNotNull(), "island", lasts={c: F.col(c) for c in ("model", "cwd", "git_branch")}, width=RANGE_BYTES)
+    counted = carried(placed, ["path", "island"], "offset", sums={"upto": F.col("n")}, width=RANGE_BYTES)
+    starts = ((F.col("n") > 0) & (F.col("upto") == F.col("n"))).cast("long")
+    numbered = carried(counted, ["path"], "offset", sums={"turn": starts}, width=RANGE_BYTES)
+    named = numbered.join(first, "path", "left").withColumns({"turn": F.col("turn") - 1, "session_id": F.coalesce("meta_id", "session_id"), "cwd": F.col("cwd.value"), "git_branch": F.col("git_branch.value")})
+    return named.drop("meta_id")
+
+
+def turn_rows(numbered: DataFrame) -> DataFrame:
+    """A row a turn of numbered items: session_id, path, turn, turn_uuid, offset (of its first block), role, timestamp (of its first item), model, cwd, git_branch, blocks and bytes. Model, directory and branch are the last that were known before the turn ended."""
+    size = F.aggregate(F.coalesce("items", F.array().cast(BLOCKS)), F.lit(0).cast("long"), lambda total, b: total + b["byte_len"])
+    item = F.when(~F.col("context"), F.col("offset"))
+    last = lambda c: F.max_by(c, "offset").alias(c)
+    turns = numbered.groupBy("session_id", "path", "island").agg(
+        F.max(F.when(F.col("n") > 0, F.col("turn"))).alias("turn"), F.min(F.when(F.col("n") > 0, F.col("offset"))).alias("offset"), F.coalesce(F.max("own"), F.lit("assistant")).alias("role"),
+        F.min_by("timestamp", item).alias("timestamp"), last("model"), last("cwd"), last("git_branch"), F.sum("n").alias("blocks"), F.sum(size).alias("bytes"),
     ).where("blocks > 0")
-    numbered = turns.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("island")).cast("long") - 1)
-    return numbered.withColumn("turn_uuid", F.concat("session_id", F.lit(":t"), "turn")).drop("path", "island")
+    return turns.withColumn("turn_uuid", F.concat("session_id", F.lit(":t"), "turn")).drop("island")
+
+
+def turn_blocks(numbered: DataFrame) -> DataFrame:
+    """A row a block of numbered items: turn_uuid, session_id, block_index, kind, role, tool_name, byte_len."""
+    placed = numbered.where("n > 0").select(F.concat("session_id", F.lit(":t"), "turn").alias("turn_uuid"), "session_id", (F.col("upto") - F.col("n")).alias("_first"), F.posexplode("items").alias("_part", "b"))
+    return placed.select("turn_uuid", "session_id", (F.col("_first") + F.col("_part")).cast("int").alias("block_index"), "b.*")
+
+
+def grouped_turns(items: DataFrame, session: Column) -> DataFrame:
+    """Turns of rollout files (items: path, offset, timestamp, type, payload): session_id, turn, turn_uuid, role, timestamp, model, blocks and bytes."""
+    return turn_rows(numbered_items(items, session)).select("session_id", "role", "timestamp", "model", "blocks", "bytes", "turn", "turn_uuid")
 
 
 def shape_profile(lines: DataFrame) -> DataFrame:
     """Counts (dim, value, n) over raw lines of rollouts (value), in one pass: line (blank, unparseable, parsed), envelope, item, unknown_item, typed_failure (an item of a known type without a field that it needs), role, part."""
     v = F.col("value")
-    blank = F.trim(v) == ""
+    blank = is_blank(v)
     bad = F.try_parse_json(v).isNull()
     kind = F.get_json_object(v, "$.type")
     item = F.when(kind == "response_item", F.get_json_object(v, "$.payload.type"))

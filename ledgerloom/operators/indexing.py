@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsonl import compact_bytes
 from ..functions.scratch import discard
 from ..functions.signatures import ascii_runs, decode_base64, variant_by_priority
 from ..sources import transcripts as S
@@ -22,20 +23,25 @@ TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_
 USAGE = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_creation_tokens": "cache_creation_input_tokens", "cache_read_tokens": "cache_read_input_tokens"}
 
 
-def content_blocks(content: Column, patterns: Sequence[str]) -> Column:
+def content_blocks(content: Column, patterns: Sequence[str], exact: Column | None = None) -> Column:
     """Blocks of a content array (variant), in order: kind, tool_name, byte_len, is_error, signature, variant. Content that is no array has none; unknown kinds are skipped.
 
     Sizes: texts and reasoning in UTF-8 bytes, tool inputs and results as their compact JSON. The
-    variant is the first of ``patterns`` that a printable run of the signature holds.
+    variant is the first of ``patterns`` that a printable run of the signature holds. ``exact`` is the
+    content's JSON where it holds numbers that are not whole, which a variant prints in another form.
     """
+    exact = F.lit(None).cast("string") if exact is None else exact
+    texts = F.from_json(exact, "array<string>")
     at = lambda b, where, kind="string": F.try_variant_get(b, f"$.{where}", kind)
 
-    def block(b: Column) -> Column:
+    def block(pair: Column) -> Column:
+        b, text = pair["b"], pair["text"]
         kind, signature = at(b, "type"), at(b, "signature")
+        compact = lambda where: F.coalesce(compact_bytes(F.get_json_object(text, f"$.{where}")), F.octet_length(F.to_json(at(b, where, "variant"))))
         size = (
             F.when(kind == "text", F.octet_length(at(b, "text")))
-            .when(kind == "tool_use", F.octet_length(F.to_json(at(b, "input", "variant"))))
-            .when(kind == "tool_result", F.octet_length(F.to_json(at(b, "content", "variant"))))
+            .when(kind == "tool_use", F.when(text.isNull(), F.octet_length(F.to_json(at(b, "input", "variant")))).otherwise(compact("input")))
+            .when(kind == "tool_result", F.when(text.isNull() | F.startswith(F.schema_of_variant(at(b, "content", "variant")), F.lit("STRING")), F.octet_length(F.to_json(at(b, "content", "variant")))).otherwise(compact("content")))
             .when(kind == "thinking", F.octet_length(at(b, "thinking")))
         )
         return F.struct(
@@ -47,8 +53,9 @@ def content_blocks(content: Column, patterns: Sequence[str]) -> Column:
             F.when((kind == "thinking") & (signature != ""), variant_by_priority(ascii_runs(decode_base64(signature)), patterns)).alias("variant"),
         )
 
-    known = F.filter(F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>")), lambda b: at(b, "type").isin(*KINDS))
-    return F.transform(known, block)
+    every = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
+    paired = F.transform(every, lambda b, i: F.struct(b.alias("b"), F.get(texts, i).alias("text")))
+    return F.transform(F.filter(paired, lambda p: at(p["b"], "type").isin(*KINDS)), block)
 
 
 def usage_fields(message: Column) -> list[Column]:
@@ -74,7 +81,7 @@ def turn_of(e: Column, patterns: Sequence[str], source: str = "transcript") -> C
     at = lambda where: F.try_variant_get(e["message"], f"$.{where}", "string")
     turn = F.struct(
         e["uuid"].alias("turn_uuid"), e["sessionId"].alias("session_id"), e["parentUuid"].alias("parent_turn_uuid"), *(e[c].alias(c) for c in ("role", "timestamp", "cwd", "git_branch", "is_sidechain", "slug", "version", "request_id")),
-        at("id").alias("message_id"), at("model").alias("model"), *usage_fields(e["message"]), content_blocks(F.try_variant_get(e["message"], "$.content", "variant"), patterns).alias("blocks"), F.lit(source).alias("source"),
+        at("id").alias("message_id"), at("model").alias("model"), *usage_fields(e["message"]), content_blocks(F.try_variant_get(e["message"], "$.content", "variant"), patterns, e["content_json"]).alias("blocks"), F.lit(source).alias("source"),
     )
     return F.when(e["uuid"].isNotNull(), turn)
 
@@ -135,7 +142,7 @@ def index_transcripts(spark: SparkSession, path: str, target: str, patterns: Seq
         df.write.mode("overwrite").parquet(f"{target}/{name}")
         return spark.read.parquet(f"{target}/{name}")
 
-    read = S.parsed_lines(S.measured(S.read_lines(spark, path, glob))).withColumn("e", S.entry(F.col("v")))
+    read = S.parsed_lines(S.measured(S.read_lines(spark, path, glob))).withColumn("e", S.entry(F.col("v"), F.col("value")))
     lines = written("lines", S.with_offsets(read.select("path", "file_name", "block", "at", "size", "blank", "bad", turn_of(F.col("e"), patterns).alias("t"))))
     files = written("files", S.file_stats(lines))
     turns = written("turns", ordered_turns(S.drop_corrupt_files(lines, files).where("t IS NOT NULL").select("path", "offset", "t.*")))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .events import duration_text
+from .segments import carried
 
 
 def segment_turns(df: DataFrame) -> DataFrame:
-    """Adds turn: a user_prompt opens one, later events join it, those before the first are turn 0. Intents (``_pre``) and session ends are dropped."""
-    in_order = Window.partitionBy("session_id").orderBy("log_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = df.withColumn("turn", F.sum(F.when(F.col("event_type") == "user_prompt", 1).otherwise(0)).over(in_order))
+    """Adds turn: a user_prompt opens one, later events join it, those before the first are turn 0. Intents (``_pre``) and session ends are dropped. A session is many tasks."""
+    marked = carried(df, ["session_id"], "log_index", sums={"turn": (F.col("event_type") == "user_prompt").cast("long")})
     return marked.where(~F.endswith("event_type", F.lit("_pre")) & ~F.col("event_type").isin("session_start", "session_end"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import carried, islands
+
 
 def first_write_wins(turns: DataFrame, key: str = "turn_uuid") -> DataFrame:
     """One row a key: the least by (file_rank, offset)."""
@@ -142,21 +144,18 @@ def call_linkage(calls: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def rollout_turns(items: DataFrame) -> DataFrame:
-    """Gaps and islands over the items of a file (file, offset, role, ts_ms): a user or developer message is a turn of its own, everything between merges into one assistant turn; model is carried forward; turn_uuid counts emitted turns from 0."""
-    in_file = Window.partitionBy("file").orderBy("offset")
-    upto = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.col("role").isin("user", "developer")
-    opens = own | F.coalesce(F.lag(own).over(in_file), F.lit(True))
-    island = items.withColumns({"turn": F.sum(opens.cast("long")).over(upto) - 1, "model": F.last("model", ignorenulls=True).over(upto)})
-    got = island.groupBy("file", "turn").agg(F.count(F.lit(1)).alias("items"), F.min_by("ts_ms", "offset").alias("ts_ms"), F.when(F.min_by(own, "offset"), F.min_by("role", "offset")).otherwise("assistant").alias("role"), F.max_by("model", "offset").alias("model"))
-    return got.withColumn("turn_uuid", F.concat("file", F.lit(":t"), "turn"))
+    """Gaps and islands over the items of a file (file, offset, role, ts_ms): a user or developer message is a turn of its own, everything between merges into one assistant turn; model is carried forward; turn_uuid counts emitted turns from 0. A file is many tasks."""
+    own = F.coalesce(F.col("role").isin("user", "developer"), F.lit(False))
+    placed = islands(items, ["file"], "offset", own, "island", lasts={"model": F.col("model")})
+    got = placed.groupBy("file", "island").agg(F.count(F.lit(1)).alias("items"), F.min_by("ts_ms", "offset").alias("ts_ms"), F.when(F.bool_and(own), F.min_by("role", "offset")).otherwise("assistant").alias("role"), F.max_by("model", "offset").alias("model"))
+    numbered = carried(got, ["file"], "island", sums={"turn": F.lit(1).cast("long")}).withColumn("turn", F.col("turn") - 1)
+    return numbered.select("file", "turn", "items", "ts_ms", "role", "model", F.concat("file", F.lit(":t"), "turn").alias("turn_uuid"))
 
 
 def turn_granularity(items: DataFrame) -> DataFrame:
     """User turns, and the most and mean items between user messages (items before the first are left out)."""
-    upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     user = F.col("role") == "user"
-    numbered = items.withColumn("turn", F.sum(user.cast("long")).over(upto)).where("turn > 0")
+    numbered = carried(items, ["file"], "offset", sums={"turn": user.cast("long")}).where("turn > 0")
     per_turn = numbered.groupBy("file", "turn").agg(F.count_if(~user).alias("items"))
     return per_turn.agg(F.count(F.lit(1)).alias("user_turns"), F.max("items").alias("max_items"), F.avg("items").alias("mean_items"))
 

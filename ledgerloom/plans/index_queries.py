@@ -42,15 +42,18 @@ def entry_json(c: DataFrame) -> Column:
     return F.when(conv % 17 == 4, F.to_json(F.struct(*head, message(F.col("text")).alias("message")))).otherwise(F.to_json(F.struct(*head, message(blocks).alias("message"))))
 
 
-def write_entries(s: SparkSession, d: str) -> str:
-    """A file for each conv_id % 16, in order; with bad lines, and one file that starts with one."""
+def write_entries(s: SparkSession, d: str, blank: bool = False) -> str:
+    """A file for each conv_id % 16, in order; with bad lines, and one file that starts with one. ``blank``: with lines that end in CR LF, after first lines of white space alone."""
     c = table(s, d, "conversations")
     file, place = (F.col("conv_id") % FILES).alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")
     good = c.select(file, place, entry_json(c).alias("value"))
     bad = c.where("turn = 1 AND conv_id % 5 = 0").select(file, place, F.lit("{broken").alias("value"))
     first = s.range(1).select(F.lit(7).cast("long").alias("file"), F.lit(-1).cast("long").alias("ord"), F.lit("{broken").alias("value"))
-    path = scratch(s, "entries")
-    good.union(bad).union(first).repartition(FILES, "file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    path, lines = scratch(s, "entries"), good.union(bad).union(first)
+    if blank:
+        white = F.when(F.col("id") % 3 == 0, "\r").when(F.col("id") % 3 == 1, "\t \r").otherwise("\u00a0\t")
+        lines = lines.withColumn("value", F.concat("value", F.lit("\r"))).union(s.range(FILES).select(F.col("id").alias("file"), F.lit(-2).cast("long").alias("ord"), white.alias("value")))
+    lines.repartition(FILES, "file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
@@ -82,6 +85,23 @@ def d1_content_blocks(s: SparkSession, d: str) -> DataFrame:
     return X.block_rows(_turns(s, d)).select("turn_uuid", "block_index", "kind", "tool_name", "byte_len", "is_error", "variant")
 
 
+@query(INDEX_SQL + "SELECT turn_uuid, CAST(conv_id AS VARCHAR) AS session_id FROM kept")
+def s3_blank_first_lines(s: SparkSession, d: str) -> DataFrame:
+    """Files with CR LF whose first lines are blank: no file is lost but the one whose first line that is not blank is bad."""
+    return S.scan_transcripts(s, write_entries(s, d, blank=True), "*.txt").select(F.col("uuid").alias("turn_uuid"), F.col("sessionId").alias("session_id"))
+
+
+@query("""SELECT conv_id, turn, CAST(strlen('{"a":.0,"b":.5,"c":[1e21,-0.25,"1.0 \\" 2.50"],"d":{"e":1e-7,"f":}}') + 2 * strlen(CAST(conv_id AS VARCHAR)) + strlen(CAST(turn AS VARCHAR)) AS BIGINT) AS byte_len FROM conversations WHERE role = 'assistant'""")
+def d2_float_inputs(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of tool inputs with numbers that are not whole, some written with needless zeros or exponents."""
+    c = table(s, d, "conversations").where("role = 'assistant'")
+    number = F.concat(F.lit('{"type":"tool_use","input":{"a":'), "conv_id", F.lit('.00, "b":'), "conv_id", F.lit('.5, "c":[1.0E+21, -2.5e-1, "1.0 \\" 2.50"], "d":{"e":0.0000001, "f":'), "turn", F.lit("}}}"))
+    line = F.concat(F.lit('{"type":"assistant","uuid":"u","sessionId":"s","timestamp":"t","message":{"content":[{"type":"text","text":"é"},'), number, F.lit("]}}"))
+    e = S.entry(F.try_parse_json("line"), F.col("line"))
+    blocks = c.select("conv_id", "turn", line.alias("line")).select("conv_id", "turn", e.alias("e")).select("conv_id", "turn", X.turn_of(F.col("e"), PATTERNS)["blocks"].alias("b"))
+    return blocks.select("conv_id", "turn", F.get("b", F.lit(1))["byte_len"].alias("byte_len"))
+
+
 @query(INDEX_SQL + "SELECT turn_uuid, session_id, role, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, visible_text_bytes, visible_tool_bytes, thinking_blocks, hidden_tokens, model_variant FROM et")
 def d3_entry_turns(s: SparkSession, d: str) -> DataFrame:
     """d3 usage, d4 visible bytes, d5 reasoning blocks, d6 hidden tokens, g4 the first block's variant."""

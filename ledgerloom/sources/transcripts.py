@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsonl import MAYBE_FLOAT, blank
+
+
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
     """path, block, line number within the task (ordering only) and value of each line of all files below path (or of the paths)."""
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
@@ -29,7 +32,7 @@ def with_offsets(lines: DataFrame) -> DataFrame:
 
 def measured(lines: DataFrame) -> DataFrame:
     """Lines with their size in bytes, line end included, and whether they are blank."""
-    return lines.withColumns({"size": F.octet_length("value").cast("long") + 1, "blank": F.trim("value") == ""})
+    return lines.withColumns({"size": F.octet_length("value").cast("long") + 1, "blank": blank(F.col("value"))})
 
 
 def file_stats(lines: DataFrame) -> DataFrame:
@@ -50,26 +53,27 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", "\r$", ""))).withColumn("bad", F.col("v").isNull())
 
 
-def entry(v: Column) -> Column:
-    """The fields of an assistant or user entry (a variant) with a message, role and the message (a variant); null for other entries, user entries of tool results alone, and entries without uuid, session or time."""
+def entry(v: Column, text: Column | None = None) -> Column:
+    """The fields of an assistant or user entry (a variant, and its text) with a message, role, the message (a variant), and the content's JSON where the text holds a number that is not whole, as a variant does not keep its form; null for other entries, user entries of tool results alone, and entries without uuid, session or time."""
     at = lambda where, kind="string": F.try_variant_get(v, f"$.{where}", kind)
     names = {"type": "type", "uuid": "uuid", "parentUuid": "parentUuid", "sessionId": "sessionId", "timestamp": "timestamp", "cwd": "cwd", "gitBranch": "git_branch", "slug": "slug", "version": "version", "requestId": "request_id"}
     parts = F.try_variant_get(v, "$.message.content", "array<variant>")
+    exact = F.lit(None).cast("string") if text is None else F.when(text.rlike(MAYBE_FLOAT), F.get_json_object(text, "$.message.content"))
     only_results = (at("type") == "user") & (F.size(parts) > 0) & F.forall(parts, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False)))
     turn = at("type").isin("assistant", "user") & at("uuid").isNotNull() & at("sessionId").isNotNull() & at("timestamp").isNotNull() & F.startswith(F.schema_of_variant(at("message", "variant")), F.lit("OBJECT"))
-    fields = F.struct(*(at(k).alias(name) for k, name in names.items()), F.coalesce(at("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), at("message", "variant").alias("message"), F.coalesce(at("message.role"), at("type")).alias("role"))
+    fields = F.struct(*(at(k).alias(name) for k, name in names.items()), F.coalesce(at("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), at("message", "variant").alias("message"), F.coalesce(at("message.role"), at("type")).alias("role"), exact.alias("content_json"))
     return F.when(turn & ~F.coalesce(only_results, F.lit(False)), fields)
 
 
 def scan_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """The entries that are turns, of all files below path: path, offset, the entry's fields, role and message (a variant)."""
     kept = drop_corrupt_files(parsed_lines(with_offsets(measured(read_lines(spark, path, glob)))))
-    return kept.select("path", "offset", entry(F.col("v")).alias("e")).where("e IS NOT NULL").select("path", "offset", "e.*")
+    return kept.select("path", "offset", entry(F.col("v"), F.col("value")).alias("e")).where("e IS NOT NULL").select("path", "offset", "e.*")
 
 
 def scan_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Items (path, offset, timestamp, type, payload JSON text), and by file how many lines could not be read. Broken UTF-8 is read leniently."""
-    lines = with_offsets(read_lines(spark, path, glob)).withColumn("value", F.make_valid_utf8("value")).where("trim(value) <> ''")
+    lines = with_offsets(read_lines(spark, path, glob)).withColumn("value", F.make_valid_utf8("value")).where(~blank(F.col("value")))
     parsed = lines.withColumn("bad", F.try_parse_json("value").isNull())
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     items = parsed.where("NOT bad").select("path", "offset", field("timestamp"), field("type"), field("payload"))
