@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonl import compact_bytes
+from ..functions import rollout as R
+from ..functions.jsonl import blank, compact_bytes
 from ..functions.scratch import discard
 from ..functions.signatures import ascii_runs, decode_base64, variant_by_priority
 from ..sources import transcripts as S
-from .turns import composite_order, first_write_wins
+from ..sources.index_store import Store, Version
+from ..sources.tail import listed, read_tail
+from .turns import composite_order, first_write_wins, preserve_receipts
 
 #: Kinds of blocks that are kept, those whose bytes are visible text or tool use, and those of reasoning (fixed values).
 KINDS = ("text", "tool_use", "tool_result", "thinking")
@@ -149,3 +152,164 @@ def index_transcripts(spark: SparkSession, path: str, target: str, patterns: Seq
     discard(spark, f"{target}/lines")
     tables = {"files": files, "turns": turns, "sessions": written("sessions", session_rows(turns)), "signatures": written("signatures", signature_rows(turns))}
     return tables | {"report": index_report(**tables)}
+
+
+# --- the index that grows
+
+#: Columns of the stored turns (``turns``), without blocks, which are a table of their own.
+TURNS = (
+    "turn_uuid string, session_id string, path string, offset long, parent_turn_uuid string, role string, timestamp string, cwd string, git_branch string, is_sidechain boolean, slug string, version string, request_id string, message_id string, model string, "
+    "input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, visible_text_bytes long, visible_tool_bytes long, thinking_blocks long, hidden_tokens long, model_variant string, n_blocks long, source string, kernel_event_id string"
+)
+STORED_TURNS = TURNS + ", turn_order long"
+BLOCKS = "turn_uuid string, session_id string, block_index int, kind string, tool_name string, byte_len long, is_error boolean, variant string"
+SIGNATURES = "turn_uuid string, session_id string, block_index int, signature_bytes int, variant string"
+FILES = "path string, lines long, bad_lines long, first_bad boolean, scanned_to long, source string"
+KEYS = "turn_uuid string, path string, offset long, session_id string, source string"
+
+
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
+    """The schema's columns; those that df lacks are null."""
+    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    return df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields))
+
+
+def stored_sessions(turns: DataFrame) -> DataFrame:
+    """``session_rows`` with what a session begins with: its source, and the first directory, branch, model and tool version that is there, in turn order."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("turn_order"))).alias(f"first_{c}")
+    begins = turns.groupBy("session_id").agg(F.min_by("source", "turn_order").alias("source"), first("cwd"), first("git_branch"), first("model"), first("version"))
+    return session_rows(turns).join(begins, "session_id")
+
+
+def _files_after(old: DataFrame, stats: DataFrame, source: str) -> DataFrame:
+    """Files of the buckets in old, brought up to date with what was read."""
+    new = stats.select("path", *(F.col(c).alias(f"_{c}") for c in ("lines", "bad_lines", "first_bad", "scanned_to")))
+    both = old.join(new, "path", "full")
+    added = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).cast("long").alias(c)
+    return both.select("path", added("lines"), added("bad_lines"), F.when(F.col("lines") > 0, F.col("first_bad")).otherwise(F.coalesce("_first_bad", "first_bad")).alias("first_bad"), F.greatest("scanned_to", "_scanned_to").alias("scanned_to"), F.coalesce("source", F.lit(source)).alias("source"))
+
+
+def _known(store: Store, version: Version, source: str) -> dict[str, int]:
+    """Ends of the source's files that are indexed. Their names are on the driver, as with any read of files."""
+    return {r.path: r.scanned_to for r in store.read(version, "files", FILES).where(F.col("source") == source).select("path", "scanned_to").toLocalIterator()}
+
+
+def _stored(store: Store, base: Version, table: str, schema: str, rows: DataFrame, key: str, source: str, full: bool) -> tuple[DataFrame, list[int]]:
+    """The stored rows in the buckets that rows touch, and these buckets. full: also the buckets of the source's rows, which are left out."""
+    at = rows.select(store.bucket(key).alias("bucket"))
+    if full:
+        at = at.union(store.read(base, table, schema).where(F.col("source") == source).select(store.bucket(key).alias("bucket")))
+    touched = _distinct_buckets(at)
+    old = store.read(base, table, schema, touched)
+    return (old.where(F.col("source") != source) if full else old), touched
+
+
+def _distinct_buckets(rows: DataFrame) -> list[int]:
+    """At most as many as the store has."""
+    return sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+
+
+def _write_index(store: Store, base: Version, run: str, files: tuple[DataFrame, list[int]], turns: DataFrame, blocks: DataFrame, signatures: DataFrame, gone: DataFrame, keys: tuple[DataFrame, list[int] | None] | None = None) -> Version:
+    """Merges turns (TURNS; with blocks and signatures) into the buckets of their sessions and publishes the version. gone (turn_uuid, session_id): stored turns that go, with their children. Receipts that are stored stay. keys: new rows, and the buckets that they replace (None: they are added)."""
+    by_session = store.bucket("session_id")
+    touched = _distinct_buckets(turns.select(by_session.alias("bucket")).union(gone.select(by_session.alias("bucket"))))
+    old = store.read(base, "turns", STORED_TURNS, touched)
+    stay = old.join(gone.select("turn_uuid"), "turn_uuid", "left_anti")
+    merged = composite_order(_shaped(stay, TURNS).unionByName(_shaped(preserve_receipts(turns, old), TURNS)))
+    written = {"turns": store.write(run, "turns", merged.withColumn("bucket", by_session))}
+    now = store.spark.read.schema(STORED_TURNS).parquet(f"{store.root}/{run}/turns") if written["turns"]["buckets"] else merged.limit(0)
+    written["sessions"] = store.write(run, "sessions", stored_sessions(now).withColumn("bucket", by_session))
+    for name, rows, schema in (("blocks", blocks, BLOCKS), ("signatures", signatures, SIGNATURES)):
+        held = store.read(base, name, schema, touched).join(gone.select("turn_uuid"), "turn_uuid", "left_anti")
+        written[name] = store.write(run, name, _shaped(held, schema).unionByName(_shaped(rows, schema)).withColumn("bucket", by_session))
+    written["files"] = store.write(run, "files", files[0].withColumn("bucket", store.bucket("path")))
+    of_tables = {"turns": touched, "sessions": touched, "blocks": touched, "signatures": touched, "files": files[1]}
+    added = ()
+    if keys is not None:
+        written["keys"] = store.write(run, "keys", keys[0].withColumn("bucket", store.bucket("turn_uuid")))
+        of_tables["keys"], added = keys[1], ("keys",) if keys[1] is None else ()
+    return store.publish(base, run, written, of_tables, added)
+
+
+def update_index(spark: SparkSession, path: str, root: str, patterns: Sequence[str], glob: str = "*.jsonl", source: str = "transcript", buckets: int = 64, full: bool = False) -> Version:
+    """Brings the index at root up to date with the transcripts below path, and publishes its next version (``sources.index_store``): tables files, turns, sessions, blocks, signatures and keys.
+
+    Only bytes that are new are read (``sources.tail``), and only buckets that get turns are written
+    anew; the result is that of ``full``, which reads everything again but keeps the receipts. Of turns
+    with one uuid the first by file and place stays, also where a later run finds it: keys, a table that
+    gains rows and is looked up in the buckets of new uuids alone, tells where each was found. A last line
+    without an end counts if it is whole JSON; else it is read again once it is longer.
+    """
+    store = Store(spark, root, buckets)
+    base, run = store.version(), store.new_run()
+    known = {} if full else _known(store, base, source)
+    read = S.parsed_lines(read_tail(spark, path, glob, known).withColumn("blank", blank(F.col("value"))))
+    turn = turn_of(S.entry(F.col("v"), F.col("value")), patterns, source)
+    lines = read.where("ended OR NOT bad").select("path", "offset", "size", "blank", "bad", turn.alias("t"))
+    lines.write.parquet(store.folder(run, "lines"))
+    lines = spark.read.parquet(store.folder(run, "lines"))
+    stats = S.file_stats(lines)
+    old_files, touched_files = _stored(store, base, "files", FILES, stats, "path", source, full)
+    files = _files_after(old_files, stats, source)
+
+    found = S.drop_corrupt_files(lines, files).where("t IS NOT NULL").select("path", "offset", "t.*")
+    fresh = first_write_wins(with_derived(found).withColumn("file_rank", F.col("path"))).drop("file_rank")
+    keys, touched_keys = _stored(store, base, "keys", KEYS, fresh, "turn_uuid", source, full)
+    held = keys.groupBy("turn_uuid").agg(F.min(F.struct("path", "offset", "session_id")).alias("held"))
+    first = fresh.join(held, "turn_uuid", "left").where(F.col("held").isNull() | (F.struct("path", "offset") < F.struct("held.path", "held.offset")))
+    first.withColumn("n_blocks", F.size("blocks").cast("long")).write.parquet(store.folder(run, "first"))
+    first = spark.read.parquet(store.folder(run, "first"))
+    gone = first.where("held IS NOT NULL").select("turn_uuid", F.col("held.session_id").alias("session_id"))
+    if full:
+        gone = gone.union(store.read(base, "turns", STORED_TURNS).where(F.col("source") == source).select("turn_uuid", "session_id"))
+    places = _shaped(first, KEYS)
+    out = _write_index(store, base, run, (files, touched_files), _shaped(first, TURNS), block_rows(first), signature_rows(first), gone, (keys.unionByName(places), touched_keys) if full else (places, None))
+    for name in ("lines", "first"):
+        store.discard(run, name)
+    return out
+
+
+def rollout_turns(numbered: DataFrame, source: str) -> DataFrame:
+    """Turns of rollouts (``functions.rollout.numbered_items``) in the shape of TURNS: they report no tokens, so that none are hidden."""
+    of = lambda kinds: F.sum(_bytes_of(F.coalesce("items", F.array().cast(R.BLOCKS)), kinds)).alias
+    n = F.sum(F.size(F.filter(F.coalesce("items", F.array().cast(R.BLOCKS)), lambda b: b["kind"].isin(*THINKING_KINDS))))
+    sums = numbered.where("n > 0").groupBy("session_id", "path", "turn").agg(of(TEXT_KINDS)("visible_text_bytes"), of(TOOL_KINDS)("visible_tool_bytes"), n.alias("thinking_blocks"))
+    turns = R.turn_rows(numbered).join(sums, ["session_id", "path", "turn"])
+    return _shaped(turns.withColumns({"n_blocks": F.col("blocks"), "source": F.lit(source), "hidden_tokens": F.lit(0), "is_sidechain": F.lit(False)}), TURNS)
+
+
+def update_rollouts(spark: SparkSession, path: str, root: str, glob: str = "rollout-*.jsonl", source: str = "rollout", buckets: int = 64, full: bool = False) -> Version:
+    """The same for rollout files, one a session: a file that has grown or is new is read whole, and its session is replaced with all its blocks, but receipts stay. Turns without readable blocks are none; lines that cannot be read are counted in files."""
+    store = Store(spark, root, buckets)
+    base, run = store.version(), store.new_run()
+    known = {} if full else _known(store, base, source)
+    same = {p: n for p, n in listed(path, glob).items() if known.get(p, -1) >= n}
+    read = read_tail(spark, path, glob, same).withColumns({"blank": blank(F.col("value")), "bad": F.try_parse_json("value").isNull()})
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    read.select("path", "file_name", "offset", "size", "blank", "bad", field("timestamp"), field("type"), field("payload")).write.parquet(store.folder(run, "lines"))
+    lines = spark.read.parquet(store.folder(run, "lines"))
+    stats = S.file_stats(lines)
+    old_files, touched_files = _stored(store, base, "files", FILES, stats, "path", source, full)
+    files = _shaped(old_files.join(stats, "path", "left_anti"), FILES).unionByName(_shaped(stats.withColumn("source", F.lit(source)), FILES))
+    R.numbered_items(lines.where("NOT bad AND NOT blank"), S.path_session_id(F.regexp_extract("path", "([^/]*)$", 1))).write.parquet(store.folder(run, "items"))
+    numbered = spark.read.parquet(store.folder(run, "items"))
+    turns = first_write_wins(rollout_turns(numbered, source).withColumn("file_rank", F.col("path"))).drop("file_rank")
+    blocks = R.turn_blocks(numbered).join(turns.select("turn_uuid", "path"), "turn_uuid", "left_semi")
+    sessions = numbered.select("session_id").distinct()
+    held = store.read(base, "turns", STORED_TURNS, None if full else _distinct_buckets(sessions.select(store.bucket("session_id").alias("bucket"))))
+    gone = (held.where(F.col("source") == source) if full else held.join(sessions, "session_id", "left_semi")).select("turn_uuid", "session_id")
+    out = _write_index(store, base, run, (files, touched_files), turns, blocks, spark.createDataFrame([], SIGNATURES), gone)
+    for name in ("lines", "items"):
+        store.discard(run, name)
+    return out
+
+
+def record_receipts(spark: SparkSession, root: str, receipts: DataFrame, buckets: int = 64) -> Version:
+    """Writes receipt ids (session_id, turn_uuid, kernel_event_id) into the stored turns; turns that have one keep it."""
+    store = Store(spark, root, buckets)
+    base, run = store.version(), store.new_run()
+    by_session = store.bucket("session_id")
+    touched = _distinct_buckets(receipts.select(by_session.alias("bucket")))
+    new = receipts.groupBy("turn_uuid").agg(F.min("kernel_event_id").alias("_new"))
+    turns = store.read(base, "turns", STORED_TURNS, touched).join(new, "turn_uuid", "left").withColumn("kernel_event_id", F.coalesce("kernel_event_id", "_new"))
+    return store.publish(base, run, {"turns": store.write(run, "turns", _shaped(turns, STORED_TURNS).withColumn("bucket", by_session))}, {"turns": touched})

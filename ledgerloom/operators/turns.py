@@ -15,9 +15,10 @@ def first_write_wins(turns: DataFrame, key: str = "turn_uuid") -> DataFrame:
 
 
 def composite_order(turns: DataFrame) -> DataFrame:
-    """turn_order = file number within the session, shifted left by 40 bits, or the offset."""
-    number = F.dense_rank().over(Window.partitionBy("session_id").orderBy("path")) - 1
-    return turns.withColumn("turn_order", F.shiftleft(number.cast("long"), 40).bitwiseOR(F.col("offset")))
+    """turn_order = file number within the session, shifted left by 40 bits, or the offset. Only the files of a session, not its turns, are ordered in one task."""
+    files = turns.select("session_id", "path").distinct()
+    number = files.withColumn("_number", F.row_number().over(Window.partitionBy("session_id").orderBy("path")) - 1)
+    return turns.join(number, ["session_id", "path"]).withColumn("turn_order", F.shiftleft(F.col("_number").cast("long"), 40).bitwiseOR(F.col("offset"))).drop("_number")
 
 
 def session_aggregates(turns: DataFrame) -> DataFrame:

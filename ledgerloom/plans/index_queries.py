@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rollout as R
 from ..functions.scratch import scratch
 from ..operators import indexing as X
+from ..sources import tail
 from ..sources import transcripts as S
+from ..sources.index_store import Store, Version
 from .catalog import query
 from .views import table
 
@@ -36,6 +38,9 @@ def entry_json(c: DataFrame) -> Column:
         F.when(turn > 0, F.concat(conv, F.lit(":t"), turn - 1)).alias("parentUuid"),
         conv.cast("string").alias("sessionId"),
         F.concat(F.lit("2024-01-01T00:00:"), F.lpad(turn.cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
+        F.when(turn % 3 == 1, F.concat(F.lit("/w/"), turn)).alias("cwd"),
+        F.when(turn % 4 == 2, F.concat(F.lit("b"), turn)).alias("gitBranch"),
+        F.when(turn % 5 == 3, F.concat(F.lit("1."), conv % 7)).alias("version"),
     )
     message = lambda content: F.struct(F.when(turn % 2 == 0, F.col("role")).alias("role"), F.concat(F.lit("m"), conv % 3).alias("model"), content.alias("content"), usage.alias("usage"))
     # A text as content, instead of blocks, is a turn without blocks.
@@ -127,11 +132,81 @@ def a25_index_run(s: SparkSession, d: str) -> DataFrame:
     return X.index_transcripts(s, write_entries(s, d), scratch(s, "index"), PATTERNS, "*.txt")["report"]
 
 
+# --- the index that grows: files with names that stay, whose later lines come with the second run
+
+
+def write_named(lines: DataFrame, folder: str) -> str:
+    """Writes lines (file, ord, value) to one file each, whose names stay: file-<k>.jsonl. A task streams its files."""
+    fs, path, _ = tail._open(folder)
+    fs.create_dir(path, recursive=True)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        out, at = None, None
+        for batch in batches:
+            for file, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if file != at:
+                    if out:
+                        out.close()
+                    fs, path, _ = tail._open(f"{folder}/file-{file}.jsonl")
+                    out, at = fs.open_output_stream(path), file
+                out.write(value.encode() + b"\n")
+        if out:
+            out.close()
+        yield from ()
+
+    lines.repartition(FILES, "file").sortWithinPartitions("file", "ord").select("file", "value").mapInArrow(run, "file long").count()
+    return folder
+
+
+LATER = 3  # turns that come with the second run begin here
+
+
+def _grown_entries(s: SparkSession, d: str, upto: int | None) -> DataFrame:
+    """The entries of a file: those of turns below LATER first. One file begins with a bad line."""
+    c = table(s, d, "conversations")
+    place = (F.col("turn") >= LATER).cast("long") * 10**15 + F.col("conv_id") * 1000 + F.col("turn")
+    good = c.select((F.col("conv_id") % FILES).alias("file"), place.alias("ord"), entry_json(c).alias("value"), "turn")
+    first = s.range(1).select(F.lit(7).cast("long").alias("file"), F.lit(-1).cast("long").alias("ord"), F.lit("{broken").alias("value"), F.lit(0).cast("long").alias("turn"))
+    every = good.union(first)
+    return (every if upto is None else every.where(F.col("turn") < upto)).drop("turn")
+
+
+def _two_runs(s: SparkSession, d: str) -> tuple[Store, Version]:
+    """A run over the first lines, receipts for some of its turns, and a run over the files as they have grown."""
+    files, root = scratch(s, "grown"), scratch(s, "index")
+    for upto in (LATER, None):
+        write_named(_grown_entries(s, d, upto), files)
+        X.update_index(s, files, root, PATTERNS, buckets=8)
+        if upto:
+            c = table(s, d, "conversations").where(f"turn < {LATER} AND conv_id % 2 = 0")
+            X.record_receipts(s, root, c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat("conv_id", F.lit(":t"), "turn").alias("turn_uuid"), F.concat(F.lit("r"), "turn").alias("kernel_event_id")), 8)
+    store = Store(s, root, 8)
+    return store, store.version()
+
+
+@query(INDEX_SQL + f"SELECT turn_uuid, session_id, role, input_tokens, output_tokens, visible_text_bytes, visible_tool_bytes, thinking_blocks, hidden_tokens, model_variant, CASE WHEN turn < {LATER} AND CAST(session_id AS BIGINT) % 2 = 0 THEN concat('r', turn) END AS kernel_event_id FROM et")
+def t1_second_index_run(s: SparkSession, d: str) -> DataFrame:
+    """t1 new bytes alone, w5 first by file and place, j7 receipts stay: turns after a second run over grown files."""
+    store, v = _two_runs(s, d)
+    return store.read(v, "turns").select("turn_uuid", "session_id", "role", "input_tokens", "output_tokens", "visible_text_bytes", "visible_tool_bytes", "thinking_blocks", "hidden_tokens", "model_variant", "kernel_event_id")
+
+
+@query(
+    INDEX_SQL
+    + """, fi AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, arg_min(concat('/w/', turn), turn) FILTER (turn % 3 = 1) AS first_cwd, arg_min(concat('b', turn), turn) FILTER (turn % 4 = 2) AS first_git_branch, concat('m', conv_id % 3) AS first_model, CASE WHEN count(*) FILTER (turn % 5 = 3) > 0 THEN concat('1.', conv_id % 7) END AS first_version FROM kept GROUP BY conv_id)
+ SELECT session_id, turn_count, input_tokens, output_tokens, hidden_tokens, variants, 'transcript' AS source, first_cwd, first_git_branch, first_model, first_version FROM se JOIN fi USING (session_id)"""
+)
+def t9_sessions_of_a_second_run(s: SparkSession, d: str) -> DataFrame:
+    """t9 sessions are made anew where a run touches them, a10 what a session begins with."""
+    store, v = _two_runs(s, d)
+    return store.read(v, "sessions").select("session_id", "turn_count", "input_tokens", "output_tokens", "hidden_tokens", "variants", "source", "first_cwd", "first_git_branch", "first_model", "first_version")
+
+
 # --- rollouts
 
 
-def _rollout_lines(s: SparkSession, d: str) -> str:
-    """Files of rollout lines: every conversation's turns with contexts, calls, outputs, reasoning, snapshots, items of no known type, messages without readable parts, broken and blank lines."""
+def _rollout_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rollout lines: every conversation's turns with contexts, calls, outputs, reasoning, snapshots, items of no known type, messages without readable parts, broken and blank lines."""
     c = table(s, d, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     assistant = F.col("role") == "assistant"
@@ -151,9 +226,12 @@ def _rollout_lines(s: SparkSession, d: str) -> str:
         F.when(turn % 6 == 5, F.lit('{"type": oops')),
         F.when(turn % 5 == 3, F.lit(" ")),
     )
-    rows = c.select((conv % FILES).alias("file"), conv, turn, F.posexplode(F.array(*lines)).alias("k", "value")).where("value IS NOT NULL")
+    return c.select((conv % FILES).alias("file"), conv, turn, F.posexplode(F.array(*lines)).alias("k", "value")).where("value IS NOT NULL")
+
+
+def _rollout_lines(s: SparkSession, d: str) -> str:
     path = scratch(s, "rollouts")
-    rows.repartition(FILES, "file").sortWithinPartitions("file", "conv_id", "turn", "k").select("file", "value").write.partitionBy("file").text(path)
+    _rollout_rows(s, d).repartition(FILES, "file").sortWithinPartitions("file", "conv_id", "turn", "k").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
@@ -182,6 +260,30 @@ def w2_rollout_files(s: SparkSession, d: str) -> DataFrame:
     return R.grouped_turns(items, F.regexp_extract("path", "file=([0-9]+)", 1))
 
 
+@query(
+    INDEX_SQL.rstrip()
+    + ROLLOUT_SQL.replace("WITH c AS", ", c AS", 1)
+    + """, k AS (SELECT *, envelope = 'turn_context' AS context FROM li WHERE envelope = 'turn_context' OR own IS NOT NULL OR n > 0),
+ f AS (SELECT *, CASE WHEN own IS NOT NULL OR coalesce(lag(own IS NOT NULL) OVER (PARTITION BY file ORDER BY pos), true) THEN 1 ELSE 0 END AS opens FROM k),
+ i AS (SELECT *, sum(opens) OVER (PARTITION BY file ORDER BY pos) AS island FROM f),
+ t AS (SELECT file, island, coalesce(max(own), 'assistant') AS role, CAST(sum(n) AS BIGINT) AS n_blocks, CAST(coalesce(sum(bytes) FILTER (item = 'message'), 0) AS BIGINT) AS visible_text_bytes, CAST(coalesce(sum(bytes) FILTER (item = 'function_call'), 0) AS BIGINT) AS visible_tool_bytes, CAST(coalesce(sum(n) FILTER (item = 'reasoning'), 0) AS BIGINT) AS thinking_blocks FROM i GROUP BY 1, 2 HAVING sum(n) > 0)
+ SELECT 'rollout' AS source, concat('file-', file, ':t', row_number() OVER (PARTITION BY file ORDER BY island) - 1) AS turn_uuid, role, n_blocks, visible_text_bytes, visible_tool_bytes, thinking_blocks FROM t
+ UNION ALL SELECT 'transcript', turn_uuid, role, (SELECT count(*) FROM bl WHERE bl.turn_uuid = et.turn_uuid), visible_text_bytes, visible_tool_bytes, thinking_blocks FROM et"""
+)
+def u1_index_of_two_sources(s: SparkSession, d: str) -> DataFrame:
+    """u1 one write shape, s12 grown rollouts are replaced with all their blocks: transcripts, and rollouts of which the second run reads the whole of each file that has grown."""
+    files, root = scratch(s, "grown"), scratch(s, "index")
+    X.update_index(s, write_named(_grown_entries(s, d, None), f"{files}/a"), root, PATTERNS, buckets=8)
+    rows = _rollout_rows(s, d).select("file", (F.col("conv_id") * 100_000 + F.col("turn") * 10 + F.col("k")).alias("ord"), "value")
+    for part in (rows.where("ord < 4000000 AND ord % 20 < 10"), rows):
+        write_named(part, f"{files}/b")
+        X.update_rollouts(s, f"{files}/b", root, "file-*.jsonl", buckets=8)
+    store = Store(s, root, 8)
+    v = store.version()
+    blocks = store.read(v, "blocks").groupBy("turn_uuid").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return store.read(v, "turns").drop("n_blocks").join(blocks, "turn_uuid", "left").select("source", "turn_uuid", "role", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "visible_text_bytes", "visible_tool_bytes", "thinking_blocks")
+
+
 @query(ROLLOUT_SQL + """SELECT dim, value, count(*) AS n FROM (
   SELECT 'line' AS dim, 'parsed' AS value FROM li UNION ALL SELECT 'line', 'unparseable' FROM c WHERE turn % 6 = 5 UNION ALL SELECT 'line', 'blank' FROM c WHERE turn % 5 = 3 UNION ALL SELECT 'envelope', envelope FROM li
   UNION ALL SELECT 'item', item FROM li UNION ALL SELECT 'unknown_item', item FROM li WHERE item = 'mystery' UNION ALL SELECT 'typed_failure', item FROM li WHERE lacks UNION ALL SELECT 'role', who FROM li UNION ALL SELECT 'part', CASE WHEN part = 'other' THEN 'unknown' ELSE part END FROM li WHERE part IS NOT NULL) WHERE value IS NOT NULL GROUP BY 1, 2""")
