@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..functions.scratch import discard
 from ..functions.signatures import ascii_runs, decode_base64, variant_by_priority
 from ..sources import transcripts as S
 from ..sources.index_store import Store, Version
-from ..sources.tail import listed, read_tail
+from ..sources.tail import listed, parts, read_tail
 from .turns import composite_order, first_write_wins, preserve_receipts
 
 #: Kinds of blocks that are kept, those whose bytes are visible text or tool use, and those of reasoning (fixed values).
@@ -194,40 +195,41 @@ def _known(store: Store, version: Version, source: str) -> dict[str, int]:
     return {r.path: r.scanned_to for r in store.read(version, "files", FILES).where(F.col("source") == source).select("path", "scanned_to").toLocalIterator()}
 
 
-def _stored(store: Store, base: Version, table: str, schema: str, rows: DataFrame, key: str, source: str, full: bool) -> tuple[DataFrame, list[int]]:
-    """The stored rows in the buckets that rows touch, and these buckets. full: also the buckets of the source's rows, which are left out."""
-    at = rows.select(store.bucket(key).alias("bucket"))
+def _stored(store: Store, base: Version, table: str, schema: str, touched: list[int], source: str, full: bool) -> tuple[DataFrame, list[int]]:
+    """The stored rows in the touched buckets, and these. full: all buckets, without the source's rows."""
     if full:
-        at = at.union(store.read(base, table, schema).where(F.col("source") == source).select(store.bucket(key).alias("bucket")))
-    touched = _distinct_buckets(at)
-    old = store.read(base, table, schema, touched)
-    return (old.where(F.col("source") != source) if full else old), touched
+        return store.read(base, table, schema).where(F.col("source") != source), list(range(store.buckets))
+    return store.read(base, table, schema, touched), touched
 
 
-def _distinct_buckets(rows: DataFrame) -> list[int]:
-    """At most as many as the store has."""
-    return sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+def _buckets(store: Store, rows: DataFrame, **keys: str) -> list[list[int]]:
+    """By key, the buckets of the rows; each at most as many as the store has."""
+    found = rows.agg(*(F.collect_set(F.when(F.col(column).isNotNull(), store.bucket(column))).alias(name) for name, column in keys.items())).first()
+    return [sorted(found[name]) for name in keys]
 
 
 def _write_index(store: Store, base: Version, run: str, files: tuple[DataFrame, list[int]], turns: DataFrame, blocks: DataFrame, signatures: DataFrame, gone: DataFrame, keys: tuple[DataFrame, list[int] | None] | None = None) -> Version:
     """Merges turns (TURNS; with blocks and signatures) into the buckets of their sessions and publishes the version. gone (turn_uuid, session_id): stored turns that go, with their children. Receipts that are stored stay. keys: new rows, and the buckets that they replace (None: they are added)."""
     by_session = store.bucket("session_id")
-    touched = _distinct_buckets(turns.select(by_session.alias("bucket")).union(gone.select(by_session.alias("bucket"))))
+    (touched,) = _buckets(store, turns.select("session_id").union(gone.select("session_id")), session="session_id")
     old = store.read(base, "turns", STORED_TURNS, touched)
     stay = old.join(gone.select("turn_uuid"), "turn_uuid", "left_anti")
     merged = composite_order(_shaped(stay, TURNS).unionByName(_shaped(preserve_receipts(turns, old), TURNS)))
-    written = {"turns": store.write(run, "turns", merged.withColumn("bucket", by_session))}
-    now = store.spark.read.schema(STORED_TURNS).parquet(f"{store.root}/{run}/turns") if written["turns"]["buckets"] else merged.limit(0)
-    written["sessions"] = store.write(run, "sessions", stored_sessions(now).withColumn("bucket", by_session))
-    for name, rows, schema in (("blocks", blocks, BLOCKS), ("signatures", signatures, SIGNATURES)):
+
+    def children(name: str, rows: DataFrame, schema: str) -> DataFrame:
         held = store.read(base, name, schema, touched).join(gone.select("turn_uuid"), "turn_uuid", "left_anti")
-        written[name] = store.write(run, name, _shaped(held, schema).unionByName(_shaped(rows, schema)).withColumn("bucket", by_session))
-    written["files"] = store.write(run, "files", files[0].withColumn("bucket", store.bucket("path")))
-    of_tables = {"turns": touched, "sessions": touched, "blocks": touched, "signatures": touched, "files": files[1]}
-    added = ()
+        return _shaped(held, schema).unionByName(_shaped(rows, schema)).withColumn("bucket", by_session)
+
+    rows_of = {"turns": merged.withColumn("bucket", by_session), "blocks": children("blocks", blocks, BLOCKS), "signatures": children("signatures", signatures, SIGNATURES), "files": files[0].withColumn("bucket", store.bucket("path"))}
+    of_tables, added = {"turns": touched, "sessions": touched, "blocks": touched, "signatures": touched, "files": files[1]}, ()
     if keys is not None:
-        written["keys"] = store.write(run, "keys", keys[0].withColumn("bucket", store.bucket("turn_uuid")))
+        rows_of["keys"] = keys[0].withColumn("bucket", store.bucket("turn_uuid"))
         of_tables["keys"], added = keys[1], ("keys",) if keys[1] is None else ()
+    with ThreadPoolExecutor(len(rows_of)) as pool:  # tables that do not need each other are written side by side
+        jobs = {name: pool.submit(store.write, run, name, rows) for name, rows in rows_of.items()}
+        written = {name: job.result() for name, job in jobs.items()}
+    now = store.spark.read.schema(STORED_TURNS).parquet(f"{store.root}/{run}/turns") if written["turns"]["buckets"] else merged.limit(0)
+    written["sessions"] = store.write(run, "sessions", stored_sessions(now).withColumn("bucket", by_session))
     return store.publish(base, run, written, of_tables, added)
 
 
@@ -238,23 +240,25 @@ def update_index(spark: SparkSession, path: str, root: str, patterns: Sequence[s
     anew; the result is that of ``full``, which reads everything again but keeps the receipts. Of turns
     with one uuid the first by file and place stays, also where a later run finds it: keys, a table that
     gains rows and is looked up in the buckets of new uuids alone, tells where each was found. A last line
-    without an end counts if it is whole JSON; else it is read again once it is longer.
+    without an end counts if it is whole JSON; else it is read again once it is longer. Where nothing is new, the
+    version stays.
     """
     store = Store(spark, root, buckets)
     base, run = store.version(), store.new_run()
     known = {} if full else _known(store, base, source)
-    read = S.parsed_lines(read_tail(spark, path, glob, known).withColumn("blank", blank(F.col("value"))))
-    turn = turn_of(S.entry(F.col("v"), F.col("value")), patterns, source)
-    lines = read.where("ended OR NOT bad").select("path", "offset", "size", "blank", "bad", turn.alias("t"))
-    lines.write.parquet(store.folder(run, "lines"))
-    lines = spark.read.parquet(store.folder(run, "lines"))
+    if not full and base.number and not parts(listed(path, glob), known):
+        return base
+    read = S.parsed_lines(read_tail(spark, path, glob, known).withColumn("blank", blank(F.col("value")))).withColumn("e", S.entry(F.col("v"), F.col("value")))
+    read.select("path", "offset", "size", "ended", "blank", "bad", turn_of(F.col("e"), patterns, source).alias("t")).write.parquet(store.folder(run, "lines"))
+    lines = spark.read.parquet(store.folder(run, "lines")).where("ended OR NOT bad").drop("ended")
     stats = S.file_stats(lines)
-    old_files, touched_files = _stored(store, base, "files", FILES, stats, "path", source, full)
+    at_files, at_keys = _buckets(store, lines.select("path", "t.turn_uuid"), files="path", keys="turn_uuid")
+    old_files, touched_files = _stored(store, base, "files", FILES, at_files, source, full)
     files = _files_after(old_files, stats, source)
 
     found = S.drop_corrupt_files(lines, files).where("t IS NOT NULL").select("path", "offset", "t.*")
     fresh = first_write_wins(with_derived(found).withColumn("file_rank", F.col("path"))).drop("file_rank")
-    keys, touched_keys = _stored(store, base, "keys", KEYS, fresh, "turn_uuid", source, full)
+    keys, touched_keys = _stored(store, base, "keys", KEYS, at_keys, source, full)
     held = keys.groupBy("turn_uuid").agg(F.min(F.struct("path", "offset", "session_id")).alias("held"))
     first = fresh.join(held, "turn_uuid", "left").where(F.col("held").isNull() | (F.struct("path", "offset") < F.struct("held.path", "held.offset")))
     first.withColumn("n_blocks", F.size("blocks").cast("long")).write.parquet(store.folder(run, "first"))
@@ -283,20 +287,23 @@ def update_rollouts(spark: SparkSession, path: str, root: str, glob: str = "roll
     store = Store(spark, root, buckets)
     base, run = store.version(), store.new_run()
     known = {} if full else _known(store, base, source)
-    same = {p: n for p, n in listed(path, glob).items() if known.get(p, -1) >= n}
+    there = listed(path, glob)
+    same = {p: n for p, n in there.items() if known.get(p, -1) >= n}
+    if not full and base.number and len(same) == len(there):
+        return base
     read = read_tail(spark, path, glob, same).withColumns({"blank": blank(F.col("value")), "bad": F.try_parse_json("value").isNull()})
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     read.select("path", "file_name", "offset", "size", "blank", "bad", field("timestamp"), field("type"), field("payload")).write.parquet(store.folder(run, "lines"))
     lines = spark.read.parquet(store.folder(run, "lines"))
     stats = S.file_stats(lines)
-    old_files, touched_files = _stored(store, base, "files", FILES, stats, "path", source, full)
+    old_files, touched_files = _stored(store, base, "files", FILES, _buckets(store, stats, files="path")[0], source, full)
     files = _shaped(old_files.join(stats, "path", "left_anti"), FILES).unionByName(_shaped(stats.withColumn("source", F.lit(source)), FILES))
     R.numbered_items(lines.where("NOT bad AND NOT blank"), S.path_session_id(F.regexp_extract("path", "([^/]*)$", 1))).write.parquet(store.folder(run, "items"))
     numbered = spark.read.parquet(store.folder(run, "items"))
     turns = first_write_wins(rollout_turns(numbered, source).withColumn("file_rank", F.col("path"))).drop("file_rank")
     blocks = R.turn_blocks(numbered).join(turns.select("turn_uuid", "path"), "turn_uuid", "left_semi")
     sessions = numbered.select("session_id").distinct()
-    held = store.read(base, "turns", STORED_TURNS, None if full else _distinct_buckets(sessions.select(store.bucket("session_id").alias("bucket"))))
+    held = store.read(base, "turns", STORED_TURNS, None if full else _buckets(store, sessions, at="session_id")[0])
     gone = (held.where(F.col("source") == source) if full else held.join(sessions, "session_id", "left_semi")).select("turn_uuid", "session_id")
     out = _write_index(store, base, run, (files, touched_files), turns, blocks, spark.createDataFrame([], SIGNATURES), gone)
     for name in ("lines", "items"):
@@ -309,7 +316,7 @@ def record_receipts(spark: SparkSession, root: str, receipts: DataFrame, buckets
     store = Store(spark, root, buckets)
     base, run = store.version(), store.new_run()
     by_session = store.bucket("session_id")
-    touched = _distinct_buckets(receipts.select(by_session.alias("bucket")))
+    (touched,) = _buckets(store, receipts, at="session_id")
     new = receipts.groupBy("turn_uuid").agg(F.min("kernel_event_id").alias("_new"))
     turns = store.read(base, "turns", STORED_TURNS, touched).join(new, "turn_uuid", "left").withColumn("kernel_event_id", F.coalesce("kernel_event_id", "_new"))
     return store.publish(base, run, {"turns": store.write(run, "turns", _shaped(turns, STORED_TURNS).withColumn("bucket", by_session))}, {"turns": touched})
