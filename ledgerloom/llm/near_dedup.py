@@ -21,8 +21,9 @@ join their pivot's set by shares, and keys with a thousandth of all rows, of whi
 a thousand or so, are joined from a broadcast of HOT_KEYS rows.
 
 Defined results: texts without words (null, empty, blank) have no shingles and link with nothing;
-fewer than SHINGLE_WORDS words are one shingle; rows with a null doc_id carry their class's
-component, or null where the class has no id; rows that repeat a doc_id with the same text share
+fewer than SHINGLE_WORDS words are one shingle; rows with a null doc_id are linked like any other and
+carry the smallest id of their component, null where it has none, and of such a component one class is
+kept; rows that repeat a doc_id with the same text share
 its component, and with different texts each row follows its own text; other columns are ignored by
 ``resolve`` and pass through ``drop_near_copies``, which drops rows by doc_id and text; an empty
 table gives no rows.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, sized_slices, texts_of
@@ -157,8 +158,8 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, set_hash)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, nameless: bool) -> DataFrame:
+    """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, set_hash, text_hash). nameless: some have no doc_id, and are found by text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, STEP_BYTES):
@@ -167,8 +168,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             own = [len(s) > 0 and _set_hash(s) == h for s, h in zip(sets, batch.column("set_hash").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("id").filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, fine in zip(sets, own) if fine], pa.binary())], names=["id", "shingles"])
 
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
-    return held.select("id", "set_hash", "text").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.drop("text_hash").hint("shuffle_hash"), "doc_id").select("id", "set_hash", "text")
+    if nameless:
+        texts = docs.where("doc_id IS NULL").groupBy(F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+        held = held.union(texts.join(wanted.where("doc_id IS NULL").select("id", "set_hash", "text_hash"), "text_hash").select("id", "set_hash", "text"))
+    return held.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -300,14 +304,14 @@ def _in_blocks(labelled: DataFrame) -> DataFrame:
     return dealt.select("band", "id", "component", F.explode(against).alias("g")).select("band", "id", "component", "g.*")
 
 
-def link(docs: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
-    """id, component of those classes (id, n, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash) tells where a class's text is."""
+def link(docs: DataFrame, classes: DataFrame, places: DataFrame, nameless: bool) -> DataFrame:
+    """id, component of those classes (id, n, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash, text_hash) tells where a class's text is."""
     filed = classes.select("id", "n", F.explode("bands").alias("band"))
     shape = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("least"), F.bit_xor(F.xxhash64("id")).alias("content"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"))
     # Bands that hold the same classes count once.
     kept = cut(shape.where("members > 1").groupBy("members", "least", "content", "total").agg(F.min("band").alias("band")).select("band", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"), "members"))
     buckets = cut(joined(filed, kept, "band", "members", kept.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]))
-    sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi")))
+    sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi"), nameless))
 
     first = components(_star_links(buckets, sets))
     labelled = cut(buckets.join(first, "id", "left").select("band", "id", "n", "members", F.coalesce("component", "id").alias("component")))
@@ -321,24 +325,32 @@ def _decided(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept; one row a document."""
     marked = cut(features(docs).withColumn("share", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SHARES))))
     worded = marked.where("set_hash IS NOT NULL")
-    leaves = worded.groupBy("set_hash", "share").agg(F.min("doc_id").alias("least"))
-    classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("doc_id")))
-    # Classes of one doc_id (rows that repeat it with other texts) are told apart by their sets.
+    leaves = worded.groupBy("set_hash", "share").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("text_hash"))
+    classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("doc_id"), F.min("text_hash").alias("text_hash")))
+    # Classes of one doc_id (rows that repeat it with other texts) and classes without one are told apart by their sets.
     repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
-    unique = repeated.isEmpty()
+    nameless = not classes.where("doc_id IS NULL").isEmpty()
+    unique = repeated.isEmpty() and not nameless
     if unique:
         classes = classes.withColumn("id", F.col("doc_id"))
     else:
-        classes = cut(classes.join(repeated, "doc_id", "left").select("set_hash", "doc_id", F.when(F.col("again"), F.xxhash64("set_hash")).otherwise(F.col("doc_id")).alias("id")))
-    signed = worded.select("doc_id", "set_hash", "n_shingles", "bands").join(classes, ["doc_id", "set_hash"])
-    linked = link(docs, signed.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash"))
-    known = classes.join(linked, "id", "left").select("set_hash", "doc_id", F.coalesce("component", "id").alias("component_id"))
+        own = F.col("doc_id").isNull() | F.coalesce("again", F.lit(False))
+        classes = cut(classes.join(repeated, "doc_id", "left").select("set_hash", "doc_id", "text_hash", F.when(own, F.xxhash64("set_hash")).otherwise(F.col("doc_id")).alias("id")))
+    signed = worded.select("doc_id", "set_hash", "n_shingles", "bands").join(classes.select("id", "doc_id", "set_hash"), ["doc_id", "set_hash"]).select("id", "n_shingles", "bands")
+    if nameless:
+        once = worded.where("doc_id IS NULL").groupBy("set_hash").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        signed = signed.union(once.join(classes.where("doc_id IS NULL").select("id", "set_hash"), "set_hash").select("id", "n_shingles", "bands"))
+    linked = link(docs, signed.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash", "text_hash"), nameless)
+    known = classes.join(linked, "id", "left").select("set_hash", "doc_id", "id", F.coalesce("component", "id").alias("component_id"), F.lit(False).alias("heads"))
     if not unique:
-        least = known.groupBy("component_id").agg(F.min("doc_id").alias("least_id")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        known = known.withColumn("share", F.pmod(F.xxhash64("set_hash"), F.lit(SHARES)).cast("int")).join(least, ["component_id", "share"], "left").select("set_hash", F.col("least_id").alias("component_id"))
-    below = leaves.select("set_hash", "share").join(known.select("set_hash", "component_id"), "set_hash")
+        least = known.groupBy("component_id").agg(F.min("doc_id").alias("least_id"), F.min("id").alias("head")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        dealt = known.withColumn("share", F.pmod(F.xxhash64("set_hash"), F.lit(SHARES)).cast("int"))
+        known = dealt.join(least, ["component_id", "share"], "left").select("set_hash", F.col("least_id").alias("component_id"), (F.col("least_id").isNull() & (F.col("id") == F.col("head"))).alias("heads"))
+    below = leaves.select("set_hash", "share").join(known.select("set_hash", "component_id", "heads"), "set_hash")
     out = marked.join(below, ["set_hash", "share"], "left").withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # Without any id in its component, a row stays if its class heads it, or if it has no words.
+    kept = F.when(F.col("component_id").isNull(), F.col("set_hash").isNull() | F.col("heads")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def resolve(docs: DataFrame) -> DataFrame:
@@ -347,9 +359,14 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: of each group of linked documents the one with the smallest id."""
-    gone = _decided(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
-    texts = docs.withColumn("_text", F.xxhash64("text"))
-    held = texts.join(gone.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(gone["_gone"]) & (texts["_text"] == gone["_gone_text"]), "left_anti")
-    once = Window.partitionBy("doc_id", "_text").orderBy("_text")
-    return held.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)
+    """The rows of docs that stay, all columns: of each group of linked documents the one with the smallest id. Decided without texts, which move once, to meet the decision; only rows that repeat both id and text meet each other, after each task has kept one of them."""
+    stay = cut(_decided(docs).where("kept").groupBy(F.col("doc_id").alias("_stays"), F.col("text_hash").alias("_stays_text")).agg(F.count(F.lit(1)).alias("_rows")))
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+
+    def held(some: DataFrame) -> DataFrame:
+        return marked.join(some.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(some["_stays"]) & (marked["_text"] == some["_stays_text"]), "left_semi")
+
+    repeated = stay.where("_rows > 1")
+    once = held(stay.where("_rows = 1"))
+    out = once if repeated.isEmpty() else once.unionByName(held(repeated).dropDuplicates(["doc_id", "_text"]))
+    return out.select(*docs.columns)

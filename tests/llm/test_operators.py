@@ -712,6 +712,28 @@ def test_near_copies_go_by_row(spark):
     assert Counter((r.doc_id, r.component_id) for r in near_dedup.resolve(docs).collect()) == Counter([(1, 1), (None, 1), (None, None), (None, None), (5, 5), (5, 1), (7, 7), (7, 1), (8, 7)])
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    """Unequal near copies without an id join documents that are near them alone; a component of none but such rows keeps one text."""
+    base = words(200, 300).split()
+    step = lambda k: " ".join([f"new{n}" for n in range(4 * k)] + base[4 * k :])
+    lone = words(80, 301)
+    rows = [(5, step(0)), (None, step(3)), (None, step(6)), (9, step(9)), (None, lone), (None, lone + " tail"), (None, lone + " tail"), (None, ""), (3, words(40, 302))]
+    for k in (0, 3, 6):
+        assert jaccard(rows[0][1], step(9)) < 0.75 <= jaccard(step(k), step(k + 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.resolve(docs).collect())
+    assert got[5, 5, True] == got[9, 5, False] == got[3, 3, True] == 1 and got[None, 5, False] == 2
+    assert sum(n for (i, c, _), n in got.items() if i is None and c is None) == 4
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs).collect())
+    assert len(kept) == 4 and kept[5, step(0)] == kept[3, rows[-1][1]] == kept[None, ""] == 1
+    assert sum(n for (i, t), n in kept.items() if i is None and t) == 1
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
 def test_near_dedup_of_drifting_copies(spark, monkeypatch):
     """Chains in which few members are near the bucket's smallest, over blocks of a few members, shares of two, and hot keys."""
     for name, value in (("BLOCK_MEMBERS", 4), ("SHARE_MEMBERS", 2), ("HOT_ROWS", 3), ("HOT_KEYS", 30)):
