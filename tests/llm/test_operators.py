@@ -874,6 +874,27 @@ def random_page(r, depth=0):
     return out
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><header class="post-header"><h1>Title</h1></header><p>Text</p></article>', "Title\nText"),
+        ('<main><header class="page-header"><h1>T</h1></header><p>x</p></main>', "T\nx"),
+        ('<article><h2 class="section-header">Head</h2><p>x</p></article>', "Head\nx"),
+        ('<article><div class="content-header"><h1>T</h1></div><p>x</p></article>', "T\nx"),
+        ('<article><p>See <a class="nav-link">the manual</a> now <span class="share">and</span> <b class="promo">then</b></p></article>', "See the manual now and then"),
+        ('<article><p class="comment">a</p><blockquote class="share">b</blockquote><table class="list-header"><tr><td>c</td></tr></table><h2 id="related">Related work</h2></article>', "a\nb\nc\nRelated work"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", "Let x=1 be"),
+        ("<body><nav>Home</nav><footer>f</footer></body>", ""),
+        ("<form><label>Name</label></form>", ""),
+        ('<header class="site-header"><h1>Site</h1></header><article><p>x</p></article>', "x"),
+        ('<article><p>x</p><div class="comments"><h2>Comments</h2><p>hi</p></div><div class="related"><h2>More</h2></div><ul class="menu"><li>m</li></ul></article>', "x"),
+    ],
+)
+def test_what_a_class_name_takes_away(page, want):
+    """Regions, but no headings, lines, tables or inline elements; a header of the article that holds its title stays."""
+    assert html_wrappers.main_text(page, ()) == want
+
+
 def test_wrapper_fits_every_page_that_it_was_inferred_from():
     r = random.Random(12)
     for _ in range(60):
