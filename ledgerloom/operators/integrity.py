@@ -5,11 +5,16 @@ A tree is a table of complete nodes (level, idx, hash); level 0 holds the leaves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Levels folded in one group: 2^12 leaves.
 CHUNK_BITS = 12
+#: Columns of a tree.
+NODES = "level int, idx long, hash string"
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -22,24 +27,32 @@ def _pair_up(hashes: Column) -> Column:
     return F.when(half > 0, F.transform(F.sequence(F.lit(0), half - 1), lambda i: node_hash(F.get(hashes, 2 * i), F.get(hashes, 2 * i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
+def _folded(layer: DataFrame, level: int, frontier: list[str | None]) -> DataFrame:
+    """The complete nodes above a run of neighbouring nodes (idx, hash) of a level, CHUNK_BITS levels up: chunks of 4096 are folded by one group each. Where a run begins within a pair, the left half is the frontier's node of that level."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "hash")))
+    chunks = layer.groupBy(F.shiftright("idx", CHUNK_BITS).alias("chunk")).agg(ordered.alias("run")).select("chunk", F.get("run", F.lit(0))["idx"].alias("first"), F.transform("run", lambda x: x["hash"]).alias("hashes"))
+    left = F.array(*(F.lit(h).cast("string") for h in (frontier + [None] * (level + CHUNK_BITS))[level : level + CHUNK_BITS]))
+    none = F.array().cast("array<struct<level:int,idx:bigint,hash:string>>")
+    start = F.struct(F.col("hashes").alias("cur"), F.col("first").alias("first"), none.alias("done"))
+
+    def step(state: Column, at: Column) -> Column:
+        odd = (F.size(state["cur"]) > 0) & (state["first"].bitwiseAND(F.lit(1).cast("long")) == 1)
+        whole = F.when(odd, F.concat(F.array(F.get(left, at - 1)), state["cur"])).otherwise(state["cur"])
+        up = F.shiftright(state["first"], 1)
+        one = lambda cur: F.struct(cur.alias("cur"), up.alias("first"), F.concat(state["done"], F.transform(cur, lambda h, i: F.struct((at + level).alias("level"), (up + i).alias("idx"), h.alias("hash")))).alias("done"))
+        return F.get(F.transform(F.array(_pair_up(whole)), one), F.lit(0))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(CHUNK_BITS)), start, step, lambda s: s["done"])
+    return chunks.select(F.explode(done).alias("node")).select("node.*")
+
+
 def merkle_build(leaves: DataFrame) -> DataFrame:
-    """All complete nodes over leaves (log_index from 0 without gaps, event_hash): chunks of 4096 are folded by one group each, then the chunk roots likewise."""
+    """All complete nodes over leaves (log_index from 0 without gaps, event_hash), layer by layer. ``append_leaves`` is for trees that are stored."""
     layer = leaves.select(F.col("log_index").alias("idx"), F.col("event_hash").alias("hash"))
     n, level = layer.count(), 0
     out = layer.select(F.lit(0).alias("level"), "idx", "hash")
     while n > 1:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])
-        chunks = layer.groupBy(F.shiftright("idx", CHUNK_BITS).alias("chunk")).agg(ordered.alias("hashes"))
-        start = F.struct(F.col("hashes").alias("cur"), F.array().cast("array<struct<level:int,pos:int,hash:string>>").alias("done"))
-
-        def step(state: Column, at: Column) -> Column:
-            one = lambda cur: F.struct(cur.alias("cur"), F.concat(state["done"], F.transform(cur, lambda h, i: F.struct(at.alias("level"), i.alias("pos"), h.alias("hash")))).alias("done"))
-            return F.get(F.transform(F.array(_pair_up(state["cur"])), one), F.lit(0))
-
-        folded = F.aggregate(F.sequence(F.lit(1), F.lit(CHUNK_BITS)), start, step, lambda s: s["done"])
-        nodes = chunks.select("chunk", F.explode(folded).alias("node")).select(
-            (F.col("node.level") + level).alias("level"), (F.col("chunk") * F.expr(f"shiftleft(1L, {CHUNK_BITS} - node.level)") + F.col("node.pos")).alias("idx"), F.col("node.hash").alias("hash")
-        )
+        nodes = _folded(layer, level, [])
         out = out.union(nodes)
         level += CHUNK_BITS
         n >>= CHUNK_BITS
@@ -47,6 +60,72 @@ def merkle_build(leaves: DataFrame) -> DataFrame:
     return out
 
 
+# --- a tree that is stored and grows
+
+
+def _states(spark: SparkSession, path: str) -> list[int]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/states")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    done = [n for n in names if n.startswith("size=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/states/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("size=")) for n in done)
+
+
+def stored_tree(spark: SparkSession, path: str) -> tuple[int, list[str | None], list[str]]:
+    """Size of the stored tree, the hash of its complete subtree of each level (or None), and the folders of its nodes."""
+    sizes = _states(spark, path)
+    if not sizes:
+        return 0, [], []
+    row = spark.read.parquet(f"{path}/states/size={sizes[-1]}").first()
+    return sizes[-1], row.frontier, row.parts
+
+
+def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of the stored tree."""
+    _, _, parts = stored_tree(spark, path)
+    return spark.read.schema(NODES).parquet(*(f"{path}/{p}" for p in parts)) if parts else spark.createDataFrame([], NODES)
+
+
+def append_leaves(spark: SparkSession, leaves: DataFrame, path: str) -> int:
+    """Adds leaves (log_index from the tree's size on, without gaps; event_hash) to the tree at path; returns its new size.
+
+    The tree's state is its frontier: at most 63 complete subtrees. Only nodes that the new leaves
+    complete are made and written, about twice as many as leaves, each layer of CHUNK_BITS levels once, as
+    the next is folded from the nodes that are stored. The state is written last: a run that dies before
+    leaves the tree as it was, and of its folder nothing is read.
+    """
+    size, frontier, parts = stored_tree(spark, path)
+    rows = leaves.select(F.col("log_index").cast("long").alias("idx"), F.col("event_hash").alias("hash"))
+    m, least, most, total = rows.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx"), F.sum(F.col("idx").cast("decimal(38,0)"))).first()
+    if m == 0:
+        return size
+    if (least, most) != (size, size + m - 1) or 2 * int(total) != m * (least + most):
+        raise ValueError(f"leaves {least} to {most} ({m} rows) do not follow a tree of {size}")
+    new, level, here = size + m, 0, f"nodes-{uuid.uuid4().hex}"
+    rows.select(F.lit(0).alias("level"), "idx", "hash").write.parquet(f"{path}/{here}/level=0")
+    written = [f"{here}/level=0"]
+    while (new >> level) > 1:
+        layer = spark.read.schema(NODES).parquet(f"{path}/{written[-1]}").where(F.col("level") == level).select("idx", "hash")
+        level += CHUNK_BITS
+        written.append(f"{here}/level={level}")
+        _folded(layer, level - CHUNK_BITS, frontier).write.parquet(f"{path}/{written[-1]}")
+    ends = spark.createDataFrame([(k, (new >> k) - 1) for k in range(new.bit_length()) if new >> k & 1], "level int, idx long")
+    fresh = spark.read.schema(NODES).parquet(*(f"{path}/{w}" for w in written)).join(F.broadcast(ends), ["level", "idx"]).collect()  # at most 63
+    found = {r.level: r.hash for r in fresh}
+    after = [(found.get(k) or frontier[k]) if new >> k & 1 else None for k in range(new.bit_length())]
+    spark.createDataFrame([(new, after, parts + written)], "size long, frontier array<string>, parts array<string>").coalesce(1).write.parquet(f"{path}/states/size={new}")
+    return new
+
+
+def stored_root(spark: SparkSession, path: str) -> str:
+    """The root of the stored tree, from its frontier alone."""
+    _, frontier, _ = stored_tree(spark, path)
+    root = None
+    for h in (h for h in frontier if h):
+        root = h if root is None else hashlib.sha256(b"\x01" + bytes.fromhex(h) + bytes.fromhex(root)).hexdigest()
+    return root or EMPTY_ROOT
+
+
 def stored_index(level: Column, idx: Column) -> Column:
     """Dense position of a complete node when nodes are stored in the order in which they become complete: after leaf m come all nodes that end at it."""
     last = (idx + 1) * F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
@@ -153,6 +232,72 @@ def consistency(nodes: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return checkpoints.join(now, "tree_size").select("tree_size", "root", F.col("root").eqNullSafe(F.col("root_now")).alias("consistent"))
 
 
+def _consistency_parts(first: Column, second: Column) -> Column:
+    """The ranges of leaves (lo, n) whose hashes prove that a tree of the second size begins with one of the first, in the proof's order."""
+    start = F.struct(F.lit(0).cast("long").alias("lo"), second.alias("n"), first.alias("m"), F.lit(True).alias("whole"), F.array().cast("array<struct<lo:bigint,n:bigint>>").alias("parts"))
+
+    def step(s: Column, _: Column) -> Column:
+        # The largest power of two below n.
+        half = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.conv((s["n"] - 1).cast("string"), 10, 2)) - 1)
+        right = s["m"] <= half
+        part = F.when(right, F.struct((s["lo"] + half).alias("lo"), (s["n"] - half).alias("n"))).otherwise(F.struct(s["lo"].alias("lo"), half.alias("n")))
+        on = F.struct(
+            F.when(right, s["lo"]).otherwise(s["lo"] + half).alias("lo"), F.when(right, half).otherwise(s["n"] - half).alias("n"), F.when(right, s["m"]).otherwise(s["m"] - half).alias("m"), (s["whole"] & right).alias("whole"), F.concat(s["parts"], F.array(part)).alias("parts"),
+        )
+        return F.when(s["m"] == s["n"], s).otherwise(on)
+
+    def finish(s: Column) -> Column:
+        return F.reverse(F.when(s["whole"], s["parts"]).otherwise(F.concat(s["parts"], F.array(F.struct(s["lo"].alias("lo"), s["n"].alias("n"))))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step, finish)
+
+
+def consistency_proofs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (first_size, second_size, with 0 < first_size <= second_size) with the proof that the smaller tree is a beginning of the larger: a list of hashes, empty for equal sizes."""
+    wanted = pairs.select("first_size", "second_size").distinct()
+    ranges = wanted.select("first_size", "second_size", F.posexplode(_consistency_parts(F.col("first_size").cast("long"), F.col("second_size").cast("long"))).alias("at", "r"))
+    # A range is one complete subtree, or, at the right edge, several: by binary digit of its size, from the left.
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftright", F.col("r.n"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
+    piece = F.transform(digits, lambda k: F.struct(k.alias("level"), (F.call_function("shiftright", F.col("r.lo") + F.col("r.n"), k) - 1).alias("idx")))
+    pieces = ranges.select("first_size", "second_size", "at", F.explode(piece).alias("p")).select("first_size", "second_size", "at", "p.level", "p.idx")
+    hashes = pieces.join(nodes, ["level", "idx"]).groupBy("first_size", "second_size", "at").agg(_fold(_ordered_hashes("level")).alias("hash"))
+    proofs = hashes.groupBy("first_size", "second_size").agg(_ordered_hashes("at").alias("proof"))
+    return pairs.join(proofs, ["first_size", "second_size"], "left").withColumn("proof", F.coalesce("proof", F.array().cast("array<string>")))
+
+
+def verify_consistency(proofs: DataFrame) -> DataFrame:
+    """Adds status to rows of first_size, second_size, first_root, second_root and proof: consistent, or why not. From roots and proof alone; no shuffle."""
+    m, n = F.col("first_size").cast("long"), F.col("second_size").cast("long")
+    one = F.lit(1).cast("long")
+    # A first tree that is one complete subtree is its own first hash.
+    power = m.bitwiseAND(m - 1) == 0
+    path = F.when(power, F.concat(F.array("first_root"), F.col("proof"))).otherwise(F.col("proof"))
+    ones = F.bit_count(m.bitwiseAND(-m) - 1).cast("int")  # digits 1 at the end of m - 1: those below the lowest 1 of m
+    start = F.struct(F.get(path, F.lit(0)).alias("fr"), F.get(path, F.lit(0)).alias("sr"), F.call_function("shiftright", m - 1, ones).alias("fn"), F.call_function("shiftright", n - 1, ones).alias("sn"), F.lit(False).alias("extra"))
+
+    def step(s: Column, c: Column) -> Column:
+        odd = s["fn"].bitwiseAND(one) == 1
+        left = odd | (s["fn"] == s["sn"])
+        zeros = F.when(left & ~odd & (s["fn"] > 0), F.bit_count(s["fn"].bitwiseAND(-s["fn"]) - 1)).otherwise(F.lit(0))
+        shift = (zeros + 1).cast("int")
+        return F.struct(
+            F.when(left, node_hash(c, s["fr"])).otherwise(s["fr"]).alias("fr"),
+            F.when(left, node_hash(c, s["sr"])).otherwise(node_hash(s["sr"], c)).alias("sr"),
+            F.call_function("shiftright", s["fn"], shift).alias("fn"),
+            F.call_function("shiftright", s["sn"], shift).alias("sn"),
+            (s["extra"] | (s["sn"] == 0)).alias("extra"),
+        )
+
+    done = F.aggregate(F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), start, step)
+    s = F.col("_s")
+    proved = (
+        F.when(F.size(path) == 0, "no proof").when(s["extra"], "extra hashes").when(s["sn"] > 0, "proof too short").when(~s["fr"].eqNullSafe(F.col("first_root")), "first root differs").when(~s["sr"].eqNullSafe(F.col("second_root")), "second root differs").otherwise("consistent")
+    )
+    same = F.when(F.size("proof") > 0, "extra hashes").when(F.col("first_root") == F.col("second_root"), "consistent").otherwise("second root differs")
+    status = F.when((m < 1) | (m > n), "sizes out of order").when(m == n, same).otherwise(proved)
+    return proofs.withColumn("_s", done).withColumn("status", status).drop("_s")
+
+
 def tamper_scan(events: DataFrame, stored_leaves: DataFrame, width: int = 65_536) -> DataFrame:
     """Rows (log_index, problem): a leaf that differs from the stored one, a repeated index, a missing one. Gaps are found within index ranges, so no task sees the whole log."""
     differs = events.join(stored_leaves.select(F.col("idx").alias("log_index"), F.col("hash").alias("stored")), "log_index", "left").where("stored IS NULL OR stored <> event_hash").select("log_index", F.lit("leaf differs").alias("problem"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +14,23 @@ from ..operators import integrity as I
 from .catalog import query
 from .views import EVENTS_SQL, audit_events, table
 
-#: Secrets of every shape, put after each document (the documents hold few shapes). Fixed samples, assembled from parts.
+#: Filler of the samples.
+_HEX = hashlib.sha256(b"ledgerloom sample").hexdigest()
+#: Made-up secrets of every shape, put after each document (the documents hold few shapes).
 PARTS = {
-    "bearer": ("Authorization: Bearer abc", "defghijkl."),
-    "conn": ("postgres://bob:", "hunter22@db/x"),
-    "gh": ("gh", "p_ABCDEFGHIJKLMNOPQRSTUVWX"),
-    "sk": ("s", "k-abcdefghijklmnopqrstuv"),
-    "jwt": ("ey", "JhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl"),
-    "google": ("AI", "zaABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"),
-    "slack": ("xo", "xb-1234567890-abc"),
-    "aws": ("AK", "IAABCDEFGHIJKLMNOP"),
-    "json": ('"api_key": "top', ' secret value"'),
-    "plain": ("token: short password=", "hunter2"),
+    "private key": f"-----BEGIN TEST PRIVATE KEY-----\n{_HEX}\n-----END TEST PRIVATE KEY-----",
+    "bearer": f"Authorization: Bearer {_HEX[:12]}.",
+    "conn": f"postgres://bob:{_HEX[:8]}@db/x",
+    "gh": f"ghp_{'A' * 24}",
+    "sk": f"sk-{_HEX[:22]}",
+    "jwt": f"eyJ{'a' * 8}.eyJ{'b' * 8}.{'c' * 10}",
+    "google": f"AIza{'D' * 35}",
+    "slack": f"xoxb-{'1' * 10}-abc",
+    "aws": f"AKIA{'B' * 16}",
+    "json": '"api_key": "top secret value"',
+    "plain": f"token: short password={_HEX[:7]}",
 }
-SAMPLES = " ; ".join(a + b for a, b in PARTS.values())
+SAMPLES = " ; ".join(PARTS.values())
 
 
 def _bodies(s: SparkSession, d: str) -> DataFrame:
@@ -195,13 +200,43 @@ def a8_receipt_with_root(s: SparkSession, d: str) -> DataFrame:
     return E.with_checkpoint(receipts, i4_root_at_size(s, d))
 
 
+def _stored_tree(s: SparkSession, d: str, *ends: int) -> str:
+    """A tree of the log, to which the events came in parts that end at these indices, and the rest."""
+    leaves, path = _leaves(s, d), scratch(s, "tree")
+    for low, high in zip((0, *ends), (*ends, None), strict=True):
+        I.append_leaves(s, leaves.where(F.col("log_index") >= low) if high is None else leaves.where(F.col("log_index").between(low, high - 1)), path)
+    return path
+
+
+@query("WITH " + MERKLE + " SELECT level, idx, hash FROM nodes")
+def i2_merkle_append(s: SparkSession, d: str) -> DataFrame:
+    """A tree that grew by parts of 1, 250 and 5,000 events and the rest: its nodes are those of the whole."""
+    return I.stored_nodes(s, _stored_tree(s, d, 1, 251, 5251))
+
+
+@query("WITH " + ROOTS + " SELECT tree_size, root FROM roots")
+def i4_root_of_a_grown_tree(s: SparkSession, d: str) -> DataFrame:
+    return I.root_at_size(I.stored_nodes(s, _stored_tree(s, d, 777)), _sizes(s, d))
+
+
+@query("""WITH """ + EVENTS_SQL + """ SELECT log_index + 1 AS first_size, ((log_index + 1) // 250 + 1) * 250 AS second_size, CASE (log_index + 1) % 1000 WHEN 250 THEN 'first root differs' WHEN 500 THEN 'second root differs' ELSE 'consistent' END AS status
+ FROM ev WHERE ((log_index + 1) % 250 = 0 OR log_index + 1 IN (1, 7)) AND ((log_index + 1) // 250 + 1) * 250 <= (SELECT max(log_index) + 1 FROM ev)""")
+def i8_consistency_proofs(s: SparkSession, d: str) -> DataFrame:
+    """Each stored size against the next multiple of 250, from roots and proofs alone; some roots are forged."""
+    nodes = I.stored_nodes(s, _stored_tree(s, d))
+    roots = I.root_at_size(nodes, _sizes(s, d))
+    pairs = roots.withColumn("second_size", F.expr("(tree_size DIV 250 + 1) * 250"))
+    both = pairs.select(F.col("tree_size").alias("first_size"), F.col("root").alias("first_root"), "second_size").join(roots.select(F.col("tree_size").alias("second_size"), F.col("root").alias("second_root")), "second_size")
+    forged, k = F.sha2(F.lit("forged"), 256), F.col("first_size") % 1000
+    proofs = I.consistency_proofs(nodes, both).withColumns({"first_root": F.when(k == 250, forged).otherwise(F.col("first_root")), "second_root": F.when(k == 500, forged).otherwise(F.col("second_root"))})
+    return I.verify_consistency(proofs).select("first_size", "second_size", "status")
+
+
 def _proofs(s: SparkSession, d: str) -> DataFrame:
     """Proofs of every event in the tree of the whole log, from a stored tree."""
     leaves = _leaves(s, d)
     size = leaves.agg((F.max("log_index") + 1).alias("tree_size"))
-    path = scratch(s, "nodes")
-    I.merkle_build(leaves).write.parquet(path)
-    nodes = s.read.parquet(path)
+    nodes = I.stored_nodes(s, _stored_tree(s, d))
     wanted = leaves.select("log_index").join(F.broadcast(size))
     return I.inclusion_proofs(nodes, wanted).join(leaves, "log_index").join(F.broadcast(I.root_at_size(nodes, size)), "tree_size")
 
