@@ -82,6 +82,19 @@ def keyset_page(sessions: DataFrame, *, source: str | None = None, since_ms: int
     return sessions.orderBy(F.desc("started_ms"), F.desc("session_id")).limit(limit)
 
 
+def session_page(sessions: DataFrame, turns: DataFrame, *, source: str | None = None, since_ms: int | None = None, variant: str | None = None, cursor: str | None = None, limit: int = 20) -> DataFrame:
+    """A page of sessions from the latest start on, with next_cursor, the id of the page's last session. ``cursor`` is that of the page before; an id that is not known gives the first page. Sessions of one start are ordered by id, so that none is lost between pages. A limit beyond 1 to 100 is cut to it."""
+    limit, place = max(1, min(100, limit)), F.struct("started_ms", "session_id")
+    kept = sessions if source is None else sessions.where(F.col("source") == source)
+    kept = kept if since_ms is None else kept.where(F.col("started_ms") >= since_ms)
+    kept = kept if variant is None else sessions_with_variant(kept, turns, variant)
+    if cursor is not None:
+        at = sessions.where(F.col("session_id") == cursor).agg(F.max(place).alias("_at"))
+        kept = kept.join(F.broadcast(at)).where(F.col("_at").isNull() | (place < F.col("_at"))).drop("_at")
+    page = kept.orderBy(F.desc("started_ms"), F.desc("session_id")).limit(limit)
+    return page.join(F.broadcast(page.agg(F.min_by("session_id", place).alias("next_cursor"))))
+
+
 def offset_page(turns: DataFrame, session: str, limit: int, offset: int) -> DataFrame:
     """A page of a session's turns, with the total and whether more follow."""
     own = turns.where(F.col("session_id") == session)

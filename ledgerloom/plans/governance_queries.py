@@ -11,6 +11,7 @@ from ..functions.scratch import scratch
 from ..operators import events as E
 from ..operators import governance as G
 from ..operators import integrity as I
+from ..operators import listed as L
 from .catalog import query
 from .views import EVENTS_SQL, audit_events, table
 
@@ -74,6 +75,12 @@ def r1_literal_secrets(s: SparkSession, d: str) -> DataFrame:
     return _bodies(s, d).select("doc_id", n.cast("long").alias("n"), G.literal_secrets(text, ("token = ", "password=", "short")).alias("text"))
 
 
+@query("SELECT doc_id, replace(replace(text, 'password=', '[REDACTED:env]'), 'token = ', '[REDACTED:env]') AS text FROM documents")
+def r1_listed_values(s: SparkSession, d: str) -> DataFrame:
+    """A list of 20,002 values over whole texts, two of which occur."""
+    return L.redact_listed(_bodies(s, d), "text", ["token = ", "password=", "short", *(f"no such value {k}" for k in range(20_000))])
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, 'password=([^\\s\"'']+)[\"'']?', 'password=[REDACTED:secret]', 'g'), 'token = \"([0-9a-f]{40})\"', 'token=[REDACTED:secret]', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[REDACTED:aws-access-key]', 'g') AS text FROM documents)")
 def r8_assignments(s: SparkSession, d: str) -> DataFrame:
     """r7 to r9: all rules over whole texts; the SQL names the two assignment forms that the documents hold."""

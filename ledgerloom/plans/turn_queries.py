@@ -179,6 +179,21 @@ def l1_keyset_page_sessions(s: SparkSession, d: str) -> DataFrame:
     return T.keyset_page(T.session_attributes(turns(s, d)), source="s1", after=(1_704_240_000_000, "48")).select("session_id", "started_ms", "source")
 
 
+@query(
+    SESS
+    + """SELECT * FROM (SELECT 'first' AS page, session_id, started_ms, last_value(session_id) OVER (ORDER BY started_ms DESC, session_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_cursor FROM (SELECT * FROM ses WHERE session_id IN (SELECT session_id FROM tu WHERE model_variant = 'v1') ORDER BY started_ms DESC, session_id DESC LIMIT 3))
+ UNION ALL SELECT * FROM (SELECT 'unknown' AS page, session_id, started_ms, last_value(session_id) OVER (ORDER BY started_ms DESC, session_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_cursor FROM (SELECT * FROM ses WHERE session_id IN (SELECT session_id FROM tu WHERE model_variant = 'v1') ORDER BY started_ms DESC, session_id DESC LIMIT 3))
+ UNION ALL SELECT * FROM (SELECT 'next' AS page, session_id, started_ms, last_value(session_id) OVER (ORDER BY started_ms DESC, session_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_cursor FROM (SELECT * FROM ses WHERE session_id IN (SELECT session_id FROM tu WHERE model_variant = 'v1') AND (started_ms < (SELECT started_ms FROM ses WHERE session_id = '9') OR started_ms = (SELECT started_ms FROM ses WHERE session_id = '9') AND session_id < '9') ORDER BY started_ms DESC, session_id DESC LIMIT 3))"""
+)
+def l1_session_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages of the sessions of a variant: without a cursor, after one that is not known, and after session 9; each with its next cursor."""
+    t = turns(s, d)
+    every = T.session_attributes(t)
+    pages = {"first": None, "unknown": "nobody", "next": "9"}
+    rows = [T.session_page(every, t, variant="v1", cursor=c, limit=3).select(F.lit(name).alias("page"), "session_id", "started_ms", "next_cursor") for name, c in pages.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query(TU + " SELECT turn_uuid, turn_order, (SELECT count(*) FROM tu WHERE session_id = '3') AS total, (SELECT count(*) FROM tu WHERE session_id = '3') > 3 AS has_more FROM tu WHERE session_id = '3' ORDER BY turn_order LIMIT 2 OFFSET 1")
 def l2_offset_page_turns(s: SparkSession, d: str) -> DataFrame:
     return T.offset_page(turns(s, d), "3", 2, 1).select("turn_uuid", "turn_order", "total", "has_more")
