@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch
 from ..operators import events as E
 from ..operators import report as R
+from ..operators import rollups as U
 from .catalog import query
 from .views import EVENTS_SQL, audit_events
 
@@ -316,3 +318,23 @@ def a20_session_lists(s: SparkSession, d: str) -> DataFrame:
     kinds = kinds.withColumn("target", F.when(F.col("event_type").startswith("command"), F.col("command")).otherwise(F.col("target")))
     lists = R.session_lists(kinds)
     return lists.select("session_id", *(F.array_join(F.array_sort(c), "|").alias(c) for c in lists.columns if c != "session_id"))
+
+
+@query(EV + "SELECT action_type, count(*) AS n, CAST(sum(settled_energy) AS BIGINT) AS energy, min(event_ms) AS first_ms, max(event_ms) AS last_ms, count(DISTINCT session_id) AS sessions FROM ev, (SELECT min(event_ms // 86400000) AS d0 FROM ev) WHERE event_ms // 86400000 BETWEEN d0 + 2 AND d0 + 20 GROUP BY 1")
+def a3_range_from_partials(s: SparkSession, d: str) -> DataFrame:
+    """Totals and exact distinct sessions of 19 days from daily partials, which a second run brought up to date with rows that came late."""
+    root, log = scratch(s, "rollups"), audit_events(s, d)
+    late = F.col("log_index") % 10 == 3
+    for part in (log.where(~late), log.where(late)):
+        U.update_daily(s, part.select("session_id", "action_type", "event_ms", "settled_energy"), root)
+    first = log.agg(F.min(F.floor(F.col("event_ms") / U.DAY_MS))).first()[0]
+    return U.totals(s, root, first + 2, first + 20)
+
+
+@query(EV + "SELECT count(*) AS n, CAST(sum(settled_energy) AS BIGINT) AS energy, min(event_ms) AS first_ms, max(event_ms) AS last_ms, count(DISTINCT session_id) AS sessions FROM ev")
+def a5_totals_from_partials(s: SparkSession, d: str) -> DataFrame:
+    """t10 over all days, from partials of as many runs as parts of the log."""
+    root, log = scratch(s, "rollups"), audit_events(s, d)
+    for k in range(2):
+        U.update_daily(s, log.where(F.col("log_index") % 2 == k).select("session_id", "action_type", "event_ms", "settled_energy"), root)
+    return U.totals(s, root, by=())
