@@ -12,6 +12,7 @@ from ..functions.scratch import scratch
 from ..operators import turns as T
 from ..sources import transcripts as S
 from ..streaming import jobs as J
+from ..streaming.queue import Queue
 from .catalog import query
 from .views import EVENTS_SQL, TURNS_SQL, audit_events, table, turns
 
@@ -306,6 +307,25 @@ def t3_retries(s: SparkSession, d: str) -> DataFrame:
     return fates.groupBy("fate", "attempts", "last_error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(EV + "SELECT CASE WHEN log_index % 9 = 4 OR log_index % 5 = 3 THEN 'dead' ELSE 'done' END AS fate, CAST(CASE WHEN log_index % 9 = 4 OR log_index % 5 = 3 THEN 3 ELSE log_index % 5 END AS INTEGER) AS attempts, CASE WHEN log_index % 9 = 4 THEN 'not JSON' WHEN log_index % 5 = 3 THEN 'not there yet' WHEN log_index % 5 > 0 THEN 'not there yet' END AS last_error, count(*) AS n FROM ev WHERE log_index % 5 < 4 GROUP BY ALL")
+def t2_durable_queue(s: SparkSession, d: str) -> DataFrame:
+    """The same rounds over a queue that is only added to, compacted after the second, its entries put in by two calls."""
+    log = audit_events(s, d).where("log_index % 5 < 4")
+    value = F.when(F.col("log_index") % 9 == 4, F.lit("{oops")).otherwise(F.to_json(F.struct("id")))
+    entries, queue, done = log.select("log_index", value.alias("value")), Queue(s, scratch(s, "queue")), None
+    for half in (0, 1):
+        queue.put(entries.where(F.col("log_index") % 2 == half))
+    for turn in range(4):
+        before = queue.pending()
+        queue.drain(lambda rows, turn=turn: rows.withColumn("error", F.when(F.try_parse_json("value").isNull(), "not JSON").when(F.col("log_index") % 5 > turn, "not there yet")))
+        through = before.join(queue.pending().unionByName(queue.dead()).select("seq"), "seq", "left_anti")
+        done = through if done is None else done.unionByName(through)
+        if turn == 1:
+            queue.compact()
+    fates = done.withColumn("fate", F.lit("done")).unionByName(queue.dead().withColumn("fate", F.lit("dead")))
+    return fates.groupBy("fate", "attempts", "last_error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(EV + "SELECT action_type, count(*) AS n, min(event_ms) AS first_ms, max(event_ms) AS last_ms FROM ev GROUP BY 1")
 def t10_stream_stats(s: SparkSession, d: str) -> DataFrame:
     sink = scratch(s, "stats")
