@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,20 +86,32 @@ def without_replays(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["id"])
 
 
+#: State on disk, of which a batch saves what it changed.
+KEYED_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state by KEYED_STATE."""
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    for k, v in KEYED_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def outbox(spark: SparkSession, turns: DataFrame, receipts: str, sink: str) -> None:
-    """One receipt a turn under a deterministic target; those that are there already are not sent again, so a batch run twice sends once."""
+    """One receipt a turn under a deterministic target. Targets that were sent are keyed state of the query at sink: a batch looks up its own targets and reads no receipts, and a batch that is run again finds the state before it and replaces its own folder, so that nothing is sent twice."""
+    made = turns.select(F.concat("source", F.lit("/turn/"), "turn_uuid").alias("target")).dropDuplicates(["target"])
 
     def each(batch: DataFrame, number: int) -> None:
-        made = batch.select(F.concat("source", F.lit("/turn/"), "turn_uuid").alias("target")).distinct()
-        try:
-            sent = spark.read.parquet(receipts).where(F.col("batch") < number).select("target")
-            made = made.join(sent, "target", "left_anti")
-        except Exception as e:  # nothing sent yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        made.write.mode("overwrite").parquet(f"{receipts}/batch={number}")
-
-    run_once(turns, sink, "append", each)
+        batch.write.mode("overwrite").parquet(f"{receipts}/batch={number}")
+
+    with keyed_state(spark):
+        run_once(made, sink, "append", each)
 
 
 def split_bad_rows(spark: SparkSession, lines: DataFrame, schema: str, sink: str) -> None:

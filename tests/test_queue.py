@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.index_store import Store
+from ledgerloom.streaming import jobs
 from ledgerloom.streaming.queue import Queue
 
 
@@ -43,3 +44,27 @@ def test_queue(spark, tmp_path, monkeypatch):
     queue.put(spark.createDataFrame([("e", 0)], "name string, needs int"))
     queue.drain(attempt(9))
     assert done[-1] == "e" and queue.dead().count() == 1
+
+
+def test_outbox_sends_once_over_restarts(spark, tmp_path):
+    """Repeats within a run, in a later run, and in a batch that dies after its write: one receipt each; no batch reads receipts."""
+    turns, receipts, sink = (str(tmp_path / n) for n in ("turns", "receipts", "sink"))
+    schema = "source string, turn_uuid string"
+
+    def put(*ids):
+        spark.createDataFrame([("s", i) for i in ids], schema).coalesce(1).write.mode("append").parquet(turns)
+
+    def go():
+        jobs.outbox(spark, jobs.read_events(spark, turns, schema, 1), receipts, sink)
+        return sorted(r.target for r in spark.read.parquet(receipts).collect())
+
+    put("a", "b", "a")
+    assert go() == ["s/turn/a", "s/turn/b"]
+    put("b", "c")
+    assert go() == ["s/turn/a", "s/turn/b", "s/turn/c"]
+    last = sorted((tmp_path / "sink" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    (last.parent / f".{last.name}.crc").unlink()
+    last.unlink()  # the batch wrote its receipts, but died before its commit
+    put("a", "d")
+    assert go() == ["s/turn/a", "s/turn/b", "s/turn/c", "s/turn/d"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
