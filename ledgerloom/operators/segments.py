@@ -39,3 +39,20 @@ def islands(rows: DataFrame, keys: Sequence[str], order: str, own: Column, name:
     """rows with ``name``, a number that rises along the order within the keys: each row that is ``own`` (never null) is an island of its own, and what lies between two of them is one."""
     counted = carried(rows.withColumn("_mine", own), keys, order, sums={name: F.col("_mine").cast("long")}, lasts=lasts, width=width)
     return counted.withColumn(name, 2 * F.col(name) + (~F.col("_mine")).cast("long")).drop("_mine")
+
+
+def range_counts(rows: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
+    """Rows by range of the order column: a small table, which is worth storing beside a large one."""
+    return rows.groupBy(F.expr(f"CAST(floor(`{order}` / {width}D) AS LONG)").alias("range")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_by_rank(rows: DataFrame, order: str, offset: int, limit: int, counts: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """Rows number offset to offset + limit - 1 along the order column (whole numbers, without repeats). ``counts`` (of ``range_counts``) tells which ranges these lie in; only rows of those ranges are read, by a filter that reaches the files, and sorted: two ranges, where they are not nearly empty and hold a page. Rows without an order value have no rank."""
+    counts = (range_counts(rows, order, width) if counts is None else counts).where("range IS NOT NULL")
+    upto = F.sum("n").over(Window.orderBy("range"))
+    held = counts.withColumn("upto", upto).where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit))
+    low, high, before = held.agg(F.min("range"), F.max("range"), F.min(F.col("upto") - F.col("n"))).first()
+    if low is None:
+        return rows.limit(0)
+    inside = rows.where((F.col(order) >= low * width) & (F.col(order) < (high + 1) * width))
+    return inside.orderBy(order).offset(offset - before).limit(limit)

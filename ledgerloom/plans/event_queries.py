@@ -9,6 +9,7 @@ from ..functions.scratch import scratch
 from ..operators import events as E
 from ..operators import report as R
 from ..operators import rollups as U
+from ..operators import segments as G
 from .catalog import query
 from .views import EVENTS_SQL, audit_events
 
@@ -338,3 +339,10 @@ def a5_totals_from_partials(s: SparkSession, d: str) -> DataFrame:
     for k in range(2):
         U.update_daily(s, log.where(F.col("log_index") % 2 == k).select("session_id", "action_type", "event_ms", "settled_energy"), root)
     return U.totals(s, root, by=())
+
+
+@query(EV + "SELECT log_index, id FROM ev WHERE log_index % 3 > 0 ORDER BY log_index LIMIT 25 OFFSET 311")
+def l2_page_by_rank(s: SparkSession, d: str) -> DataFrame:
+    """A page far into the log, from the ranges that its rank falls in."""
+    log = audit_events(s, d).where("log_index % 3 > 0").select("log_index", "id")
+    return G.page_by_rank(log, "log_index", 311, 25, width=128)

@@ -85,3 +85,18 @@ def test_blank_lines_and_float_sizes(spark):
     sizes = {'{"a": 1.0}': '{"a":1.0}', "[1e10, -0.0, 0.00001, 1e-6]": "[10000000000.0,-0.0,0.00001,1e-6]", "[1e16, 1e15, 12.50]": "[1e16,1000000000000000.0,12.5]", "[18446744073709551616, 18446744073709551615]": "[1.8446744073709552e19,18446744073709551615]", '["1.0 \\" 2e5", 3]': '["1.0 \\" 2e5",3]'}
     df = spark.createDataFrame([(k,) for k in sizes], "v string")
     assert {r.v: r.n for r in df.select("v", jsonl.compact_bytes(F.get_json_object("v", "$")).alias("n")).collect()} == {k: len(v) for k, v in sizes.items()}
+
+
+def test_pages_by_rank(spark, tmp_path):
+    """Any page equals the sorted one, from ranges that the files' statistics find."""
+    r = random.Random(5)
+    keys = sorted({r.choice((r.randint(-500, 500), r.randint(10_000, 10_050), r.randint(0, 10**6))) for _ in range(900)})
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(k, str(k)) for k in r.sample(keys, len(keys))] + [(None, "x")], "k long, v string").repartitionByRange(6, "k").write.parquet(path)
+    df = spark.read.parquet(path)
+    counts = segments.range_counts(df, "k", 64).cache()
+    for offset, limit in ((0, 5), (37, 20), (len(keys) - 3, 10), (len(keys), 4), (200, 300)):
+        page = segments.page_by_rank(df, "k", offset, limit, counts, 64)
+        assert [x.k for x in page.collect()] == keys[offset : offset + limit]
+    plan = segments.page_by_rank(df, "k", 100, 10, counts, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k," in plan and "LessThan(k," in plan
