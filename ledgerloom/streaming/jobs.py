@@ -51,34 +51,57 @@ def gap_sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("event_time", late).groupBy("actor_id", F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("actor_id", F.unix_millis("w.start").alias("start_ms"), "n")
 
 
+#: Shares of the sessions: those of one are one key of the state, and are stepped together.
+SESSION_SHARES = 512
+HELD, TOLD = ["session_id", "n", "energy", "last", "deadline"], ["session_id", "n", "energy", "ended"]
+
+
+def _step_sessions(held: pd.DataFrame, rows: pd.DataFrame, now: int, timeout_ms: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Sessions (session_id, n, energy, last, deadline) of a share after the rows of a batch, and those to be told of (session_id, n, energy, ended)."""
+    rows = rows.sort_values("log_index", ignore_index=True)
+    at = rows.groupby("session_id", dropna=False, sort=False)
+    start = rows.index.to_series().where(rows["event_type"] == "session_start").groupby(at.ngroup()).transform("max")
+    last = at["event_ms"].max()
+    kept = rows[start.isna() | (rows.index >= start)].assign(begins=start.notna(), ends=rows["event_type"] == "session_end")
+    here = kept.groupby("session_id", dropna=False).agg(n=("log_index", "size"), energy=("settled_energy", "sum"), begins=("begins", "any"), ended=("ends", "any"))
+    here = here.join(last).reset_index()
+    # A session without an id is None in both, so that it meets itself.
+    here["session_id"] = here["session_id"].astype(object).where(here["session_id"].notna(), None)
+    here = here.merge(held, "left", "session_id", suffixes=("", "_held"))
+    before = lambda c: here[c + "_held"].fillna(0).astype("int64").where(~here["begins"], 0)
+    here["n"], here["energy"] = before("n") + here["n"], before("energy") + here["energy"].astype("int64")
+    here["last"] = here[["event_ms", "last"]].max(axis=1).fillna(0).astype("int64")
+    here["deadline"] = here["last"].clip(lower=now) + timeout_ms
+    idle, told = _silenced(held[~held["session_id"].isin(here["session_id"])], now)
+    return pd.concat([idle, here.loc[~here["ended"], HELD]]), pd.concat([here[TOLD], told])
+
+
+def _silenced(held: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Sessions whose deadline has not passed, and those to be told of as ended."""
+    silent = held["deadline"] < now
+    return held[~silent], held[silent].assign(ended=True)[TOLD]
+
+
 def session_state(events: DataFrame, timeout_ms: int = 86_400_000, late: str = "1 day") -> DataFrame:
-    """Running count and energy of each session: session_start begins anew, session_end ends it, as does silence beyond the timeout (in event time)."""
+    """Running count and energy of each session: session_start begins anew, session_end ends it, as does silence beyond the timeout (in event time).
 
-    def step(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            count, energy, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "n": [count], "energy": [energy], "ended": [True]})
-            return
-        count, energy, last = state.get if state.exists else (0, 0, 0)
-        ended = False
-        for part in rows:
-            part = part.sort_values("log_index")
-            last = max(last, int(part["event_ms"].max()))
-            starts = part.index[part["event_type"] == "session_start"]
-            if len(starts):
-                part, count, energy = part.loc[starts[-1] :], 0, 0
-            count, energy = count + len(part), energy + int(part["settled_energy"].sum())
-            ended |= bool((part["event_type"] == "session_end").any())
-        if ended:
+    A key of the state is a share of the sessions, not a session, so that a batch is stepped in SESSION_SHARES calls over columns; the timer is that of the share's earliest deadline.
+    """
+
+    def step(key: tuple[int], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(HELD, state.get if state.exists else ([],) * 5, strict=True))).astype({"session_id": object} | dict.fromkeys(HELD[1:], "int64"))
+        now = state.getCurrentWatermarkMs()
+        got = [] if state.hasTimedOut else list(parts)
+        held, told = _step_sessions(held, pd.concat(got), now, timeout_ms) if got else _silenced(held, now)
+        if len(held):
+            state.update(tuple(held[c].tolist() for c in HELD))
+            state.setTimeoutTimestamp(int(held["deadline"].min()))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((count, energy, last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-        yield pd.DataFrame({"session_id": [key[0]], "n": [count], "energy": [energy], "ended": [ended]})
+        yield told
 
     columns = events.withWatermark("event_time", late).select("session_id", "log_index", "event_type", "settled_energy", "event_ms", "event_time")
-    return columns.groupBy("session_id").applyInPandasWithState(step, "session_id string, n long, energy long, ended boolean", "n long, energy long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+    return columns.withColumn("share", F.pmod(F.xxhash64("session_id"), F.lit(SESSION_SHARES))).groupBy("share").applyInPandasWithState(step, "session_id string, n long, energy long, ended boolean", "session_id array<string>, n array<long>, energy array<long>, last array<long>, deadline array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def without_replays(events: DataFrame, late: str = "7 days") -> DataFrame:
