@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Levels folded in one group: 2^12 leaves.
 CHUNK_BITS = 12
+#: Paths above chunks that go to every executor, at most, of some 2 KB each; more are joined by chunk.
+BROADCAST_PATHS = 1 << 15
 #: Columns of a tree.
 NODES = "level int, idx long, hash string"
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -181,12 +183,47 @@ def _band_paths(nodes: DataFrame, wanted: DataFrame, band: int) -> DataFrame:
     return every.groupBy("at", "tree_size").agg(F.array_compact(_ordered_hashes("level")).alias("path"))
 
 
+def _chunk_rows(nodes: DataFrame) -> DataFrame:
+    """chunk and hashes: the complete nodes of the lowest CHUNK_BITS levels over each chunk of 2^CHUNK_BITS leaves, as bytes, in the order in which they become complete."""
+    low = nodes.where(F.col("level") < CHUNK_BITS)
+    chunk = F.call_function("shiftright", F.col("idx"), CHUNK_BITS - F.col("level"))
+    within = F.col("idx") - F.call_function("shiftleft", chunk, CHUNK_BITS - F.col("level"))
+    placed = low.select(chunk.alias("_chunk"), F.struct(stored_index(F.col("level"), within).cast("int").alias("at"), F.unhex("hash").alias("hash")).alias("node"))
+    return placed.groupBy("_chunk").agg(F.transform(F.array_sort(F.collect_list("node")), lambda x: x["hash"]).alias("_hashes"))
+
+
+def _low_path(hashes: Column, m: Column, n: Column) -> Column:
+    """The siblings of leaf m's lowest CHUNK_BITS levels in a tree of n leaves, from the nodes of its chunk."""
+    one, bits = F.lit(1).cast("long"), (1 << CHUNK_BITS) - 1
+    right = lambda x, k: F.call_function("shiftright", x, k)
+    at = lambda k, idx: F.get(hashes, stored_index(k, idx.bitwiseAND(right(F.lit(bits).cast("long"), k))).cast("int"))
+
+    def ragged(k: Column) -> Column:
+        """The node of level k at the right edge: the complete subtrees of n below it, which lie in this chunk."""
+        digits = F.filter(F.sequence(F.lit(0), k - 1), lambda j: right(n, j).bitwiseAND(one) == 1)
+        parts = F.transform(digits, lambda j: at(j, right(n, j) - 1))
+        fold = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), lambda acc, x: F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), x, acc), 256)))
+        return F.when(k > 0, fold)
+
+    def sibling(k: Column) -> Column:
+        own = right(m, k)
+        other = own.bitwiseXOR(one)
+        whole = F.call_function("shiftleft", other + 1, k) <= n
+        wanted = (right(n - 1, k) > 0) & ((own > other) | (own < right(n - 1, k)))
+        return F.when(wanted & whole, at(k, other)).when(wanted, ragged(k))
+
+    found = F.transform(F.sequence(F.lit(0), F.lit(CHUNK_BITS - 1)), sibling)
+    return F.transform(F.array_compact(found), lambda x: F.lower(F.hex(x)))
+
+
 def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (log_index, tree_size) with its audit path ``proof``.
+    """wanted (log_index, tree_size and any more columns) with its audit path ``proof``.
 
-    Paths are made in bands of CHUNK_BITS levels, from the top band down: all leaves below one node
-    share what is above it, so a band has one path for each of its lowest nodes, and joins the path of
-    the node above. So no key of a join stands for more than 2^CHUNK_BITS rows of a tree size.
+    The lowest CHUNK_BITS levels of a path come from one row that holds the nodes of the leaf's chunk, so that
+    no row is made for each level of a proof, and proofs go through no shuffle while the paths above are few.
+    What is above is made in bands of CHUNK_BITS levels, from the top band down: all leaves below one node
+    share it, so a band has one path for each of its lowest nodes, and joins the path of the node above. So
+    no key of these joins stands for more than 2^CHUNK_BITS rows of a tree size.
     """
     most = wanted.agg(F.max("tree_size")).first()[0] or 1
     paths = lambda band: _band_paths(nodes, wanted.select(F.shiftright("log_index", band * CHUNK_BITS).alias("at"), "tree_size").distinct(), band)
@@ -197,12 +234,16 @@ def inclusion_proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             upper = above.select(F.col("at").alias("up"), "tree_size", F.col("path").alias("rest"))
             here = here.withColumn("up", F.shiftright("at", CHUNK_BITS)).join(upper, ["up", "tree_size"]).select("at", "tree_size", F.concat("path", "rest").alias("path"))
         above = here
-    out, path = wanted, F.col("_path")
-    if above is not None:
-        upper = above.select(F.col("at").alias("_up"), "tree_size", F.col("path").alias("_rest"))
-        out, path = out.withColumn("_up", F.shiftright("log_index", CHUNK_BITS)).join(upper, ["_up", "tree_size"]), F.concat("_path", "_rest")
-    lowest = paths(0).select(F.col("at").alias("log_index"), "tree_size", F.col("path").alias("_path"))
-    return out.join(lowest, ["log_index", "tree_size"]).withColumn("proof", path).select(*wanted.columns, "proof")
+    # Rows of one chunk and size meet its nodes as one list, so that these are not copied for every row.
+    lists = wanted.withColumn("_chunk", F.shiftright(F.col("log_index").cast("long"), CHUNK_BITS)).repartition("_chunk").groupBy("_chunk", "tree_size").agg(F.collect_list(F.struct(*wanted.columns)).alias("_rows"))
+    path = lambda r: F.coalesce(_low_path(F.col("_hashes"), r["log_index"].cast("long"), F.col("tree_size").cast("long")), F.array().cast("array<string>"))
+    met = lists.join(_chunk_rows(nodes), "_chunk", "left").select("_chunk", F.explode(F.transform("_rows", lambda r: F.struct(r.alias("row"), path(r).alias("path")))).alias("_x"))
+    low = met.select("_chunk", "_x.row.*", F.col("_x.path").alias("_path"))
+    if above is None:
+        return low.select(*wanted.columns, F.col("_path").alias("proof"))
+    upper = above.select(F.col("at").alias("_chunk"), "tree_size", F.col("path").alias("_rest"))
+    few = wanted.select(F.shiftright("log_index", CHUNK_BITS), "tree_size").distinct().count() <= BROADCAST_PATHS
+    return low.join(F.broadcast(upper) if few else upper, ["_chunk", "tree_size"]).select(*wanted.columns, F.concat("_path", "_rest").alias("proof"))
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:

@@ -88,3 +88,19 @@ def test_consistency_proofs_of_all_sizes(spark):
         assert integrity.verify_consistency(bad).where("status = 'consistent'").count() == 0
     odd = spark.createDataFrame([(5, 3, "a", "b"), (0, 3, "a", "b")], "first_size long, second_size long, first_root string, second_root string").withColumn("proof", F.array().cast("array<string>"))
     assert {r.status for r in integrity.verify_consistency(odd).collect()} == {"sizes out of order"}
+
+
+def test_low_levels_of_proofs_make_no_row_a_level(spark):
+    """Over more than one chunk and several sizes, repeated requests and further columns included; a row for each level used to go through two shuffles."""
+    n = 5000
+    leaves = spark.range(n).select(F.col("id").alias("log_index"), F.sha2(F.col("id").cast("string"), 256).alias("event_hash")).cache()
+    nodes = integrity.merkle_build(leaves).cache()
+    sizes = spark.createDataFrame([(1,), (7,), (4096,), (4097,), (4999,), (n,)], "tree_size long")
+    wanted = leaves.where("log_index % 97 IN (0, 1) OR log_index > 4090 AND log_index < 4100 OR log_index < 8 OR log_index > 4990").join(F.broadcast(sizes)).where("log_index < tree_size")
+    proofs = integrity.inclusion_proofs(nodes, wanted.union(wanted.where("log_index = 4")))
+    assert wanted.where("log_index = 4").count() == 5
+    got = integrity.verify_inclusion(proofs.join(integrity.root_at_size(nodes, sizes), "tree_size")).groupBy("status").count().collect()
+    assert [(r.status, r["count"]) for r in got] == [("verified", wanted.count() + 5)]
+    one = integrity.inclusion_proofs(nodes, wanted.where("tree_size = 4096"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 3  # two of the layers of the tree, one of requests, none of levels
