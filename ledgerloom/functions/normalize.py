@@ -108,25 +108,28 @@ def response(raw: Column, mode: str = "summary") -> Column:
 
 def normalize_tool_events(df: DataFrame, raw: str, source: str, mode: str = "summary") -> DataFrame:
     """Adds event_type, target, content, metadata, response and source to rows of tool hooks."""
-    clean = strip_bom(F.col(raw))
-    tool, hook = F.coalesce(field(clean, "tool_name"), F.lit("unknown")), field(clean, "hook_event_name")
-    return df.withColumns({"event_type": event_type(tool, hook), "target": target(tool, clean), "content": content(tool, clean), "metadata": metadata(clean), "response": response(clean, mode), "source": F.lit(source)})
+    parsed = df.withColumn("_clean", strip_bom(F.col(raw))).withColumns({"_tool": F.coalesce(field(F.col("_clean"), "tool_name"), F.lit("unknown")), "_hook": field(F.col("_clean"), "hook_event_name")})
+    clean, tool, hook = F.col("_clean"), F.col("_tool"), F.col("_hook")
+    return parsed.withColumns({"event_type": event_type(tool, hook), "target": target(tool, clean), "content": content(tool, clean), "metadata": metadata(clean), "response": response(clean, mode), "source": F.lit(source)}).drop("_clean", "_tool", "_hook")
 
 
 def normalize_lifecycle(df: DataFrame, raw: str, source: str) -> DataFrame:
-    """The same for lifecycle hooks; elicitation answers and displayed messages leave their byte length alone. Rows of other hooks are dropped."""
-    clean = strip_bom(F.col(raw))
-    hook = field(clean, "hook_event_name")
-    kind = aim = kept = F.lit(None).cast("string")
-    for name, (etype, prefix, last, missing, names) in LIFECYCLE.items():
+    """The same for lifecycle hooks; elicitation answers and displayed messages leave their byte length alone. Rows of other hooks are dropped.
+
+    The hook's name is a column of its own, so that it is read once a row, and a field only where the hook has it.
+    """
+    parsed = df.withColumn("_clean", strip_bom(F.col(raw))).withColumn("_hook", field(F.col("_clean"), "hook_event_name")).where(F.col("_hook").isin(*LIFECYCLE))
+    clean, hook = F.col("_clean"), F.col("_hook")
+    kind = aim = F.lit(None).cast("string")
+    for name, (etype, prefix, last, missing, _) in LIFECYCLE.items():
         own = hook == name
         kind = F.when(own, etype).otherwise(kind)
         aim = F.when(own, F.concat(F.lit(prefix), F.coalesce(field(clean, last), F.lit(missing))) if last else F.lit(prefix)).otherwise(aim)
-        kept = F.when(own, F.lit(",".join(names))).otherwise(kept)
-    every = tuple(sorted({n for *_, names in LIFECYCLE.values() for n in names}))
-    fields = F.map_filter(metadata(clean, every), lambda k, _: F.array_contains(F.split(kept, ","), k))
+    having = lambda n: [h for h, (*_, names) in LIFECYCLE.items() if n in names]
+    every = sorted({n for *_, names in LIFECYCLE.values() for n in names})
+    fields = F.map_filter(F.create_map(*(x for n in every for x in (F.lit(n), F.when(hook.isin(*having(n)), field(clean, n))))), lambda _, v: v.isNotNull())
     length = F.when(hook == "ElicitationResult", F.octet_length(F.coalesce(field(clean, "content"), F.lit("")))).when(hook == "MessageDisplay", F.octet_length(F.coalesce(field(clean, "message"), F.lit(""))))
-    return df.withColumns({"event_type": kind, "target": aim, "metadata": fields, "byte_len": length.cast("long"), "source": F.lit(source)}).where("event_type IS NOT NULL")
+    return parsed.withColumns({"event_type": kind, "target": aim, "metadata": fields, "byte_len": length.cast("long"), "source": F.lit(source)}).drop("_clean", "_hook")
 
 
 def prompt_metadata(df: DataFrame, raw: str, most: int = 4096) -> DataFrame:
