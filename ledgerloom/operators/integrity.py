@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 12
 #: Paths above chunks that go to every executor, at most, of some 2 KB each; more are joined by chunk.
 BROADCAST_PATHS = 1 << 15
+#: Rows of a side that one task of a tamper scan meets, about.
+SCAN_ROWS = 1 << 17
 #: Columns of a tree.
 NODES = "level int, idx long, hash string"
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -340,7 +342,10 @@ def verify_consistency(proofs: DataFrame) -> DataFrame:
 
 
 def tamper_scan(events: DataFrame, stored_leaves: DataFrame, width: int = 65_536) -> DataFrame:
-    """Rows (log_index, problem): a leaf that differs from the stored one, a repeated index, a missing one. Gaps are found within index ranges, so no task sees the whole log."""
+    """Rows (log_index, problem): a leaf that differs from the stored one, a repeated index, a missing one. Both sides are dealt by index into as many tasks as keep each near SCAN_ROWS, so that a task's memory does not grow with the log."""
+    rows, set_to = max(events.count(), stored_leaves.count()), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(set_to, -(-rows // SCAN_ROWS))
+    events, stored_leaves = events.repartition(tasks, "log_index"), stored_leaves.repartition(tasks, "idx")
     differs = events.join(stored_leaves.select(F.col("idx").alias("log_index"), F.col("hash").alias("stored")), "log_index", "left").where("stored IS NULL OR stored <> event_hash").select("log_index", F.lit("leaf differs").alias("problem"))
     repeated = events.groupBy("log_index").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("log_index", F.lit("duplicate").alias("problem"))
     missing = stored_leaves.select(F.col("idx").alias("log_index")).join(events, "log_index", "left_anti").select("log_index", F.lit("missing").alias("problem"))

@@ -104,3 +104,13 @@ def test_low_levels_of_proofs_make_no_row_a_level(spark):
     one = integrity.inclusion_proofs(nodes, wanted.where("tree_size = 4096"))
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(") == 3  # two of the layers of the tree, one of requests, none of levels
+
+
+def test_a_tamper_scan_has_more_tasks_for_more_rows(spark, monkeypatch):
+    """The tasks used to be as many as the session sets, however long the log."""
+    monkeypatch.setattr(integrity, "SCAN_ROWS", 100, raising=False)
+    leaves = spark.range(2000).select(F.col("id").alias("log_index"), F.col("id").cast("string").alias("event_hash"))
+    bad = leaves.where("log_index <> 3").withColumn("event_hash", F.when(F.col("log_index") == 1, "x").otherwise(F.col("event_hash"))).union(leaves.where("log_index = 2"))
+    out = integrity.tamper_scan(bad, leaves.select(F.col("log_index").alias("idx"), F.col("event_hash").alias("hash")))
+    assert sorted(map(tuple, out.collect())) == [(1, "leaf differs"), (2, "duplicate"), (3, "missing")]
+    assert "RepartitionByExpression [log_index" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "], 20" in plan
