@@ -8,8 +8,11 @@ with the wrapper so far, level by level along a longest common subsequence: what
 becomes optional, and a text slot stays constant only while all pages have the same text there (a
 repeated slot: the same texts). All pages of a host count, not a sample: streams are aligned in
 bounded groups, whose wrappers are aligned in turn, until one is left. A wrapper has at most CHILDREN
-items a level and ITEMS in all: optional items seen least go, and a page's slot that the wrapper lacks
-counts as variable, so that the bound never costs text.
+items a level and ITEMS in all: optional items seen least go. Where any went, the host's pages are
+aligned once more, each with the wrapper that is left, and all slots of all pages are counted, exactly
+and in no one place: those that stand in the wrapper by slot, the rest by path and number among the
+page's slots of that path. These counts decide the container and the constants of that host; a slot
+of fewer than LEAST_PAGES pages is variable there, so that the bound never costs text.
 
 Extraction: the wrapper names the host's content container, outside regions which are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by tag, role, class or id: an article or main
@@ -36,7 +39,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from zlib import crc32
@@ -351,18 +354,22 @@ def stream_of(held: list[tuple[tuple[list, ...], str]]) -> list:
     return folded(root)
 
 
-def bounded(items: list, room: int = ITEMS) -> list:
-    """The items without those optional ones seen least, so that no level and not the whole is too large; room is shared out evenly."""
+def bounded(items: list, room: int | None = None, lost: list | None = None) -> list:
+    """The items without those optional ones seen least, so that no level and not the whole is too large; room (ITEMS) is shared out evenly. lost gets an entry wherever any go."""
+    room, lost = ITEMS if room is None else room, [] if lost is None else lost
     if len(items) > (most := max(1, min(CHILDREN, room))):
+        lost.append(True)
         keep = sorted(sorted(range(len(items)), key=lambda k: (-items[k][3 if items[k][0] == "t" else -1], k))[:most])
         items = [items[k] for k in keep]
     share = (room - len(items)) // max(1, sum(x[0] != "t" for x in items))
-    return [[*x[:4], []] if x[0] == "t" else [*x[:-4], bounded(x[-4], share), *x[-3:]] if share > 0 else [*x[:-4], [], *x[-3:]] for x in items]
+    if share <= 0 and any(x[0] != "t" and x[-4] for x in items):
+        lost.append(True)
+    return [[*x[:4], []] if x[0] == "t" else [*x[:-4], bounded(x[-4], share, lost), *x[-3:]] if share > 0 else [*x[:-4], [], *x[-3:]] for x in items]
 
 
-def align(wrapper: list, stream: list) -> list:
+def align(wrapper: list, stream: list, lost: list | None = None) -> list:
     """The wrapper generalised so that it also fits the stream (itself possibly a wrapper)."""
-    return bounded(merged_lists(wrapper, stream, False))
+    return bounded(merged_lists(wrapper, stream, False), lost=lost)
 
 
 def constants(wrapper: list, stream: list, out: set[int]) -> set[int]:
@@ -377,6 +384,45 @@ def constants(wrapper: list, stream: list, out: set[int]) -> set[int]:
     return out
 
 
+def _texts(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
+    """Path and text slot, in order."""
+    for item in items:
+        if item[0] == "t":
+            yield path, item
+        else:
+            yield from _texts(item[-4], path if item[0] == "g" else (*path, item[1]))
+
+
+def numbered(wrapper: list) -> list:
+    """The wrapper, whose text slots hold their number."""
+    for number, (_, item) in enumerate(_texts(wrapper)):
+        item[4] = [number]
+    return wrapper
+
+
+def _placed(wrapper: list, stream: list, path: tuple[str, ...] = ()) -> Iterator[tuple[int, tuple[str, ...], list]]:
+    wrapper, stream, places = aligned(wrapper, stream)
+    at = {l: k for k, l in places}  # noqa: E741
+    for place, item in enumerate(stream):
+        if place not in at:
+            yield from ((-1, *found) for found in _texts([item], path))
+            continue
+        x, y = bare(wrapper[at[place]]), bare(item)
+        if x[0] == "t":
+            yield x[4][0], path, y
+        else:
+            yield from _placed(x[-4], y[-4], path if y[0] == "g" else (*path, y[1]))
+
+
+def placed(wrapper: list, stream: list) -> Iterator[tuple[int, tuple[str, ...], int, list]]:
+    """Every text slot of a page: the number of the numbered wrapper's slot at which it stands, or -1 where that has none; its path; for -1 its number among the page's such slots of that path; the slot."""
+    met: dict[tuple[str, ...], int] = {}
+    for number, path, item in _placed(wrapper, stream):
+        if number < 0:
+            met[path] = met.get(path, -1) + 1
+        yield number, path, met[path] if number < 0 else 0, item
+
+
 def _weights(items: list, path: tuple[str, ...], out: dict[tuple[str, ...], list[int]]) -> None:
     """Characters of variable and of constant slots by path; away regions count for nothing."""
     for item in items:
@@ -394,12 +440,18 @@ def content_path(wrapper: list) -> tuple[tuple[str, ...], bool]:
     and whether constant slots in it may be the template's."""
     weights: dict[tuple[str, ...], list[int]] = {}
     _weights(wrapper, (), weights)
-    variable, constant = (sum(w[k] for w in weights.values()) for k in (0, 1))
-    varies = variable > 0 and 3 * variable >= constant
-    total: dict[tuple[str, ...], int] = {}
-    for own, (v, c) in weights.items():
+    within: dict[tuple[str, ...], list[int]] = {}
+    for own, counts in weights.items():
         for k in range(len(own) + 1):
-            total[own[:k]] = total.get(own[:k], 0) + (v if varies else v + c)
+            within[own[:k]] = [a + b for a, b in zip(within.get(own[:k], (0, 0)), counts)]
+    return container(within)
+
+
+def container(within: dict[tuple[str, ...], list[int]]) -> tuple[tuple[str, ...], bool]:
+    """``content_path`` of the characters of variable and of constant slots below each path. Paths with at most half of them are needed only where they hold all."""
+    variable, constant = within.get((), (0, 0))
+    varies = variable > 0 and 3 * variable >= constant
+    total = {p: v if varies else v + c for p, (v, c) in within.items()}
     here: tuple[str, ...] = ()
     if named := [p for p in total if p and p[-1].split()[0] in ("article", "main") and 2 * total[p] > total[()]]:
         return max(named, key=lambda p: (p[-1].split()[0] == "article", total[p], p)), False
@@ -408,20 +460,20 @@ def content_path(wrapper: list) -> tuple[tuple[str, ...], bool]:
         if total[best] < total[here] or not total[here]:
             break
         here = best
-    return here, varies and any(c for own, (_, c) in weights.items() if own[: len(here)] == here)
+    return here, varies and within[here][1] > 0
 
 
-def main_text(page: str, path: tuple[str, ...], wrapper: list | None = None) -> str:
+def main_text(page: str, path: tuple[str, ...], wrapper: list | None = None, also: Iterable[int] = ()) -> str:
     """The texts of the blocks under the container at path that lie in no away region, one a line; where all lie in one, of those in regions that are away by name alone.
 
-    With a wrapper, constant slots of the template go.
+    With a wrapper, constant slots of the template go, and so do the blocks with the numbers in also.
     """
     held = lines(page)
     every = [(tuple(map(label_of, line)), number, text) for number, (line, text) in enumerate(held)]
     for found in ([b for b in every if not any(e[2] for e in held[b[1]][0])], [b for b in every if not any(e[2] == "tag" or e[0] in AWAY and e[2] for e in held[b[1]][0])]):
         inside = [b for b in found if path and b[0][: len(path)] == path]
         if inside and wrapper:
-            inside = without_template(inside, held, len(path), constants(wrapper, stream_of(held), set()))
+            inside = without_template(inside, held, len(path), constants(wrapper, stream_of(held), set(also)))
         for tag in ("article", "main"):
             inside = inside or [b for b in found if any(x.split()[0].removeprefix("!") == tag for x in b[0])]
         if inside := inside or found:
@@ -442,30 +494,96 @@ def without_template(inside: list, held: list, depth: int, constant: set[int]) -
 
 def _merge_streams(group: pa.Table) -> pa.Table:
     wrapper: list | None = None
+    lost = [True for short in group.column("short").to_pylist() if short]
     for stream in sorted(group.column("stream").to_pylist()):
-        wrapper = json.loads(stream) if wrapper is None else align(wrapper, json.loads(stream))
-    return pa.table({"host": [group.column("host")[0].as_py()], "stream": [json.dumps(wrapper, ensure_ascii=False)]})
+        wrapper = json.loads(stream) if wrapper is None else align(wrapper, json.loads(stream), lost)
+    return pa.table({"host": [group.column("host")[0].as_py()], "stream": [json.dumps(wrapper, ensure_ascii=False)], "short": [bool(lost)]})
+
+
+def _met(own: DataFrame, wrappers: DataFrame, size: int, how: str) -> DataFrame:
+    """Pages (host, html, ...) with the wrappers of their hosts; size: the characters of all wrappers."""
+    if size <= BROADCAST_CHARS:
+        return own.join(F.broadcast(wrappers), "host", how)
+    # A host's pages are dealt out: each share meets a copy of its wrapper.
+    dealt = own.withColumn("share", F.pmod(F.xxhash64("html"), F.lit(SHARES)).cast("int"))
+    return dealt.join(wrappers.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["host", "share"], how)
+
+
+def _counted(own: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, content, templated and wrapper (constants and pages set anew), one row a host, and with rest (``_rest``) one for each constant slot of the content that it has no room for.
+
+    own: host and html; wrappers: host and stream, from which items went. The counts are those of all slots of all pages.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            found: dict[tuple, list[int]] = {}
+            for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "stream"))):
+                for number, path, k, item in placed(_numbered(wrapper), stream_of(lines(page or ""))):
+                    lo, hi, pages, chars = found.get((host, path, number, k), (item[1], item[1], 0, 0))
+                    found[host, path, number, k] = [min(lo, item[1]), max(hi, item[1]), pages + 1, chars + item[2]]
+            columns = [*zip(*found)], [*zip(*found.values())]
+            hosts, paths, numbers, ks = columns[0] or ((),) * 4
+            arrays = [pa.array(hosts, pa.string()), pa.array([list(p) for p in paths], pa.list_(pa.string())), pa.array(numbers, pa.int32()), pa.array(ks, pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1] or ((),) * 4)]
+            yield pa.record_batch(arrays, names=["host", "path", "slot", "k", "lo", "hi", "pages", "chars"])
+
+    size = wrappers.agg(F.sum(F.length("stream") + F.length("host"))).first()[0] or 0
+    rows = _met(own, wrappers, size, "inner").select("host", "html", "stream").mapInArrow(slots, "host string, path array<string>, slot int, k int, lo long, hi long, pages long, chars long")
+    counts = cut(rows.groupBy("host", "path", "slot", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars")))
+
+    below = F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")
+    seen = counts.where(~F.exists("path", lambda label: F.startswith(label, F.lit("!")))).withColumn("same", (F.col("lo") == F.col("hi")) & (F.col("pages") >= LEAST_PAGES))
+    within = seen.select("host", below, F.when(~F.col("same"), F.col("chars")).otherwise(0).alias("v"), F.when(F.col("same"), F.col("chars")).otherwise(0).alias("c")).groupBy("host", "path").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+    whole = within.where(F.size("path") == 0).select("host", F.col("v").alias("all_v"), F.col("c").alias("all_c"))
+    # Only what holds over half of either is a candidate: a few nested elements a host.
+    most = within.join(whole, "host").where("2 * v > all_v OR 2 * (v + c) > all_v + all_c OR size(path) = 0").groupBy("host").agg(F.collect_list(F.struct("path", "v", "c")).alias("within"))
+    kept = counts.where("slot >= 0").groupBy("host").agg(F.collect_list(F.struct("slot", "lo", "hi", "pages")).alias("slots"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, stream, within, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "within", "slots"))):
+                path, templated = container({tuple(w["path"]): [w["v"], w["c"]] for w in within or ()})
+                wrapper, held = numbered(json.loads(stream)), {x["slot"]: x for x in slots or ()}
+                for _, item in _texts(wrapper):
+                    x = held.get(item[4][0])
+                    item[1], item[3] = (x["lo"] if x["lo"] == x["hi"] else None, x["pages"]) if x else (None, 0)
+                yield pa.record_batch([pa.array([host]), pa.array([json.dumps(wrapper, ensure_ascii=False)]), pa.array([json.dumps(path, ensure_ascii=False)]), pa.array([templated]), pa.array([list(path)], pa.list_(pa.string()))], names=["host", "wrapper", "content", "templated", "path"])
+
+    found = wrappers.join(most, "host", "left").join(kept, "host", "left").select("host", "stream", "within", "slots")
+    hosts = cut(found.mapInArrow(finish, "host string, wrapper string, content string, templated boolean, path array<string>"))
+    rest = counts.where(f"slot < 0 AND lo = hi AND pages >= {LEAST_PAGES}").join(hosts.where("templated").select("host", F.col("path").alias("content_path")), "host").where(F.slice("path", 1, F.size("content_path")) == F.col("content_path"))
+    return hosts.select("host", "wrapper", "content", "templated", F.lit(None).cast("string").alias("rest")).union(
+        rest.select("host", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.concat_ws("\n", "path", F.col("k").cast("string")))
+    )
+
+
+def _rest(path: tuple[str, ...], k: int) -> str:
+    """The name of a slot that a wrapper has no room for."""
+    return "\n".join([*path, str(k)])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper and content (JSON: the wrapper, and the path of its container); one row a host."""
+    """host, wrapper and content (JSON: the wrapper, and the path of its container), templated; one row a host. Rows with rest besides, each a constant slot that the host's wrapper has no room for."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             held: dict[str, list] = {}
+            lost: dict[str, list] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                stream = bounded(stream_of(lines(page or "")))
-                held[host] = align(held[host], stream) if host in held else stream
-            yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w in held.values()], pa.string())], names=["host", "stream"])
-
-    schema = "host string, stream string"
-    state = cut(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(streams, schema))
+                of_host = lost.setdefault(host, [])
+                stream = bounded(stream_of(lines(page or "")), lost=of_host)
+                held[host] = align(held[host], stream, of_host) if host in held else stream
+            yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w in held.values()], pa.string()), pa.array([bool(lost[h]) for h in held], pa.bool_())], names=["host", "stream", "short"])
+
+    schema = "host string, stream string, short boolean"
+    own = pages.select(host_of(F.col("url")).alias("host"), "html")
+    state = cut(own.mapInArrow(streams, schema))
     while True:
         # Streams of a host go to as many groups as keep each near GROUP_STREAMS.
         sizes = state.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         grouped = state.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("stream", F.monotonically_increasing_id()), F.ceil(F.col("n") / GROUP_STREAMS)))
         state = cut(grouped.groupBy("host", "part").applyInArrow(_merge_streams, schema))
-        most = state.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        most, short = state.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short")).agg(F.max("n"), F.max("short")).first()
         if most is None or most == 1:
             break
 
@@ -474,7 +592,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             found = [content_path(json.loads(w)) for w in batch.column("stream").to_pylist()]
             yield pa.record_batch([batch.column("host"), batch.column("stream"), pa.array([json.dumps(path, ensure_ascii=False) for path, _ in found], pa.string()), pa.array([any_ for _, any_ in found], pa.bool_())], names=["host", "wrapper", "content", "templated"])
 
-    return state.mapInArrow(finish, "host string, wrapper string, content string, templated boolean")
+    whole = state.where("NOT short").mapInArrow(finish, "host string, wrapper string, content string, templated boolean").withColumn("rest", F.lit(None).cast("string"))
+    return whole.union(_counted(own, state.where("short").select("host", "stream"))) if short else whole
 
 
 @lru_cache(maxsize=1_000)
@@ -482,23 +601,48 @@ def _loaded(text: str | None) -> list | None:
     return json.loads(text) if text else None
 
 
+@lru_cache(maxsize=1_000)
+def _numbered(text: str) -> list:
+    return numbered(json.loads(text))
+
+
+def _rest_blocks(own: DataFrame, wrappers: DataFrame, size: int) -> DataFrame:
+    """host, page (a digest of its html) and also, the numbers of the page's blocks that stand at constant slots for which its host's wrapper has no room."""
+    rest = wrappers.where("rest IS NOT NULL").select("host", "rest")
+    hosts = wrappers.where("rest IS NULL").join(rest.select("host").distinct(), "host", "left_semi").select("host", "content", "wrapper")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            out: list[tuple] = []
+            for host, page, html, content, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html", "content", "wrapper"))):
+                inside = tuple(_loaded(content))
+                out += [(host, page, _rest(path, k), item[4]) for number, path, k, item in placed(_numbered(wrapper), stream_of(lines(html or ""))) if number < 0 and path[: len(inside)] == inside]
+            columns = [*zip(*out)] or ((),) * 4
+            yield pa.record_batch([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int32()))], names=["host", "page", "rest", "blocks"])
+
+    found = _met(own, hosts, size, "inner").select("host", "page", "html", "content", "wrapper").mapInArrow(slots, "host string, page string, rest string, blocks array<int>")
+    dealt = found.withColumn("share", F.pmod(F.xxhash64("page"), F.lit(SHARES)).cast("int"))
+    copies = rest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(copies, ["host", "rest", "share"]).groupBy("host", "page").agg(F.flatten(F.collect_set("blocks")).alias("also"))
+
+
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars; one row a page."""
     wrappers = infer_wrappers(pages) if wrappers is None else wrappers
     # Only wrappers with constants of a template are sent; of the others the container is enough.
-    wrappers = cut(wrappers.select("host", "content", F.when(F.col("templated"), F.col("wrapper")).alias("wrapper")))
-    size = wrappers.agg(F.sum(F.length("content") + F.length("host") + F.coalesce(F.length("wrapper"), F.lit(0)))).first()[0] or 0
+    wrappers = cut(wrappers.select("host", "content", F.when(F.col("templated"), F.col("wrapper")).alias("wrapper"), "rest"))
+    size, n_rest = wrappers.agg(F.sum(F.length("content") + F.length("host") + F.coalesce(F.length("wrapper"), F.lit(0))), F.count("rest")).first()
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if size <= BROADCAST_CHARS:
-        joined = own.join(F.broadcast(wrappers), "host", "left")
+    if n_rest:
+        own = own.withColumn("page", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+        own = own.join(_rest_blocks(own, wrappers, size), ["host", "page"], "left")
     else:
-        # A host's pages are dealt out: each share meets a copy of its wrapper.
-        dealt = own.withColumn("share", F.pmod(F.xxhash64("html"), F.lit(SHARES)).cast("int"))
-        joined = dealt.join(wrappers.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["host", "share"], "left")
+        own = own.withColumn("also", F.lit(None).cast("array<int>"))
+    joined = _met(own, wrappers.where("rest IS NULL").drop("rest"), size or 0, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            texts = [main_text(page or "", tuple(_loaded(content) or ()), _loaded(wrapper)) for page, content, wrapper in zip(*(batch.column(c).to_pylist() for c in ("html", "content", "wrapper")))]
+            texts = [main_text(page or "", tuple(_loaded(content) or ()), _loaded(wrapper), also or ()) for page, content, wrapper, also in zip(*(batch.column(c).to_pylist() for c in ("html", "content", "wrapper", "also")))]
             yield pa.record_batch([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "content", "wrapper").mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", "html", "content", "wrapper", "also").mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -967,6 +967,41 @@ def test_wrappers_joined_by_host_give_the_same(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == want
 
 
+def test_slots_that_a_wrapper_has_no_room_for_are_counted_too(spark, monkeypatch):
+    """More regions a level than a wrapper holds, the text's among the last: constant ones go, the text stays, as with a wrapper without bounds."""
+    head = "".join(f"<div class=k{n}><p>Offer {n} of the portal</p></div>" for n in range(html_wrappers.CHILDREN + 30))
+    pages = []
+    for k in range(6):
+        a, b = words(120, 900 + k), words(90, 950 + k)
+        own = f"<div class=o{k}>Alone {k}</div>" if k % 2 else ""
+        pages.append((k, "http://wide.example/x", f"<body>{head}{own}<div class=t1><p>{a}</p></div><div class=t2><p>{b}</p><h2>Method</h2><p>{a}</p></div><div class=t3>All rights kept</div><div class=t3><b>Imprint</b></div></body>"))
+    pages += [(10 + k, "http://plain.example/x", BOILERPLATE.format(a=words(9, k), b=words(9, 50 + k), c=words(9, 90 + k))) for k in range(6)]
+    pages += [(20, "http://wide.example/y", pages[0][2]), (21, "http://wide.example/z", None)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(rows).collect()}
+    assert not any("Offer" in text or "rights" in text or "Imprint" in text for text in got.values())
+    assert got[1].startswith("Alone 1\n") and got[0].count("\n") == 3 and got[0].split("\n")[2] == "Method" and got[20] == got[0] and got[21] == ""
+    with monkeypatch.context() as m:  # in this process alone: executors keep the bounds
+        m.setattr(html_wrappers, "CHILDREN", 1 << 20)
+        m.setattr(html_wrappers, "ITEMS", 1 << 40)
+        for host in ("wide", "plain"):
+            own, wrapper = [(k, page or "") for k, url, page in pages if host in url], None
+            for _, page in own:
+                wrapper = html_wrappers.align(wrapper, items_of(page)) if wrapper else html_wrappers.bounded(items_of(page))
+            path, templated = html_wrappers.content_path(wrapper)
+            assert {k: got[k] for k, _ in own} == {k: html_wrappers.main_text(page, path, wrapper if templated else None) for k, page in own}
+    monkeypatch.setattr(html_wrappers, "BROADCAST_CHARS", 0)
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == got
+
+
+def test_an_article_that_a_wrapper_has_no_room_for_is_the_container(spark):
+    """Every page has its own names before its article, so that the article's place is past the bound."""
+    pages = [(k, "http://names.example/x", "<body>" + "".join(f"<div id=n{k}-{n}>{words(4, 100 * k + n)}</div>" for n in range(90)) + f"<article><p>{words(1500, 7000 + k)}</p></article><div class=z>end</div></body>") for k in range(4)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert html_wrappers.infer_wrappers(rows).where("rest IS NULL").first().content == '["body", "article"]'
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == {k: words(1500, 7000 + k) for k in range(4)}
+
+
 def test_wrapper_size_is_bounded():
     def size(items):
         return sum(1 if x[0] == "t" else 1 + size(x[-4]) for x in items)
