@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rollout as R
-from ..functions.scratch import scratch
+from ..functions.scratch import discard, scratch
 from ..operators import indexing as X
-from ..sources import tail
 from ..sources import transcripts as S
 from ..sources.index_store import Store, Version
 from .catalog import query
@@ -136,25 +135,17 @@ def a25_index_run(s: SparkSession, d: str) -> DataFrame:
 
 
 def write_named(lines: DataFrame, folder: str) -> str:
-    """Writes lines (file, ord, value) to one file each, whose names stay: file-<k>.jsonl. A task streams its files."""
-    fs, path, _ = tail._open(folder)
-    fs.create_dir(path, recursive=True)
-
-    def run(batches):  # noqa: ANN001, ANN202
-        out, at = None, None
-        for batch in batches:
-            for file, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                if file != at:
-                    if out:
-                        out.close()
-                    fs, path, _ = tail._open(f"{folder}/file-{file}.jsonl")
-                    out, at = fs.open_output_stream(path), file
-                out.write(value.encode() + b"\n")
-        if out:
-            out.close()
-        yield from ()
-
-    lines.repartition(FILES, "file").sortWithinPartitions("file", "ord").select("file", "value").mapInArrow(run, "file long").count()
+    """Writes lines (file, ord, value) to one file each, whose names stay: file-<k>.jsonl. Spark writes them, no Python holds lines; the driver renames FILES files."""
+    s, drafts = lines.sparkSession, f"{folder}/_drafts"
+    lines.repartition(FILES, "file").sortWithinPartitions("file", "ord").select("file", "value").write.mode("overwrite").partitionBy("file").text(drafts)
+    path = s._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(s._jsc.hadoopConfiguration())
+    for draft in fs.globStatus(path(f"{drafts}/file=*/part-*")):
+        name = path(f"{folder}/file-{draft.getPath().getParent().getName().removeprefix('file=')}.jsonl")
+        fs.delete(name, False)
+        if not fs.rename(draft.getPath(), name):
+            raise OSError(f"{name.toString()} could not be written")
+    discard(s, drafts)
     return folder
 
 

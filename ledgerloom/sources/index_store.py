@@ -57,7 +57,7 @@ class Store:
         if not numbers:
             return Version()
         at = numbers[-1] if number is None else number
-        text = self.spark.sparkContext.wholeTextFiles(f"{self.root}/_versions/{at:010d}.json").first()[1]
+        text = self.spark.read.text(f"{self.root}/_versions/{at:010d}.json", wholetext=True).first()[0]
         held = json.loads(text)
         if held["buckets"] != self.buckets:
             raise ValueError(f"the store has {held['buckets']} buckets")

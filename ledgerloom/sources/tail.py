@@ -32,8 +32,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, file_name string, offset long, size long, value string, ended boolean"
-#: Bytes of a part, read at a time, and of a batch of lines.
-PART, CHUNK, BATCH = 64 << 20, 1 << 20, 8 << 20
+#: Bytes of a part, read at a time, and of a batch of lines, and lines of a batch.
+PART, CHUNK, BATCH, BATCH_LINES = 64 << 20, 1 << 20, 1 << 20, 2_000
 
 
 def _open(address: str) -> tuple[pafs.FileSystem, str, str]:
@@ -112,7 +112,7 @@ def rows(part: Part | None) -> Iterator[pa.RecordBatch]:
     for line in lines(part):
         held.append(line)
         size += len(line[1])
-        if size >= BATCH or len(held) == 10_000:
+        if size >= BATCH or len(held) == BATCH_LINES:
             yield batch()
             held, size = [], 0
     if held:

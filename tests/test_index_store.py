@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import indexing
+from ledgerloom.plans import index_queries
+from ledgerloom.sources import tail
 from ledgerloom.sources.index_store import Conflict, Store
 
 PATTERNS = ("mv-[0-9]+",)
@@ -159,3 +161,18 @@ def test_rollouts_are_replaced_with_their_children(spark, tmp_path):
     assert tables(spark, root) == got
     files_now = {json.loads(f)["path"].rsplit("/", 1)[1]: (json.loads(f)["lines"], json.loads(f)["bad_lines"]) for f in got["files"]}
     assert files_now == {"rollout-1.jsonl": (6, 0), "rollout-2.jsonl": (2, 1), "t.jsonl": (1, 0)}
+
+
+def test_files_are_written_and_read_in_small_pieces(spark, tmp_path, monkeypatch):
+    """Python used to hold batches of 10,000 lines: on writing any number of bytes, on reading 8 MB and their copies."""
+    rows = [(k % 3, 1000 - k, f'{{"line": "{k} é {"x" * 5000}"}}') for k in range(1000)]
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
+    for part in (rows, rows[:10]):  # the second time shorter ones take their place
+        index_queries.write_named(spark.createDataFrame(part, "file int, ord int, value string"), f"file://{tmp_path}/named")
+        for f in range(3):
+            assert (tmp_path / "named" / f"file-{f}.jsonl").read_text() == "".join(v + "\n" for n, _, v in reversed(part) if n == f)
+    index_queries.write_named(spark.createDataFrame(rows, "file int, ord int, value string"), f"file://{tmp_path}/named")
+    found = tail.listed(f"file://{tmp_path}/named", "*.jsonl")
+    assert len(found) == 3
+    batches = [b for part in tail.parts(found, {}) for b in tail.rows(part)]
+    assert sum(b.num_rows for b in batches) == 1000 and max(b.nbytes for b in batches) < 2 << 20
