@@ -83,10 +83,12 @@ class Store:
         """A folder of the run for what is not published."""
         return f"{self.root}/{run}/_{name}"
 
-    def write(self, run: str, table: str, rows: DataFrame) -> dict:
-        """Writes rows (with a column bucket) of a run; large buckets are many files."""
+    def write(self, run: str, table: str, rows: DataFrame, key: str | None = None, tasks: int = 0) -> dict:
+        """Writes rows (with a column bucket) of a run; large buckets are many files. With key, rows are dealt by bucket and shares of the key into so many tasks, whatever their bytes."""
         where = f"{self.root}/{run}/{table}"
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(where)
+        share = F.pmod(F.hash(key), F.lit(-(-tasks // self.buckets))) if key else None
+        dealt = rows.hint("rebalance", "bucket") if share is None else rows.repartition(tasks, "bucket", share)
+        dealt.write.partitionBy("bucket").parquet(where)
         kind = StructType([f for f in rows.schema.fields if f.name != "bucket"])
         return {"schema": kind.json(), "buckets": [n.removeprefix("bucket=") for n in self._names(where) if n.startswith("bucket=")]}
 

@@ -46,6 +46,18 @@ def test_queue(spark, tmp_path, monkeypatch):
     assert done[-1] == "e" and queue.dead().count() == 1
 
 
+def test_a_queue_has_more_tasks_for_more_rows(spark, tmp_path, monkeypatch):
+    """The tasks used to be as many as the session sets and small partitions leave, however long the queue."""
+    monkeypatch.setattr("ledgerloom.streaming.queue.TASK_ROWS", 100, raising=False)
+    queue = Queue(spark, str(tmp_path / "q"))
+    queue.put(spark.range(2000).withColumnRenamed("id", "n"))
+    queue.drain(lambda rows: rows.withColumn("error", F.when(F.col("n") % 4 == 0, "no")))
+    assert queue.pending().rdd.getNumPartitions() == 20
+    queue.compact()
+    assert sorted(r.n for r in queue.pending().collect()) == list(range(0, 2000, 4))
+    assert queue.pending().rdd.getNumPartitions() == 5
+
+
 def test_outbox_sends_once_over_restarts(spark, tmp_path):
     """Repeats within a run, in a later run, and in a batch that dies after its write: one receipt each; no batch reads receipts."""
     turns, receipts, sink = (str(tmp_path / n) for n in ("turns", "receipts", "sink"))
