@@ -8,14 +8,18 @@ Method:
    counts (0.75) a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 3. In each bucket all members whose sizes allow a link are verified against its smallest one, on
    full sets. The links found join classes into components.
-4. Buckets that still hold several components are compared in full: members of the component that
-   most of them belong to against all others, and the others among each other. Both are cut into
+4. Buckets whose other members still are of several components are compared in full (the smallest one
+   has met them all): members of the component that most of them belong to against all others, and the
+   others among each other. Both are cut into
    blocks of bounded rows and bytes, each pair of blocks is one group, and a group yields at most one
    link for each component it holds, never its pairs. Counts of common shingles are exact (a product
    of 0/1 matrices over the shingles that occur twice). A large group of near copies and few
    strangers thus costs its members times the blocks of strangers; only a bucket of many components
    of like size is quadratic in its blocks.
 
+Texts move only where they are needed: those of classes that share a bucket, to become sets, and those
+of rows that go or repeat each other, to be told from the ones that a filter (``among``) takes for them.
+
 So no candidate is left out, and neither a bucket nor a group of copies meets in one task: members
 join their pivot's set by shares, and keys with a thousandth of all rows, of which there are at most
 a thousand or so, are joined from a broadcast of HOT_KEYS rows.
@@ -25,7 +29,8 @@ fewer than SHINGLE_WORDS words are one shingle; rows with a null doc_id are link
 carry the smallest id of their component, null where it has none, and of such a component one class is
 kept; rows that repeat a doc_id with the same text share
 its component, and with different texts each row follows its own text; other columns are ignored by
-``resolve`` and pass through ``drop_near_copies``, which drops rows by doc_id and text; an empty
+``resolve`` and pass through ``drop_near_copies``, which drops rows by doc_id and text (texts are told
+apart by 64-bit hashes within a doc_id); an empty
 table gives no rows.
 """
 
@@ -54,6 +59,10 @@ SHARE_MEMBERS = 128
 #: A join's key of more rows than this, and than the HOT_KEYS-th part of all, is hot; so there are at most HOT_KEYS.
 HOT_ROWS = 16_384
 HOT_KEYS = 1024
+#: Bits of a filter for each of its keys, about, and at most in all (8 MB, in maps of MAP_BITS each, as Spark builds them).
+KEY_BITS = 16
+FILTER_BITS = 1 << 26
+MAP_BITS = 1 << 15
 #: Bytes of texts or sets that a task works on at a time.
 STEP_BYTES = 1 << 20
 #: Shares into which a class's members are dealt for the way back to documents.
@@ -158,21 +167,37 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, nameless: bool) -> DataFrame:
-    """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, set_hash, text_hash). nameless: some have no doc_id, and are found by text_hash."""
+def _key(text_hash: Column) -> Column:
+    """A number of doc_id and text; a null doc_id does not count."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_hash)
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with ``maybe``: false only where their key (hashed, long) is none of the n keys; a larger filter is right more often.
+
+    The filter is one broadcast of at most FILTER_BITS, so rows do not move. A join must follow for the rows it lets pass.
+    """
+    bits = max(MAP_BITS, min(FILTER_BITS, 1 << (KEY_BITS * n).bit_length()))
+    place = F.pmod(F.col(key), F.lit(bits))
+    spot = [F.floor(place / MAP_BITS).cast("int").alias("map"), F.pmod(place, F.lit(MAP_BITS)).cast("int").alias("bit")]
+    # Dealt by map first, or each task would send every map.
+    maps = keys.select(*spot).repartition("map").groupBy("map").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
+    byte = F.conv(F.hex(F.substr("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod("bit", F.lit(8))) == 1
+    return rows.select("*", *spot).join(F.broadcast(maps), "map", "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and shingles (64-bit hashes) of the wanted classes (id, doc_id, text_hash), from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, STEP_BYTES):
-            sets = shingle_sets(texts_of(batch))
-            # A doc_id may have other texts too.
-            own = [len(s) > 0 and _set_hash(s) == h for s, h in zip(sets, batch.column("set_hash").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("id").filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, fine in zip(sets, own) if fine], pa.binary())], names=["id", "shingles"])
+            yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts_of(batch))], pa.binary())], names=["id", "shingles"])
 
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.drop("text_hash").hint("shuffle_hash"), "doc_id").select("id", "set_hash", "text")
-    if nameless:
-        texts = docs.where("doc_id IS NULL").groupBy(F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
-        held = held.union(texts.join(wanted.where("doc_id IS NULL").select("id", "set_hash", "text_hash"), "text_hash").select("id", "set_hash", "text"))
-    return held.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    wanted = cut(wanted.select("id", "text_hash", _key(F.col("text_hash")).alias("key")))
+    texts = docs.select(_key(F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    held = among(texts, wanted, "key", wanted.count()).where("maybe").groupBy("key", "text_hash").agg(F.first("text").alias("text"))
+    return held.join(wanted.hint("shuffle_hash"), ["key", "text_hash"]).select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -304,17 +329,23 @@ def _in_blocks(labelled: DataFrame) -> DataFrame:
     return dealt.select("band", "id", "component", F.explode(against).alias("g")).select("band", "id", "component", "g.*")
 
 
-def link(docs: DataFrame, classes: DataFrame, places: DataFrame, nameless: bool) -> DataFrame:
-    """id, component of those classes (id, n, bands) that have a link, from the texts of docs; places (id, doc_id, set_hash, text_hash) tells where a class's text is."""
+def link(docs: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
+    """id, component of those classes (id, n, bands) that have a link, from the texts of docs; places (id, doc_id, text_hash) tells where a class's text is."""
     filed = classes.select("id", "n", F.explode("bands").alias("band"))
+    members = lambda bands: bands.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    # Most bands hold one class; only a count moves for them, and the rows of the others are few.
+    shared = cut(filed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    filed = cut(joined(among(filed, shared, "band", shared.count()).where("maybe").drop("maybe"), shared, "band", "members", members(shared)).drop("members"))
     shape = filed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("least"), F.bit_xor(F.xxhash64("id")).alias("content"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total"))
     # Bands that hold the same classes count once.
-    kept = cut(shape.where("members > 1").groupBy("members", "least", "content", "total").agg(F.min("band").alias("band")).select("band", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"), "members"))
-    buckets = cut(joined(filed, kept, "band", "members", kept.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]))
-    sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi"), nameless))
+    kept = cut(shape.groupBy("members", "least", "content", "total").agg(F.min("band").alias("band")).select("band", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n"), "members"))
+    buckets = cut(joined(filed, kept, "band", "members", members(kept)))
+    sets = cut(_sets_of(docs, places.join(buckets.select("id").distinct(), "id", "left_semi")))
 
     first = components(_star_links(buckets, sets))
-    labelled = cut(buckets.join(first, "id", "left").select("band", "id", "n", "members", F.coalesce("component", "id").alias("component")))
+    # The stars have compared all with the pivot.
+    others = buckets.where("id <> pivot AND members > 2").withColumn("members", F.col("members") - 1)
+    labelled = cut(others.join(first, "id", "left").select("band", "id", "n", "members", F.coalesce("component", "id").alias("component")))
     second = components(_in_blocks(labelled).join(sets, "id").groupBy("band", "kind", "i", "j").applyInArrow(_block_links, "a long, b long"))
     # Components of the second round are made of those of the first.
     merged = first.join(second.withColumnRenamed("component", "outer").withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("outer", "component").alias("component"))
@@ -325,8 +356,8 @@ def _decided(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept; one row a document."""
     marked = cut(features(docs).withColumn("share", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SHARES))))
     worded = marked.where("set_hash IS NOT NULL")
-    leaves = worded.groupBy("set_hash", "share").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("text_hash"))
-    classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("doc_id"), F.min("text_hash").alias("text_hash")))
+    leaves = worded.groupBy("set_hash", "share").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("least"))
+    classes = cut(leaves.groupBy("set_hash").agg(F.min("least").alias("least")).select("set_hash", "least.doc_id", "least.text_hash"))
     # Classes of one doc_id (rows that repeat it with other texts) and classes without one are told apart by their sets.
     repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
     nameless = not classes.where("doc_id IS NULL").isEmpty()
@@ -336,11 +367,13 @@ def _decided(docs: DataFrame) -> DataFrame:
     else:
         own = F.col("doc_id").isNull() | F.coalesce("again", F.lit(False))
         classes = cut(classes.join(repeated, "doc_id", "left").select("set_hash", "doc_id", "text_hash", F.when(own, F.xxhash64("set_hash")).otherwise(F.col("doc_id")).alias("id")))
-    signed = worded.select("doc_id", "set_hash", "n_shingles", "bands").join(classes.select("id", "doc_id", "set_hash"), ["doc_id", "set_hash"]).select("id", "n_shingles", "bands")
+    signature = [F.first("n_shingles").alias("n"), F.first("bands").alias("bands")]
+    named = worded.join(classes.select("id", "doc_id", "set_hash"), ["doc_id", "set_hash"])
+    signed = named.groupBy("doc_id", "set_hash").agg(F.first("id").alias("id"), *signature).select("id", "n", "bands")
     if nameless:
-        once = worded.where("doc_id IS NULL").groupBy("set_hash").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-        signed = signed.union(once.join(classes.where("doc_id IS NULL").select("id", "set_hash"), "set_hash").select("id", "n_shingles", "bands"))
-    linked = link(docs, signed.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), classes.select("id", "doc_id", "set_hash", "text_hash"), nameless)
+        once = worded.where("doc_id IS NULL").groupBy("set_hash").agg(*signature)
+        signed = signed.union(once.join(classes.where("doc_id IS NULL").select("id", "set_hash"), "set_hash").select("id", "n", "bands"))
+    linked = link(docs, cut(signed), classes.select("id", "doc_id", "text_hash"))
     known = classes.join(linked, "id", "left").select("set_hash", "doc_id", "id", F.coalesce("component", "id").alias("component_id"), F.lit(False).alias("heads"))
     if not unique:
         least = known.groupBy("component_id").agg(F.min("doc_id").alias("least_id"), F.min("id").alias("head")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
@@ -359,14 +392,17 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: of each group of linked documents the one with the smallest id. Decided without texts, which move once, to meet the decision; only rows that repeat both id and text meet each other, after each task has kept one of them."""
-    stay = cut(_decided(docs).where("kept").groupBy(F.col("doc_id").alias("_stays"), F.col("text_hash").alias("_stays_text")).agg(F.count(F.lit(1)).alias("_rows")))
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-
-    def held(some: DataFrame) -> DataFrame:
-        return marked.join(some.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(some["_stays"]) & (marked["_text"] == some["_stays_text"]), "left_semi")
-
-    repeated = stay.where("_rows > 1")
-    once = held(stay.where("_rows = 1"))
-    out = once if repeated.isEmpty() else once.unionByName(held(repeated).dropDuplicates(["doc_id", "_text"]))
-    return out.select(*docs.columns)
+    """The rows of docs that stay, all columns: of each group of linked documents the one with the smallest id. Decided without texts; only rows that may go or repeat both id and text move, to meet the decision, and only the latter meet each other, after each task has kept one of them."""
+    some = cut(_decided(docs).groupBy("doc_id", "text_hash").agg(F.count_if("kept").alias("rows")).where("rows <> 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "rows", _key(F.col("text_hash")).alias("key")))
+    text_hash = F.xxhash64("text")
+    tested = among(docs.select("doc_id", text_hash.alias("text_hash"), _key(text_hash).alias("key"), F.struct("*").alias("row")), some, "key", some.count())
+
+    def met(rows: DataFrame, how: str) -> DataFrame:
+        moved = tested.where("maybe")
+        return moved.join(rows.drop("key").hint("shuffle_hash"), moved["doc_id"].eqNullSafe(rows["id"]) & (moved["text_hash"] == rows["hash"]), how)
+
+    out = tested.where("NOT maybe").unionByName(met(some, "left_anti"))
+    repeated = some.where("rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(met(repeated, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return out.select("row.*")

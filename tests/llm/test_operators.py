@@ -760,6 +760,45 @@ def test_hot_keys_join_as_others_do(spark, monkeypatch):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """Of texts without near copies nothing moves, neither to be compared nor to be kept."""
+    texts = [random.Random(k).randbytes(12_000).hex(" ", 4) for k in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " tail") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = shuffled(spark)
+    near_dedup.drop_near_copies(docs).write.parquet(str(tmp_path / "kept"))
+    moved = shuffled(spark) - before
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()} == set(range(300))
+    assert moved < sum(len(t) for _, t in rows) / 4, moved
+
+
+@pytest.mark.parametrize("bits", [8, 64, 1 << 26])
+def test_filters_lose_no_key(spark, monkeypatch, bits):
+    """However full a filter is, keys pass it; a large one holds back most others. Rows that go, stay and repeat are told apart behind it."""
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", bits)
+    if bits < 1 << 15:
+        monkeypatch.setattr(near_dedup, "MAP_BITS", 8)
+    rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("key"), "id").union(spark.createDataFrame([(None, 9999)], "key long, id long"))
+    keys = rows.where("id % 7 = 0").select("key")
+    got = near_dedup.among(rows, keys, "key", keys.count()).collect()
+    assert len(got) == 6001 and all(r.maybe for r in got if r.id % 7 == 0 and r.key is not None)
+    assert sum(r.maybe for r in got) < 1500 or bits == 8 or bits == 64
+    assert not any(r.maybe for r in near_dedup.among(rows, keys.limit(0), "key", 0).collect())
+    a, b, c = (words(60, 400 + k) for k in range(3))
+    table = [(1, a), (2, a + " tail"), (None, b), (None, b), (4, c), (4, c), (5, ""), (6, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k, None) for k, (i, t) in enumerate(table)], "doc_id int, text string, key long, maybe string")
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs).select("doc_id", "text").collect())
+    assert kept == Counter([(1, a), (None, b), (4, c), (5, ""), (6, None), (None, None)])
+    assert near_dedup.drop_near_copies(docs).schema == docs.schema
+
+
 def test_near_dedup_against_all_pairs_of_a_table(spark):
     """Measured recall: links between all documents of sf0.01, found through an index of all shingles, against the operator's classes."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
