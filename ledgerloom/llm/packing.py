@@ -8,7 +8,7 @@ the fullest one closes first.
 
 Tokens: the words of many texts are encoded together. The tokenizer drops white space, cuts words
 by its own pattern and marks each word's last token, so a text's distinct runs without white space
-are cut into words once, distinct words are encoded in one text, and the ids are gathered back
+are cut into words once, distinct words are encoded many in one text, and the ids are gathered back
 with arrays. Nothing is kept from one slice of texts to the next.
 
 Defined results: a null text counts as empty; an empty text is one piece holding the end id
@@ -37,6 +37,9 @@ LANE_DOCUMENTS = 16_384
 #: Lanes number their sequences apart from each other.
 LANE_STRIDE = 1 << 36
 END_ID = 0
+#: Bytes of texts that a task works on at a time, and words that are encoded in one text; the library takes some hundred bytes a token.
+STEP_BYTES = 4 << 20
+WORDS_AT_ONCE = 8192
 
 #: Runs that normalisation leaves as they are but for case, and whose words are cut as below; no special token is spelled with them.
 _PLAIN = "^[!-;=-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00ff]*$"
@@ -105,7 +108,7 @@ class WordEndEncoder:
     def _words(self, words: list[str]) -> Ragged:
         """Each word ends with the first token that ends a word; the empty one has none."""
         held = np.array([w != "" for w in words], bool)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" ".join(words[at : at + WORDS_AT_ONCE])], add_special_tokens=False)[0].ids, "<u4") for at in range(0, max(len(words), 1), WORDS_AT_ONCE)])
         sizes = np.zeros(len(words), np.int64)
         sizes[held] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         return Ragged(ids, np.append(0, np.cumsum(sizes)))
@@ -124,7 +127,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for batch in sized_slices(batches):
+        for batch in sized_slices(batches, STEP_BYTES):
             coded = encoder.encode(batch.column("text"))
             lengths = np.diff(coded.bounds) + 1
             ids = np.full(lengths.sum(), end_id, "<u4")

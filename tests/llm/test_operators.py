@@ -208,6 +208,15 @@ def test_bins_close_at_the_settings_of_the_query():
     assert bins[packing.OPEN_BINS] == packing.OPEN_BINS and bins[-1] == packing.OPEN_BINS - 2
 
 
+@pytest.mark.parametrize("group", [1, 7, 8192])
+def test_words_encode_by_groups(monkeypatch, group):
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", group)
+    texts = [words(40, k) + " it's 12,5 x" for k in range(20)] + ["", " ", None, "one"]
+    library, got = Tokenizer.from_file(WORD), packing.WordEndEncoder(WORD).encode(pa.array(texts, pa.string()))
+    assert [got.ids[a:b].tolist() for a, b in zip(got.bounds, got.bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(packing.WordEndEncoder(WORD).encode(pa.array(["", None], pa.string())).ids) == 0
+
+
 def test_word_end_encoder_equals_the_library():
     library, encoder, r = Tokenizer.from_file(WORD), packing.WordEndEncoder(WORD), random.Random(9)
     pieces = ["the", "ing", " th", "don't", "'S", "'lL", "   ", "\n", "é", "日", "<|endoftext|>", "x1", "'s", "\x1c", "ÀÉ×÷ß", "İ", "K", "ÿ", "\xa0", "<", "|>", "1234", "\u0301", "½²ªºµ"]
