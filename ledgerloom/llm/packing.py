@@ -9,7 +9,7 @@ the fullest one closes first.
 Tokens: the words of many texts are encoded together. The tokenizer drops white space, cuts words
 by its own pattern and marks each word's last token, so a text's distinct runs without white space
 are cut into words once, distinct words are encoded many in one text, and the ids are gathered back
-with arrays. Nothing is kept from one slice of texts to the next.
+with arrays. Runs and words that recur are kept from one slice of texts to the next, in arrays of bounded size.
 
 Defined results: a null text counts as empty; an empty text is one piece holding the end id
 alone; a null doc_id is packed like any other; repeated rows are packed once each; an empty
@@ -19,7 +19,7 @@ names cannot arise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,9 +37,13 @@ LANE_DOCUMENTS = 16_384
 #: Lanes number their sequences apart from each other.
 LANE_STRIDE = 1 << 36
 END_ID = 0
-#: Bytes of texts that a task works on at a time, and words that are encoded in one text; the library takes some hundred bytes a token.
+#: Bytes of texts that a task works on at a time, and words that are encoded at a time; the library takes some hundred bytes a token.
 STEP_BYTES = 4 << 20
 WORDS_AT_ONCE = 8192
+#: Words that are joined to one text; with more of them the library takes longer a word.
+WORDS_A_TEXT = 256
+#: Bytes of kept runs, and as many of kept words. A slice of ordinary texts has 5 to 7 MB of either.
+KEPT_BYTES = 16 << 20
 
 #: Runs that normalisation leaves as they are but for case, and whose words are cut as below; no special token is spelled with them.
 _PLAIN = "^[!-;=-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00ff]*$"
@@ -61,16 +65,61 @@ class Ragged:
         """New lists made of chosen ones: list k joins chosen[ends[k]:ends[k + 1]]."""
         sizes = np.diff(self.bounds)[chosen]
         upto = np.append(0, np.cumsum(sizes))
-        at = np.repeat(self.bounds[:-1][chosen] - upto[:-1], sizes) + np.arange(upto[-1])
+        places = np.int32 if max(len(self.ids), upto[-1]) < 1 << 31 else np.int64
+        at = np.repeat((self.bounds[:-1][chosen] - upto[:-1]).astype(places), sizes)
+        at += np.arange(len(at), dtype=places)
         return Ragged(self.ids[at], upto[ends])
 
 
+class Kept:
+    """Ids of strings that are encoded alone; those that recur stay, in at most ``limit`` bytes of arrays.
+
+    When these are full, the strings used in the fewest slices of late go, until half of the limit is left.
+    """
+
+    #: Bytes a string takes beside its letters and ids: where they end, its uses, and a bit that it is there.
+    OVERHEAD = 17
+    #: Strings of more bytes never stay.
+    LONGEST = 64
+
+    def __init__(self, encode_new: Callable[[pa.StringArray], Ragged], limit: int):
+        self.encode_new, self.limit = encode_new, limit
+        self.names, self.lists = pa.array([], pa.string()), Ragged(np.empty(0, "<u4"), np.zeros(1, np.int64))
+        self.uses = np.empty(0, np.float32)
+
+    def encode(self, strings: pa.StringArray) -> Ragged:
+        """The ids of distinct strings, in the order given."""
+        strings = strings.cast(pa.string())
+        found = pc.index_in(strings, value_set=self.names)
+        new = strings.filter(found.is_null())
+        fresh = self.encode_new(new)
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.uses[at[at >= 0]] += 1
+        at[at < 0] = len(self.names) + np.arange(len(new))
+        known = Ragged(np.concatenate([self.lists.ids, fresh.ids]), np.append(self.lists.bounds, self.lists.bounds[-1] + fresh.bounds[1:]))
+        self._keep(pa.concat_arrays([self.names, new]), known, np.append(self.uses, np.ones(len(new), np.float32)))
+        return known.gather(at, np.arange(len(at) + 1))
+
+    def _keep(self, names: pa.StringArray, lists: Ragged, uses: np.ndarray) -> None:
+        letters = pc.binary_length(names).to_numpy().astype(np.int64)
+        sizes = letters + 4 * np.diff(lists.bounds) + self.OVERHEAD
+        stay = np.flatnonzero(letters <= self.LONGEST)
+        if sizes[stay].sum() > self.limit:
+            stay = stay[np.argsort(-uses[stay], kind="stable")]
+            stay = np.sort(stay[np.cumsum(sizes[stay]) <= self.limit // 2])
+            uses = uses / 2
+        if len(stay) < len(names):
+            names, lists, uses = names.take(pa.array(stay)), lists.gather(stay, np.arange(len(stay) + 1)), uses[stay]
+        self.names, self.lists, self.uses = names, lists, uses
+
+
 class WordEndEncoder:
     """Whole texts to ids, for a tokenizer that drops white space, cuts words as _WORD does, and marks word ends."""
 
     def __init__(self, path: str):
         quiet_tokenizers()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -78,6 +127,10 @@ class WordEndEncoder:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        # The same model for words that are normalised and cut already.
+        self.of_words = Tokenizer(self.tokenizer.model)
+        self.of_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.chunks, self.words = Kept(self._chunks, KEPT_BYTES), Kept(self._words, KEPT_BYTES)
 
     def encode(self, texts: pa.StringArray) -> Ragged:
         texts = texts.fill_null("")
@@ -87,7 +140,7 @@ class WordEndEncoder:
             chunks = pc.utf8_split_whitespace(texts)
         ends = chunks.offsets.to_numpy().astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        return self._chunks(coded.dictionary).gather(coded.indices.to_numpy(), ends - ends[0])
+        return self.chunks.encode(coded.dictionary).gather(coded.indices.to_numpy(), ends - ends[0])
 
     def _chunks(self, chunks: pa.StringArray) -> Ragged:
         """Plain runs through their words, the others one by one; in the order given."""
@@ -95,7 +148,7 @@ class WordEndEncoder:
         cut = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(chunks.filter(pa.array(plain))), _WORD, "\\1 "), " "), " ")
         words = cut.flatten().dictionary_encode()
         ends = cut.offsets.to_numpy().astype(np.int64)
-        one = self._words(words.dictionary.to_pylist()).gather(words.indices.to_numpy(), ends - ends[0])
+        one = self.words.encode(words.dictionary).gather(words.indices.to_numpy(), ends - ends[0])
         rest = [e.ids for e in self.tokenizer.encode_batch_fast(chunks.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
         sizes = np.empty(len(chunks), np.int64)
         sizes[plain], sizes[~plain] = np.diff(one.bounds), [len(r) for r in rest]
@@ -105,11 +158,16 @@ class WordEndEncoder:
         ids[~owner] = np.concatenate([np.array(r, "<u4") for r in rest]) if rest else ()
         return Ragged(ids, np.append(0, np.cumsum(sizes)))
 
-    def _words(self, words: list[str]) -> Ragged:
+    def _words(self, strings: pa.StringArray) -> Ragged:
         """Each word ends with the first token that ends a word; the empty one has none."""
-        held = np.array([w != "" for w in words], bool)
-        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" ".join(words[at : at + WORDS_AT_ONCE])], add_special_tokens=False)[0].ids, "<u4") for at in range(0, max(len(words), 1), WORDS_AT_ONCE)])
-        sizes = np.zeros(len(words), np.int64)
+        parts = [np.empty(0, "<u4")]
+        for at in range(0, len(strings), WORDS_AT_ONCE):
+            words = strings.slice(at, WORDS_AT_ONCE).to_pylist()
+            joined = [" ".join(words[k : k + WORDS_A_TEXT]) for k in range(0, len(words), WORDS_A_TEXT)]
+            parts += [np.array(e.ids, "<u4") for e in self.of_words.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        held = pc.not_equal(strings, "").to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(strings), np.int64)
         sizes[held] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         return Ragged(ids, np.append(0, np.cumsum(sizes)))
 

@@ -217,6 +217,34 @@ def test_words_encode_by_groups(monkeypatch, group):
     assert len(packing.WordEndEncoder(WORD).encode(pa.array(["", None], pa.string())).ids) == 0
 
 
+def test_words_that_recur_are_encoded_once(monkeypatch):
+    asked, own = [], packing.WordEndEncoder._words
+    monkeypatch.setattr(packing.WordEndEncoder, "_words", lambda self, strings: asked.append(len(strings)) or own(self, strings))
+    encoder, library = packing.WordEndEncoder(WORD), Tokenizer.from_file(WORD)
+    for k, text in enumerate(["alpha beta, gamma", "Alpha, beta gamma", "gamma beta! alpha it's", "日本 alpha 日本"]):
+        assert encoder.encode(pa.array([text], pa.string())).ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sum(asked) == [4, 4, 7, 7][k]  # and then "!", "it", "'s"
+
+
+def test_kept_ids_are_bounded_and_right():
+    asked = []
+
+    def encode(strings):
+        asked.extend(strings.to_pylist())
+        lists = [[ord(c) for c in s] for s in strings.to_pylist()]
+        return packing.Ragged(np.array([i for x in lists for i in x], "<u4"), np.cumsum([0, *map(len, lists)]))
+
+    kept, r = packing.Kept(encode, 4000), random.Random(3)
+    for k in range(300):
+        strings = ["often", "", "x" * 100, *{f"new{r.randint(0, 3000)}" for _ in range(r.randint(0, 120))}]
+        r.shuffle(strings)
+        got = kept.encode(pa.array(strings, pa.string()))
+        assert ["".join(map(chr, got.ids[a:b])) for a, b in zip(got.bounds, got.bounds[1:])] == strings
+        assert kept.names.nbytes + kept.lists.ids.nbytes + kept.lists.bounds.nbytes + kept.uses.nbytes <= 4000 + 16
+        assert len(kept.names) == len(kept.uses) == len(kept.lists.bounds) - 1
+    assert asked.count("often") == 1 and asked.count("x" * 100) == 300
+
+
 def test_word_end_encoder_equals_the_library():
     library, encoder, r = Tokenizer.from_file(WORD), packing.WordEndEncoder(WORD), random.Random(9)
     pieces = ["the", "ing", " th", "don't", "'S", "'lL", "   ", "\n", "é", "日", "<|endoftext|>", "x1", "'s", "\x1c", "ÀÉ×÷ß", "İ", "K", "ÿ", "\xa0", "<", "|>", "1234", "\u0301", "½²ªºµ"]
