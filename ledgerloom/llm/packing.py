@@ -38,12 +38,12 @@ LANE_DOCUMENTS = 16_384
 LANE_STRIDE = 1 << 36
 END_ID = 0
 #: Bytes of texts that a task works on at a time, and words that are encoded at a time; the library takes some hundred bytes a token.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 WORDS_AT_ONCE = 8192
 #: Words that are joined to one text; with more of them the library takes longer a word.
 WORDS_A_TEXT = 256
-#: Bytes of kept runs, and as many of kept words. A slice of ordinary texts has 5 to 7 MB of either.
-KEPT_BYTES = 16 << 20
+#: Bytes of kept runs, and as many of kept words.
+KEPT_BYTES = 8 << 20
 
 #: Runs that normalisation leaves as they are but for case, and whose words are cut as below; no special token is spelled with them.
 _PLAIN = "^[!-;=-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00ff]*$"
